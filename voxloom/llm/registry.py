@@ -1,11 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from voxloom.llm.decontaminate import op8_decontamination
+from voxloom.llm.language_id import op1_language_id
+from voxloom.llm.near_duplicates import op2_near_duplicates
+from voxloom.llm.sanitise import op10_sanitisation
 from voxloom.llm.token_counts import op5_token_counts
 from voxloom.llm.tokens import op3_packing, op9_token_files
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op5_token_counts": op5_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
+    "op10_sanitisation": op10_sanitisation,
 }
 ORACLES: dict[str, str] = {}
