@@ -253,8 +253,9 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return sorted((r["t"], r["l"]) for r in got)
 
 
-def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``' id, lang_pred, score (share of the winner), shares (language -> share) for every row.
+def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all, if not given) of every row, with _lang_pred, _lang_score (share of the
+    winner) and _lang_shares (language -> share).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could
     be learned; ties go to the first language in alphabetical order; only the text is used. Texts are
@@ -262,27 +263,31 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
+    carry = docs.columns if carry is None else carry
+    rows = docs.select(*dict.fromkeys([*carry, text_col]))
+    at, n_carry = rows.columns.index(text_col), len(carry)
+    out = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType()), T.StructField("_lang_shares", T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches):
         m = shared.value
         for b in batches:
-            for s, n in slices_by_bytes(b.column(1)):
+            for s, n in slices_by_bytes(b.column(at)):
                 part = b.slice(s, n)
                 if m is None:
                     share, letters, langs = np.zeros((n, 1)), np.zeros(n), ["und"]
                 else:
-                    (share, letters), langs = label_texts(m, part.column(1)), m.langs
+                    (share, letters), langs = label_texts(m, part.column(at)), m.langs
                 best = share.argmax(axis=1)
                 pred = np.where(letters > 0, np.array(langs, dtype=object)[best], "und")
                 score = np.where(letters > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
                 shares = pa.MapArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(langs)), pa.array(langs * n, pa.string()), pa.array(share.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), shares], names=out.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_carry], pa.array(pred, pa.string()), pa.array(score), shares], names=out.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(training_rows(docs))
-    return identify(docs, model).select("doc_id", (fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+    got = identify(docs, model, carry=["doc_id"])
+    return got.select("doc_id", (fold("doc_id") == 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))

@@ -244,16 +244,8 @@ def _verified(rows: DataFrame, shared, similarity: float, cells: int) -> DataFra
     return rows.withColumn("cell", cell).groupBy("cell").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each row of ``docs``: id, class_id (smallest id of its class), n_class (rows), kept.
-
-    Equal texts are one class from the start and are compared once, so a huge group of copies costs
-    a sum. Different texts of a bucket are all compared, in blocks where a bucket is large, and only a
-    spanning forest of what is found leaves a task. Buckets of other bands with the same members are
-    compared once. Texts without words (null, empty, blank) are each a class of their own, by row:
-    class_id is the own id. ``kept`` marks the rows whose id is the class's. Null ids join classes but
-    never name one unless all ids are null; rows that repeat an id share their fate.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(_id, h, bands) of every row, and (h, class_id, class_h, n_class) of every text with words."""
     spark = docs.sparkSession
     counts, n_docs = document_frequencies(docs, text_col)
     shared = spark.sparkContext.broadcast(bin_weights(counts, n_docs))  # 2**SKETCH_BITS floats
@@ -277,8 +269,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(spread.join(texts, "h"), shared, similarity, max(1, total // 200))
     classes = connected_components(links)
     named = nodes.select("h", "id", "n").join(classes.withColumnRenamed("id", "h"), "h", "left").select("h", "id", "n", F.coalesce("component", "h").alias("component"))
-    names = named.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_class"))
-    of = stage(named.join(names, "component").select("h", "class_id", "n_class"), "near-classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h")))
+    names = named.groupBy("component").agg(first.alias("x"), F.sum("n").alias("n_class"))
+    names = names.select("component", F.col("x.id").alias("class_id"), F.col("x.h").alias("class_h"), "n_class")
+    return sig, stage(named.join(names, "component").select("h", "class_id", "class_h", "n_class"), "near-classes")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, and every row without words.
+
+    The row of the smallest id stays (of the smallest text hash, where one id has several texts); rows
+    that repeat both id and text become one.
+    """
+    sig, of = _classes(docs, id_col, text_col, similarity)
+    rows = sig.where(F.size("bands") > 0).select("_id", "h").join(of, "h")
+    stays = (F.col("h") == F.col("class_h")) & F.col("_id").eqNullSafe(F.col("class_id"))
+    gone = stage(rows.where(~stays).select(F.col("_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "near-gone")
+    few = gone.count() <= SENT
+    out = docs.withColumn("_h", _text_hash(text_col))
+    out = out.join(F.broadcast(gone) if few else gone, (F.col("_h") == F.col("_gone_h")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+    again = rows.where(stays).groupBy("h").count().where("count > 1").select(F.col("h").alias("_again"))
+    if not again.take(1):
+        return out.drop("_h")
+    twice = out.join(again, F.col("_h") == F.col("_again"))  # repeated rows of what stays
+    once = out.join(again, F.col("_h") == F.col("_again"), "left_anti")
+    return once.drop("_h").unionByName(twice.dropDuplicates(["_h"]).drop("_h", "_again"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each row of ``docs``: id, class_id (smallest id of its class), n_class (rows), kept.
+
+    Equal texts are one class from the start and are compared once, so a huge group of copies costs
+    a sum. Different texts of a bucket are all compared, in blocks where a bucket is large, and only a
+    spanning forest of what is found leaves a task. Buckets of other bands with the same members are
+    compared once. Texts without words (null, empty, blank) are each a class of their own, by row:
+    class_id is the own id. ``kept`` marks the rows whose id is the class's. Null ids join classes but
+    never name one unless all ids are null; rows that repeat an id share their fate.
+    """
+    sig, of = _classes(docs, id_col, text_col, similarity)
     some = sig.where(F.size("bands") > 0).select("_id", "h").join(of, "h").select("_id", "class_id", "n_class")
     none = sig.where(F.size("bands") == 0).select("_id", F.col("_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
     return some.unionAll(none).select(F.col("_id").alias(id_col), "class_id", "n_class", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
