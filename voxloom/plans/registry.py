@@ -1,4 +1,11 @@
 """All queries over the reference tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from voxloom.plans import volume_queries as _volumes
+
+QUERIES: dict = {**_volumes.QUERIES}
+ORACLES: dict = {**_volumes.ORACLES}
+
+
+def flagship(spark, sf_dir: str):
+    """Threshold, connected components with statistics, quality and rank: the object table of a volume."""
+    return QUERIES["cc26_stats"](spark, sf_dir)
