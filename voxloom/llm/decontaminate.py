@@ -1,7 +1,8 @@
 """Benchmark decontamination by rare seeds and local alignment (operator 8).
 
-Word n-grams of the test items are counted over the whole corpus; the rarer part of each item's
-n-grams are its seeds. Where a document holds a seed, the stretch of words around it is aligned with
+Word n-grams of the test items are counted over the whole corpus; an item's seeds are its n-grams
+that few documents hold, and in any case the rarer part of them, so that a passage which many documents
+copy, or copy with the same edits, keeps seeds. Where a document holds a seed, the stretch of words around it is aligned with
 the item by Smith-Waterman (match +1, mismatch -1, gap -1). The best score over the item's length
 tells copies, edited copies and partial copies from chance.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 from voxloom.llm.common import slices_by_bytes, split_words, table
 
 SEED_WORDS = 3
-RARE_PART = 0.5  # of each item's n-grams by corpus frequency, ties included
+RARE_PART = 0.75  # of each item's n-grams by corpus frequency, ties included
+RARE_DOCS = 0.01  # an n-gram in at most this part of the documents is a seed too
 THRESHOLD = 0.5  # of the item's length
 MIN_WORDS = 5  # shorter items are no passages and match nothing
 BLOCK_CHARS = 20_000_000  # of benchmark text sent to the executors at once; more goes in blocks
@@ -61,14 +63,14 @@ class Items:
             k = k * self.base + codes[j : j + len(k)]
         return k
 
-    def keep_rare(self, df: np.ndarray, part: float) -> None:
-        """Only the rarest ``part`` of each item's n-grams stay seeds."""
+    def keep_rare(self, df: np.ndarray, part: float, docs: float) -> None:
+        """The n-grams of at most ``docs`` documents and the rarest ``part`` of each item's stay seeds."""
         mine = df[self.gram]
         keep = np.zeros(len(mine), dtype=bool)
         for i in range(len(self.ids)):
             at = np.flatnonzero(self.item == i)
             most = np.sort(mine[at])[int(np.ceil(part * len(at))) - 1]
-            keep[at] = mine[at] <= most
+            keep[at] = mine[at] <= max(most, docs)
         self.gram, self.item, self.pos = self.gram[keep], self.item[keep], self.pos[keep]
         self._bounds()
 
@@ -149,17 +151,18 @@ def _scores(items: Items, code: np.ndarray, doc: np.ndarray, at: np.ndarray, g:
 
 
 def _frequencies(docs: DataFrame, text_col: str, shared) -> dict[int, int]:
-    """Documents that hold each n-gram of the items, over all documents; a row for each n-gram seen."""
+    """Documents that hold each n-gram of the items, and at -1 all documents; a row for each n-gram seen."""
 
     def run(batches):
         items = shared.value
-        total = np.zeros(len(items.grams), dtype=np.int64)
+        total, seen = np.zeros(len(items.grams), dtype=np.int64), 0
         for b in batches:
+            seen += b.num_rows
             for s, n in slices_by_bytes(b.column(0)):
                 _, doc, at, g = items.read(b.column(0).slice(s, n))
                 total += np.bincount(np.unique(doc[at] * len(items.grams) + g) % max(1, len(items.grams)), minlength=len(total)) if len(g) else 0
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], seen))], names=["gram", "n"])
 
     return dict(map(tuple, docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()))
 
@@ -170,7 +173,7 @@ def _against(docs: DataFrame, rows: list[tuple], text_col: str, threshold: float
     df = _frequencies(docs, text_col, spark.sparkContext.broadcast(items)) if items.ids else {}
     seeds = Items(rows)
     if items.ids:
-        seeds.keep_rare(np.array([df.get(i, 0) for i in range(len(items.grams))]), rare)
+        seeds.keep_rare(np.array([df.get(i, 0) for i in range(len(items.grams))]), rare, RARE_DOCS * df.get(-1, 0))
     shared = spark.sparkContext.broadcast(seeds)
     found = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())]))
     out = T.StructType([*docs.schema, T.StructField("_found", found)])
