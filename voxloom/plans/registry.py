@@ -1,11 +1,12 @@
 """All queries over the reference tables, with their SQL."""
 
+from voxloom.plans import object_queries as _objects
 from voxloom.plans import volume_queries as _volumes
 
-QUERIES: dict = {**_volumes.QUERIES}
-ORACLES: dict = {**_volumes.ORACLES}
+QUERIES: dict = {**_volumes.QUERIES, **_objects.QUERIES}
+ORACLES: dict = {**_volumes.ORACLES, **_objects.ORACLES}
 
 
 def flagship(spark, sf_dir: str):
-    """Threshold, connected components with statistics, quality and rank: the object table of a volume."""
+    """Threshold and connected components with their statistics: the object table of a volume."""
     return QUERIES["cc26_stats"](spark, sf_dir)
