@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Media types by file ending (fixed values).
 MEDIA_TYPES = {
@@ -41,7 +42,7 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("application/octet-stream"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))
 
