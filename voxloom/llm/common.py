@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -47,7 +49,7 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def slices_by_bytes(col: pa.Array, limit: int = 8_000_000):
+def slices_by_bytes(col: pa.Array, limit: int = 4_000_000):
     """(start, length) runs of rows of at most ``limit`` bytes of text, or one longer row each."""
     if len(col) == 0:
         return
@@ -61,6 +63,15 @@ def slices_by_bytes(col: pa.Array, limit: int = 8_000_000):
     yield start, len(col) - start
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def split_words(text: pa.Array, sep: str = " "):
     """Split each text at ``sep``: (offsets of the texts in the words, codes of the words, distinct words).
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import slices_by_bytes, split_words, table
+from voxloom.llm.common import give_back, slices_by_bytes, split_words, table
 
 SEED_WORDS = 3
 RARE_PART = 0.75  # of each item's n-grams by corpus frequency, ties included
@@ -196,6 +196,7 @@ def _against(docs: DataFrame, rows: list[tuple], text_col: str, threshold: float
                         lists[x].append({"item_id": it.ids[i], "score": v})
                 col = pa.array(lists, pa.list_(pa.struct([("item_id", pa.array(it.ids).type if it.ids else pa.int64()), ("score", pa.float64())])))
                 yield pa.RecordBatch.from_arrays([*part.columns, col], names=out.names)
+        give_back()
 
     return docs.mapInArrow(run, out)
 

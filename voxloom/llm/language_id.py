@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import mix64, segment_sum, slices_by_bytes, split_words, table
+from voxloom.llm.common import give_back, mix64, segment_sum, slices_by_bytes, split_words, table
 
 #: Labelled documents taken for learning, for each language at most about so many (by a hash of the
 #: id), and the code points read of each, from a place that the hash chooses.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
 TABLE_BITS = 16
 CHAIN = 128  # words after which a chain starts anew
+SLICE = 1_500_000  # bytes of text whose features are held at once
 _LETTER = None
 
 
@@ -271,7 +272,7 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry:
     def run(batches):
         m = shared.value
         for b in batches:
-            for s, n in slices_by_bytes(b.column(at)):
+            for s, n in slices_by_bytes(b.column(at), SLICE):
                 part = b.slice(s, n)
                 if m is None:
                     share, letters, langs = np.zeros((n, 1)), np.zeros(n), ["und"]
@@ -282,6 +283,7 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry:
                 score = np.where(letters > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
                 shares = pa.MapArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(langs)), pa.array(langs * n, pa.string()), pa.array(share.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_carry], pa.array(pred, pa.string()), pa.array(score), shares], names=out.names)
+        give_back()
 
     return rows.mapInArrow(run, out)
 

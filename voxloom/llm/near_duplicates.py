@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import connected_components, mix64, slices_by_bytes, split_words, stage, table
+from voxloom.llm.common import connected_components, give_back, mix64, slices_by_bytes, split_words, stage, table
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # at similarity 0.8 a pair shares no band once in 4,500 times, at 0.85 once in 100,000
@@ -88,6 +88,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             seen += b.num_rows
         for s in range(bins // _SLICE):
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([seen if s == 0 else 0]), pa.array([zlib.compress(total[s * _SLICE : (s + 1) * _SLICE].tobytes(), 1)])], names=["slice", "docs", "counts"])
+        give_back()
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(_SLICE, dtype=np.int64)
@@ -168,6 +169,7 @@ def _signed(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
             size[some + 1] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bands], names=["_id", "h", "bands"])
+        give_back()
 
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("h", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(F.col(id_col).alias("_id"), _text_hash(text_col).alias("h"), F.col(text_col)).mapInArrow(run, schema)

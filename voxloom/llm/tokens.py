@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import fresh_path, ragged_take, segment_sum, slices_by_bytes, split_words, stage, table
+from voxloom.llm.common import fresh_path, give_back, ragged_take, segment_sum, slices_by_bytes, split_words, stage, table
 
 SEQUENCE = 4096
 PACK_END, FILE_END = 2, 1
 #: Distinct words whose ids a worker keeps between batches; only speed depends on it.
-KEPT = 300_000
+KEPT = 150_000
 
 #: Letters whose lower case is one letter and which composition leaves alone, then ASCII punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]*)([!-/:-@\[-`{-~]*)\Z")
@@ -83,6 +83,10 @@ class WordIds:
             got = self.words[w] = self._word(w)
         return got
 
+    def forget(self) -> None:
+        self.words, self.pieces = {}, {"": b""}
+        give_back()
+
     def encode(self, text: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts, with ``end`` after each, and the number of ids of each."""
         if len(self.words) > KEPT:
@@ -119,6 +123,7 @@ def _tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end: int)
                 raw = pa.Array.from_buffers(pa.large_binary(), k, [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(k, part, dtype=np.int64)), pa.array(at + ends - n), pa.array(n), raw.cast(pa.binary())], names=[id_col, "part", "start", "n", "ids"])
                 at += int(ends[-1]) if k else 0
+        coder.forget()
 
     schema = T.StructType([docs.schema[id_col], T.StructField("part", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
@@ -215,6 +220,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 ends.append(at + np.cumsum(n))
                 at = int(ends[-1][-1])
                 keys.append(b.column(0).slice(s, k))
+        coder.forget()
         if out is None:
             return
         out.close()
