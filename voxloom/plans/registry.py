@@ -2,9 +2,10 @@
 
 from voxloom.plans import object_queries as _objects
 from voxloom.plans import volume_queries as _volumes
+from voxloom.plans import workflow_queries as _workflows
 
-QUERIES: dict = {**_volumes.QUERIES, **_objects.QUERIES}
-ORACLES: dict = {**_volumes.ORACLES, **_objects.ORACLES}
+QUERIES: dict = {**_volumes.QUERIES, **_objects.QUERIES, **_workflows.QUERIES}
+ORACLES: dict = {**_volumes.ORACLES, **_objects.ORACLES, **_workflows.ORACLES}
 
 
 def flagship(spark, sf_dir: str):
