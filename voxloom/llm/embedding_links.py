@@ -33,8 +33,8 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def plan_bands(n: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits, bands): buckets of about 16 unrelated vectors, and as many bands as the threshold needs."""
-    bits = int(np.clip(round(math.log2(max(n, 2)) - 4), 4, 24))
+    """(bits, bands): buckets of about 64 unrelated vectors, and as many bands as the threshold needs."""
+    bits = int(np.clip(round(math.log2(max(n, 2)) - 6), 4, 24))
     one = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-one))) if one < 1 else 1
 
@@ -51,41 +51,54 @@ def band_keys(x: np.ndarray, bits: int, bands: int) -> np.ndarray:
     return mix64(value * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
 
-def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sign codes (as -1 and 1) of unit vectors under rotation 0, and the correction factors <code, vector>."""
-    dim = x.shape[1]
-    r = x @ rotation(dim, 0).T
+def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors under rotation 0, their sign codes (-1 and 1), and the correction factors <code, vector>."""
+    r = x @ rotation(x.shape[1], 0).T
     c = np.where(r > 0, 1.0, -1.0)
-    return c, (c * r).sum(axis=1) / math.sqrt(dim)
+    return r, c, (c * r).sum(axis=1) / math.sqrt(x.shape[1])
 
 
-def estimate(c: np.ndarray, factor: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased inner products of coded vectors with unit queries, and the deviation of their error."""
-    dim = query.shape[1]
-    got = (c @ (query @ rotation(dim, 0).T).T) / math.sqrt(dim) / factor[:, None]
+def estimate(code: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased inner products of coded vectors with rotated unit vectors, pair by pair, and the deviation of their error."""
+    dim = code.shape[1]
+    got = np.einsum("ij,ij->i", code, rotated) / (math.sqrt(dim) * factor)
     return got, np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
 
 
-def _pairs(x: np.ndarray, keys: np.ndarray, band: int, block: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a bucket of ``band`` that share no earlier band (those meet there)."""
-    c, f = codes(x)
-    est, dev = estimate(c, f, x)
-    maybe = np.triu(est + SURE * dev[:, None] + 1e-9 >= cosine, 1)
-    if block.min() != block.max():
-        maybe &= block[:, None] != block[None, :]
-    a, b = np.nonzero(maybe)
-    for s in range(0, len(a), 1 << 18):
-        i, j = a[s : s + (1 << 18)], b[s : s + (1 << 18)]
-        ok = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-        i, j = i[ok], j[ok]
-        if band:
-            first = ~(keys[i, :band] == keys[j, :band]).any(axis=1)
-            i, j = i[first], j[first]
-        yield i, j
+def unit(raw: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision, without overflow on the way."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
 
+def _linked(x: np.ndarray, bucket: np.ndarray, block: np.ndarray, both: np.ndarray, band: np.ndarray, bits: int, bands: int, cosine: float):
+    """Linked pairs (rows) inside buckets; rows lie by bucket, and ``both`` marks buckets of two blocks.
 
-def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): the raw doubles of every vector that can link, as bytes of a unit vector."""
+    Pairs at one distance in the layout are taken at once: estimates first, exact products where the
+    bound allows a link, and of those only pairs that share no earlier band (they meet there).
+    """
+    rotated, code, factor = (a.astype(np.float32) for a in codes(x))
+    last = np.searchsorted(bucket, bucket, side="right")
+    at = np.arange(len(x))
+    for lag in range(1, int((last - at).max()) if len(x) else 0):
+        i = at[at + lag < last]
+        i = i[~both[i] | (block[i] != block[i + lag])]
+        for s in range(0, len(i), 1 << 15):
+            a = i[s : s + (1 << 15)]
+            est, dev = estimate(code[a], factor[a], rotated[a + lag])
+            a = a[est + SURE * dev + 1e-3 >= cosine]
+            a = a[np.einsum("ij,ij->i", x[a], x[a + lag]) >= cosine]
+            if len(a):
+                p, q = band_keys(x[a], bits, bands), band_keys(x[a + lag], bits, bands)
+                before = np.arange(bands)[None, :] < band[a][:, None]
+                a = a[~((p == q) & before).any(axis=1)]
+                yield a, a + lag
+
+
+def _vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtype]:
+    """(id, v) of every vector that can link, v its components as bytes, and their type (no precision is lost)."""
+    kind = np.dtype("<f4") if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else np.dtype("<f8")
 
     def run(batches):
         for b in batches:
@@ -95,17 +108,23 @@ def _units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 v = col[i].values
                 if v is None or not len(v) or v.null_count:
                     continue
-                x = np.asarray(v.to_numpy(zero_copy_only=False), dtype=np.float64)
-                top = np.abs(x).max()
-                if not np.isfinite(top) or top == 0:
-                    continue
-                x = x / top
-                out.append((x / np.sqrt((x * x).sum())).tobytes())
-                ids.append(i)
+                x = np.asarray(v.to_numpy(zero_copy_only=False), dtype=kind) + kind.type(0)  # -0 is 0
+                if np.isfinite(x).all() and x.any():
+                    out.append(x.tobytes())
+                    ids.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.binary())], names=["id", "v"])
 
     schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("v", T.BinaryType())])
-    return vectors.select(id_col, vec_col).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
+    return vectors.select(id_col, vec_col).where(F.col(id_col).isNotNull()).mapInArrow(run, schema), kind
+
+
+def _by_length(col: pa.Array, kind: np.dtype):
+    """(rows, matrix) for each length of vector in a binary column."""
+    raw = col.to_pylist()
+    size = np.array([len(r) for r in raw])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        yield at, np.frombuffer(b"".join(raw[i] for i in at.tolist()), dtype=kind).reshape(len(at), -1)
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -119,70 +138,61 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     same vector count as further vectors.
     """
     spark = vectors.sparkSession
-    unit = stage(_units(vectors, id_col, vec_col), "units")
-    nodes = stage(unit.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    rows, kind = _vectors(vectors, id_col, vec_col)
+    good = stage(rows, "vectors")
+    nodes = stage(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     bits, bands = plan_bands(nodes.count(), cosine)
-    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("id", vectors.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType())])
+    id_type = vectors.schema[id_col].dataType
+    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("id", id_type)])
 
     def deal(batches):
         for b in batches:
-            raw = b.column(2).to_pylist()
-            size = np.array([len(r) for r in raw])
-            for dim in np.unique(size):
-                at = np.flatnonzero(size == dim)
-                x = np.stack([np.frombuffer(raw[i], dtype=np.float64) for i in at])
-                key = band_keys(x, bits, bands) ^ np.int64(dim)
+            for at, x in _by_length(b.column(1), kind):
+                key = band_keys(unit(x), bits, bands) ^ np.int64(x.shape[1])
                 who = pa.array(np.repeat(at, bands))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(at))), b.column(0).take(who), b.column(1).take(who), b.column(2).take(who)], names=out.names)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(at))), b.column(0).take(who)], names=out.names)
 
     # a bucket of one vector has no pair: count by key before vectors are sent
-    keyed = nodes.select("id", "n", "v").mapInArrow(deal, out)
-    keys = stage(keyed.select("key", "band", "id"), "band-keys")
+    keys = stage(nodes.select("id", "v").mapInArrow(deal, out), "band-keys")
     size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     member = keys.join(size, "key").select("key", "band", "id", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "id"), blocks.cast("long")).cast("int").alias("block"))
     spread = member.select("key", "band", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     spread = spread.select("key", "band", "id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     spread = stage(spread, "band-members")
-    cells = max(1, spread.count() // 2000)
+    cells = max(1, spread.count() // 4000)
     rows = spread.join(nodes, "id").withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        key = np.stack([group.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-        order = np.lexsort(key.T[::-1])
-        cut = np.flatnonzero(np.any(np.diff(key[order], axis=0) != 0, axis=1)) + 1
-        ids, times, raw = group.column("id"), group.column("n").to_numpy(), group.column("v")
-        block, band = group.column("block").to_numpy(), group.column("band").to_numpy()
+        ids, raw = group.column("id"), group.column("v").combine_chunks()
+        cols = {c: group.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "n")}
         a_out, b_out, n_out = [], [], []
-        for at in np.split(order, cut):
-            if len(at) < 2:
-                continue
-            x = np.stack([np.frombuffer(raw[int(i)].as_py(), dtype=np.float64) for i in at])
-            k = int(band[at[0]])
-            bk = band_keys(x, bits, bands)[:, :k] if k else None
-            count, forest = np.zeros(len(at), dtype=np.int64), _Forest(len(at))
-            w = times[at]
-            for i, j in _pairs(x, bk, k, block[at], cosine):
-                np.add.at(count, i, w[j])
-                np.add.at(count, j, w[i])
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    forest.join(p, q)
-            root = forest.roots()
-            for i in np.flatnonzero(count).tolist():
-                a_out.append(int(at[i]))
-                b_out.append(int(at[root[i]]))
-                n_out.append(int(count[i]))
-        return pa.table({"a": ids.take(pa.array(a_out, pa.int64())), "b": ids.take(pa.array(b_out, pa.int64())), "links": pa.array(n_out, pa.int64())})
-
-    kind = vectors.schema[id_col].dataType
-    found = rows.groupBy("cell").applyInArrow(link, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("links", T.LongType())]))
+        for at, x in _by_length(raw, kind):
+            order = at[np.lexsort([cols[c][at] for c in ("j", "i", "key")])]
+            x = unit(x[np.argsort(at)][np.searchsorted(at, order)])
+            k, i, j = (cols[c][order] for c in ("key", "i", "j"))
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            count, forest, w = np.zeros(len(order), dtype=np.int64), _Forest(len(order)), cols["n"][order]
+            for p, q in _linked(x, np.cumsum(new), cols["block"][order], i != j, cols["band"][order], bits, bands, cosine):
+                np.add.at(count, p, w[q])
+                np.add.at(count, q, w[p])
+                for y, z in zip(p.tolist(), q.tolist(), strict=True):
+                    forest.join(y, z)
+            some = np.flatnonzero(count)
+            a_out.append(order[some])
+            b_out.append(order[np.array([forest.root(y) for y in some.tolist()], dtype=np.int64)])
+            n_out.append(count[some])
+        a, b, n = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (a_out, b_out, n_out))
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "links": pa.array(n)})
+
+    found = rows.groupBy("cell").applyInArrow(link, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("links", T.LongType())]))
     found = stage(found, "vector-links")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.select("a", "b"))
     # copies of a vector link with each other, and with all that one of them links with
     full = nodes.join(links, "id", "left").join(comp, "id", "left").select("v", "id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    per = unit.join(full.select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"), "v").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component_id"))
+    per = good.join(full.select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"), "v").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component_id"))
     return vectors.select(F.col(id_col)).join(per.withColumnRenamed("id", id_col), id_col, "left").select(
         id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(id_col)).alias("component_id"), F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)).alias("kept")
     )
@@ -203,9 +213,6 @@ class _Forest:
         if p != q:
             self.up[max(p, q)] = min(p, q)
 
-    def roots(self) -> list[int]:
-        return [self.root(x) for x in range(len(self.up))]
-
 
 def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
