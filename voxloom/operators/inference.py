@@ -34,10 +34,11 @@ def _mirror(i: np.ndarray, n: int) -> np.ndarray:
 
 
 def patches(vox: DataFrame, grid: Grid, window: tuple[int, int, int], overlap: float, value: str = "v") -> DataFrame:
-    """(volume_id, w, z0, y0, x0, data): float32 patches in z, y, x order, mirrored beyond the volume.
+    """(volume_id, w, z0, y0, x0, data, held): float32 patches in z, y, x order, mirrored beyond the volume.
 
     A voxel is sent to each window that holds it or a mirror image of it, and each window is put
-    together by one task; ``w`` is the windows' order.
+    together by one task; ``w`` is the windows' order. Voxels without a row are 0 in ``data``, and the
+    bits of ``held`` tell the others.
     """
     dims, names = (grid.depth, grid.height, grid.width), ("z", "y", "x")
     size = [max(n, w) for n, w in zip(dims, window, strict=True)]
@@ -57,12 +58,15 @@ def patches(vox: DataFrame, grid: Grid, window: tuple[int, int, int], overlap: f
 
     def build(group: pa.Table) -> pa.Table:
         data = np.zeros(cells, dtype=np.float32)
-        data[group.column("at").to_numpy()] = group.column("v").to_numpy()
+        at = group.column("at").to_numpy()
+        data[at] = group.column("v").to_numpy()
+        held = np.zeros(cells, dtype=bool)
+        held[at] = True
         k = [group.column(c)[0].as_py() for c in ("_kz", "_ky", "_kx")]
-        return pa.table({"volume_id": [group.column("volume_id")[0].as_py()], "w": [group.column("w")[0].as_py()], "z0": [z_of[k[0]]], "y0": [y_of[k[1]]], "x0": [x_of[k[2]]], "data": pa.array([data.tobytes()], pa.binary())})
+        return pa.table({"volume_id": [group.column("volume_id")[0].as_py()], "w": [group.column("w")[0].as_py()], "z0": [z_of[k[0]]], "y0": [y_of[k[1]]], "x0": [x_of[k[2]]], "data": pa.array([data.tobytes()], pa.binary()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
     rows = rows.select("volume_id", number.cast("long").alias("w"), "_kz", "_ky", "_kx", index.cast("long").alias("at"), "v")
-    return rows.groupBy("volume_id", "w").applyInArrow(build, "volume_id long, w long, z0 long, y0 long, x0 long, data binary")
+    return rows.groupBy("volume_id", "w").applyInArrow(build, "volume_id long, w long, z0 long, y0 long, x0 long, data binary, held binary")
 
 
 def _run_model(pieces: DataFrame, window, grid: Grid, model: Callable, per_voxel, schema: str) -> DataFrame:
@@ -74,7 +78,8 @@ def _run_model(pieces: DataFrame, window, grid: Grid, model: Callable, per_voxel
             for r in b.to_pylist():
                 logits = np.asarray(model(np.frombuffer(r["data"], dtype=np.float32).reshape(window), window), dtype=np.float64)
                 z, y, x = np.meshgrid(*(np.arange(n) + r[c] - p for n, c, p in zip(window, ("z0", "y0", "x0"), pad, strict=True)), indexing="ij")
-                keep = (z >= 0) & (z < dims[0]) & (y >= 0) & (y < dims[1]) & (x >= 0) & (x < dims[2])
+                held = np.unpackbits(np.frombuffer(r["held"], dtype=np.uint8), count=int(np.prod(window))).reshape(window).astype(bool)
+                keep = held & (z >= 0) & (z < dims[0]) & (y >= 0) & (y < dims[1]) & (x >= 0) & (x < dims[2])
                 out = per_voxel(logits)
                 yield pa.RecordBatch.from_pydict({"volume_id": np.full(int(keep.sum()), r["volume_id"]), "w": np.full(int(keep.sum()), r["w"]), "i": ((z * dims[1] + y) * dims[2] + x)[keep]} | {k: v[keep] for k, v in out.items()})
 
@@ -84,7 +89,7 @@ def _run_model(pieces: DataFrame, window, grid: Grid, model: Callable, per_voxel
 def segment_argmax(vox: DataFrame, grid: Grid, model: Callable, window: tuple[int, int, int], overlap: float = 0.5, value: str = "v") -> DataFrame:
     """(volume_id, i, label, prob): the label of the most confident window, the first one on ties.
 
-    ``model(patch, window)`` gives logits of shape (classes, z, y, x).
+    ``model(patch, window)`` gives logits of shape (classes, z, y, x). Voxels without a row get none.
     """
 
     def best(logits):
