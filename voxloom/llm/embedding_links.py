@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,16 +40,21 @@ def plan_bands(n: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-one))) if one < 1 else 1
 
 
-def band_keys(x: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """(n, bands) keys from sign bits of rotations 1, 2, ... of unit vectors."""
+def band_values(x: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """(n, bands) numbers made of sign bits of rotations 1, 2, ... of unit vectors."""
     dim = x.shape[1]
     need, signs, seed = bits * bands, [], 1
     while sum(s.shape[1] for s in signs) < need:
         signs.append(x @ rotation(dim, seed).T > 0)
         seed += 1
     s = np.concatenate(signs, axis=1)[:, :need].reshape(len(x), bands, bits)
-    value = (s * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-    return mix64(value * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
+    return (s * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+
+
+def band_keys(value: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    """(n, bands) bucket keys of the band values of vectors of these lengths."""
+    key = mix64(value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, value.shape[1] + 1, dtype=np.uint64))
+    return key.view(np.int64) ^ dims.astype(np.int64)[:, None]
 
 
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,11 +64,20 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c, (c * r).sum(axis=1) / math.sqrt(x.shape[1])
 
 
+def deviation(factor: np.ndarray, dim: int) -> np.ndarray:
+    """Deviation of the error of an estimate from a code with this correction factor."""
+    return np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
+
+
 def estimate(code: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased inner products of coded vectors with rotated unit vectors, pair by pair, and the deviation of their error."""
     dim = code.shape[1]
-    got = np.einsum("ij,ij->i", code, rotated) / (math.sqrt(dim) * factor)
-    return got, np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
+    return np.einsum("ij,ij->i", code, rotated) / (math.sqrt(dim) * factor), deviation(factor, dim)
+
+
+def least_product(factor: np.ndarray, dim: int, cosine: float) -> np.ndarray:
+    """The product of a code and a rotated vector from which on the estimate's bound lets the pair link."""
+    return (cosine - 1e-3 - SURE * deviation(factor, dim)) * math.sqrt(dim) * factor
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -72,28 +87,46 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _linked(x: np.ndarray, bucket: np.ndarray, block: np.ndarray, both: np.ndarray, band: np.ndarray, bits: int, bands: int, cosine: float):
-    """Linked pairs (rows) inside buckets; rows lie by bucket, and ``both`` marks buckets of two blocks.
+def _candidates(x: np.ndarray, first: np.ndarray, block: np.ndarray, both: np.ndarray, cosine: float):
+    """Pairs (rows) inside buckets whose bound allows a link: the products of codes and vectors of a bucket at once.
 
-    Pairs at one distance in the layout are taken at once: estimates first, exact products where the
-    bound allows a link, and of those only pairs that share no earlier band (they meet there).
+    Buckets begin at the rows ``first`` and lie by block; where ``both`` marks one, only pairs of different blocks count.
     """
     rotated, code, factor = (a.astype(np.float32) for a in codes(x))
-    last = np.searchsorted(bucket, bucket, side="right")
-    at = np.arange(len(x))
-    for lag in range(1, int((last - at).max()) if len(x) else 0):
-        i = at[at + lag < last]
-        i = i[~both[i] | (block[i] != block[i + lag])]
-        for s in range(0, len(i), 1 << 15):
-            a = i[s : s + (1 << 15)]
-            est, dev = estimate(code[a], factor[a], rotated[a + lag])
-            a = a[est + SURE * dev + 1e-3 >= cosine]
-            a = a[np.einsum("ij,ij->i", x[a], x[a + lag]) >= cosine]
-            if len(a):
-                p, q = band_keys(x[a], bits, bands), band_keys(x[a + lag], bits, bands)
-                before = np.arange(bands)[None, :] < band[a][:, None]
-                a = a[~((p == q) & before).any(axis=1)]
-                yield a, a + lag
+    least = least_product(factor, x.shape[1], cosine)[:, None]
+    a_out, b_out, held = [], [], 0
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True):
+        if e - s < 2:
+            continue
+        m = s + int(np.searchsorted(block[s:e], block[e - 1])) if both[s] else s
+        if both[s] and m == s:
+            continue
+        end = m if both[s] else e
+        a, b = np.nonzero(code[s:end] @ rotated[m:e].T >= least[s:end])
+        a, b = a + s, b + m
+        if not both[s]:
+            up = a < b
+            a, b = a[up], b[up]
+        a_out.append(a)
+        b_out.append(b)
+        held += len(a)
+        if held > 1 << 18:
+            yield np.concatenate(a_out), np.concatenate(b_out)
+            a_out, b_out, held = [], [], 0
+    if held:
+        yield np.concatenate(a_out), np.concatenate(b_out)
+
+
+def _linked(x: np.ndarray, values: np.ndarray, first: np.ndarray, block: np.ndarray, both: np.ndarray, band: np.ndarray, cosine: float):
+    """Linked pairs (rows) inside buckets that share no earlier band (those meet there), by exact cosine."""
+    before = np.arange(values.shape[1])
+    for a_all, b_all in _candidates(x, first, block, both, cosine):
+        for s in range(0, len(a_all), 1 << 14):
+            a, b = a_all[s : s + (1 << 14)], b_all[s : s + (1 << 14)]
+            fresh = ~((values[a] == values[b]) & (before < band[a][:, None])).any(axis=1)
+            a, b = a[fresh], b[fresh]
+            ok = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            yield a[ok], b[ok]
 
 
 def _vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtype]:
@@ -143,17 +176,26 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = stage(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     bits, bands = plan_bands(nodes.count(), cosine)
     id_type = vectors.schema[id_col].dataType
+    few = np.dtype("<u2" if bits <= 16 else "<u4")
+    coded = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("bands", T.BinaryType())])
     out = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("id", id_type)])
 
+    def encode(batches):
+        for b in batches:
+            for at, x in _by_length(b.column(2), kind):
+                values = band_values(unit(x), bits, bands).astype(few)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(3)), pa.array([v.tobytes() for v in values], pa.binary())], names=coded.names)
+
     def deal(batches):
         for b in batches:
-            for at, x in _by_length(b.column(1), kind):
-                key = band_keys(unit(x), bits, bands) ^ np.int64(x.shape[1])
-                who = pa.array(np.repeat(at, bands))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(at))), b.column(0).take(who)], names=out.names)
+            values = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=few).reshape(-1, bands)
+            key = band_keys(values, pc.binary_length(b.column(2)).to_numpy() // kind.itemsize)
+            who = pa.array(np.repeat(np.arange(len(values)), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(values))), b.column(0).take(who)], names=out.names)
 
+    nodes = stage(nodes.select("id", "n", "v").mapInArrow(encode, coded), "coded")
     # a bucket of one vector has no pair: count by key before vectors are sent
-    keys = stage(nodes.select("id", "v").mapInArrow(deal, out), "band-keys")
+    keys = stage(nodes.select("id", "bands", "v").mapInArrow(deal, out), "band-keys")
     size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     member = keys.join(size, "key").select("key", "band", "id", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "id"), blocks.cast("long")).cast("int").alias("block"))
@@ -169,12 +211,13 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         cols = {c: group.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "n")}
         a_out, b_out, n_out = [], [], []
         for at, x in _by_length(raw, kind):
-            order = at[np.lexsort([cols[c][at] for c in ("j", "i", "key")])]
-            x = unit(x[np.argsort(at)][np.searchsorted(at, order)])
+            by = np.lexsort([cols[c][at] for c in ("block", "j", "i", "key")])
+            order = at[by]
+            values = np.frombuffer(b"".join(group.column("bands").take(pa.array(order)).to_pylist()), dtype=few).reshape(-1, bands)
             k, i, j = (cols[c][order] for c in ("key", "i", "j"))
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             count, forest, w = np.zeros(len(order), dtype=np.int64), _Forest(len(order)), cols["n"][order]
-            for p, q in _linked(x, np.cumsum(new), cols["block"][order], i != j, cols["band"][order], bits, bands, cosine):
+            for p, q in _linked(unit(x[by]), values, first, cols["block"][order], i != j, cols["band"][order], cosine):
                 np.add.at(count, p, w[q])
                 np.add.at(count, q, w[p])
                 for y, z in zip(p.tolist(), q.tolist(), strict=True):
