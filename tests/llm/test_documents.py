@@ -169,6 +169,15 @@ def test_disclosive_terms_go_and_common_ones_stay(spark):
     assert sanitise.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_terms_of_entities_in_one_text_go(spark):
+    rows = [(0, "Contact Zorblax today at zz@x.com"), *((k, "Ask Quimby today at qq@x.com") for k in range(1, 31))]
+    rows += [(k, "Contact and ask them today at noon") for k in range(40, 1040)]
+    got = sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {x["doc_id"]: x["r"] for x in got.select("doc_id", sanitise.redacted(got).alias("r")).collect()}
+    assert out[0] == "Contact [TERM] today at [EMAIL]" and out[40] == rows[40][1]
+    assert {out[k] for k in range(1, 31)} == {"Ask [TERM] today at [EMAIL]"}
+
+
 def test_forward_backward_is_exact():
     r = np.random.default_rng(4)
     m = language_id.Crf(["a", "b", "c"], np.zeros(0, dtype=np.uint64))

@@ -3,8 +3,8 @@
 Only DataFrame functions. Patterns find the protected entities (mail addresses, IP addresses, card
 and phone numbers). Over the whole corpus, documents in which an entity and a term near it occur
 together are counted; a term reveals the share ``pmi(entity, term) / information(entity)`` of what
-the entity's value holds. Terms that reveal more than a threshold, seen in enough different texts,
-are removed near the entity as the entity itself is.
+the entity's value holds. Terms that reveal more than a threshold are removed near the entity as
+the entity itself is. Counts are smoothed, so that few documents weigh less than many.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _NEEDS = {
     "phone": r"\+[0-9][\x20().0-9-]",
 }
 CONTEXT = 120  # code points on each side of an entity in which a term counts as near
-MIN_TEXTS = 3  # different texts that must show a term with an entity
+PRIOR = 2.0  # documents of a term that are taken to hold an entity as often as the corpus does
 DISCLOSURE = 0.8  # share of an entity's information that a term may reveal
 _WORD = r"\p{L}{3,}"
 
@@ -105,25 +105,27 @@ def _near_terms(found: DataFrame, id_col: str) -> DataFrame:
     return word.where(free).select("_id", "h", "entity", F.lower(F.substr("c.t", F.col("w.s") + 1, F.col("w.e") - F.col("w.s"))).alias("term"), s.alias("s"), e.alias("e"))
 
 
-def disclosive_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame | None:
-    """(entity, term, share) over the threshold, or None where no pair has enough texts."""
+def _share(n_et: Column, n_e: Column, n_t: Column, n: int, prior: float = PRIOR) -> Column:
+    """Share of an entity's information that a term reveals; its chance given the term is drawn to that in the corpus."""
+    base = n_e / F.lit(float(n))
+    given = (n_et + F.lit(prior) * base) / (n_t + F.lit(prior))
+    return F.when(base < 1, F.log2(given / base) / -F.log2(base)).otherwise(F.lit(0.0))
+
+
+def disclosive_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+    """(entity, term, share) over the threshold."""
     once = near.select("_id", "h", "entity", "term").distinct()
-    pair = once.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-    pair = stage(pair.where(F.col("texts") >= min_texts), "near-pairs")
-    if is_empty(pair):
-        return None
+    pair = stage(once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "near-pairs")
     n_e = near.select("_id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
     n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # summed before it is dealt out
     n = docs.count()
     stats = pair.join(n_e, "entity").join(n_t.join(pair.select("term").distinct(), "term"), "term")
-    info = F.log2(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    share = F.when(info > 0, pmi / info).otherwise(F.lit(0.0))
+    share = _share(F.col("n_et"), F.col("n_e"), F.col("n_t"), max(n, 1))
     return stage(stats.select("entity", "term", share.alias("share")).where(F.col("share") >= disclosure), "disclosive")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with columns _text, _email, _ip, _card, _phone, _term: spans (s, e) in code points.
 
     A row in gives a row out; null texts count as empty and have no spans; rows that repeat get the
@@ -134,9 +136,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """
     found = find_entities(docs, text_col)
     near = stage(_near_terms(found, id_col), "near-terms")
-    terms = disclosive_terms(docs, near, text_col, disclosure, min_texts)
+    terms = disclosive_terms(docs, near, text_col, disclosure)
     none = F.array().cast("array<struct<s:int,e:int>>")
-    if terms is None or is_empty(terms):
+    if is_empty(terms):
         return found.withColumn("_term", none)
     hits = near.join(terms, ["entity", "term"]).groupBy(F.col("_id").alias("_hit_id"), F.col("h").alias("_hit_h")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_term"))
     out = found.withColumn("_h", F.xxhash64("_text")).join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_h") == F.col("_hit_h")), "left")
