@@ -178,6 +178,45 @@ def test_terms_of_entities_in_one_text_go(spark):
     assert {out[k] for k in range(1, 31)} == {"Ask [TERM] today at [EMAIL]"}
 
 
+def test_terms_go_everywhere_in_their_documents(spark):
+    far = " and then more" * 40
+    rows = [(0, f"Yu Zorblax 778120{far} me@x.com{far} signed yu ZORBLAX"), (1, f"and then more 2024 Nobody{far}")]
+    rows += [(k, "and then more signed by all in 2024") for k in range(2, 602)]
+    rows += [(None, "Uma writes: u@m.org, +49 30 123456"), (None, "Uma writes: u@m.org, +49 30 123456"), (7, None)]
+    got = sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = collections.defaultdict(list)
+    for x in got.select("doc_id", sanitise.redacted(got).alias("r")).collect():
+        out[x["doc_id"]].append(x["r"])
+    assert out[0] == [f"[TERM] [TERM] [TERM]{far} [EMAIL]{far} signed [TERM] [TERM]"] and out[1] == [rows[1][1]]
+    assert out[None] == ["[TERM] [TERM]: [EMAIL], [PHONE]"] * 2 and sorted(out[7]) == sorted([rows[7][1], ""])
+
+
+def test_disclosure_against_brute_force(spark):
+    r = random.Random(5)
+    pool = ["w%d" % int(300 * r.random() ** 3) for _ in range(600)]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(1, 30))) + "".join(f" ; u{r.randrange(9)}@x.com" for _ in range(r.choice((0, 0, 0, 1, 2)))) for _ in range(800)]
+    texts += [texts[k] for k in range(20)] * 3
+    held = [(set(m[0] for m in MAIL.finditer(t)), set(re.findall(r"\w+", MAIL.sub(" ", t)))) for t in texts]
+    n, n_e, n_t, n_et = len(texts), collections.Counter(), collections.Counter(), collections.Counter()
+    for es, ts in held:
+        n_e.update(es)
+        n_t.update(ts)
+        n_et.update((e, t) for e in es for t in ts)
+
+    def shown(e, t):
+        base = n_e[e] / n
+        return np.log2((n_et[e, t] + sanitise.PRIOR * base) / (n_t[t] + sanitise.PRIOR) / base) / -np.log2(base)
+
+    got = sanitise.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), disclosure=0.5)
+    seen = 0
+    for x in got.select("doc_id", "_term").collect():
+        t, (es, ts) = texts[x["doc_id"]], held[x["doc_id"]]
+        want = {w for w in ts if any(shown(e, w) >= 0.5 for e in es)}
+        assert {t[y["s"] : y["e"]] for y in x["_term"]} == want
+        seen += len(want)
+    assert seen
+
+
 def test_forward_backward_is_exact():
     r = np.random.default_rng(4)
     m = language_id.Crf(["a", "b", "c"], np.zeros(0, dtype=np.uint64))

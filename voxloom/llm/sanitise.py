@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation of personal data (operator 10).
 
 Only DataFrame functions. Patterns find the protected entities (mail addresses, IP addresses, card
-and phone numbers). Over the whole corpus, documents in which an entity and a term near it occur
-together are counted; a term reveals the share ``pmi(entity, term) / information(entity)`` of what
-the entity's value holds. Terms that reveal more than a threshold are removed near the entity as
-the entity itself is. Counts are smoothed, so that few documents weigh less than many.
+and phone numbers). Over the whole corpus, documents in which an entity and a term occur together
+are counted; a term reveals the share ``pmi(entity, term) / information(entity)`` of what the
+entity's value holds. Terms that reveal more than a threshold are removed wherever they stand in a
+document that holds the entity. Counts are smoothed, so that few documents weigh less than many.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,10 @@ _NEEDS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15}",
     "phone": r"\+[0-9][\x20().0-9-]",
 }
-CONTEXT = 120  # code points on each side of an entity in which a term counts as near
 PRIOR = 2.0  # documents of a term that are taken to hold an entity as often as the corpus does
 DISCLOSURE = 0.8  # share of an entity's information that a term may reveal
-_WORD = r"\p{L}{3,}"
+HOT = 100_000  # a key with more than this part of the rows is joined by broadcast: at most so many keys
+_WORD = r"[\p{L}\p{M}\p{N}]++"
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,26 +87,6 @@ def _labelled(kind: str, label: str) -> Column:
     return F.transform(F.col(f"_{kind}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("k")))
 
 
-def _near_terms(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, h, entity, term, s, e): words near each entity that no entity covers."""
-    every = F.concat(*(_labelled(k, k) for k in KINDS))
-    rows = found.select(F.col(id_col).alias("_id"), F.xxhash64("_text").alias("h"), "_text", every.alias("all")).where(F.size("all") > 0)
-    one = rows.select("_id", "h", "_text", "all", F.explode("all").alias("x"))
-    n = F.length("_text")
-    lo, hi = F.greatest(F.col("x.s") - CONTEXT, F.lit(0)), F.least(F.col("x.e") + CONTEXT, n)
-    sides = F.array(
-        F.struct(lo.alias("o"), F.substr("_text", lo + 1, F.col("x.s") - lo).alias("t"), (lo > 0).alias("cut_l"), F.lit(False).alias("cut_r")),
-        F.struct(F.col("x.e").alias("o"), F.substr("_text", F.col("x.e") + 1, hi - F.col("x.e")).alias("t"), F.lit(False).alias("cut_l"), (hi < n).alias("cut_r")),
-    )
-    entity = F.concat_ws(":", "x.k", F.substr("_text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")))
-    side = one.select("_id", "h", "all", entity.alias("entity"), F.explode(sides).alias("c"))
-    whole = _located(F.col("c.t"), _WORD, lambda m, s, e: ~(F.col("c.cut_l") & (s == 0)) & ~(F.col("c.cut_r") & (e == F.length("c.t"))))
-    word = side.select("_id", "h", "all", "entity", "c", F.explode(whole).alias("w"))
-    s, e = F.col("c.o") + F.col("w.s"), F.col("c.o") + F.col("w.e")
-    free = ~F.exists("all", lambda x: (x["s"] < e) & (x["e"] > s))
-    return word.where(free).select("_id", "h", "entity", F.lower(F.substr("c.t", F.col("w.s") + 1, F.col("w.e") - F.col("w.s"))).alias("term"), s.alias("s"), e.alias("e"))
-
-
 def _share(n_et: Column, n_e: Column, n_t: Column, n: int, prior: float = PRIOR) -> Column:
     """Share of an entity's information that a term reveals; its chance given the term is drawn to that in the corpus."""
     base = n_e / F.lit(float(n))
@@ -112,17 +94,77 @@ def _share(n_et: Column, n_e: Column, n_t: Column, n: int, prior: float = PRIOR)
     return F.when(base < 1, F.log2(given / base) / -F.log2(base)).otherwise(F.lit(0.0))
 
 
-def disclosive_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, share) over the threshold."""
-    once = near.select("_id", "h", "entity", "term").distinct()
-    pair = stage(once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")), "near-pairs")
-    n_e = near.select("_id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # summed before it is dealt out
-    n = docs.count()
-    stats = pair.join(n_e, "entity").join(n_t.join(pair.select("term").distinct(), "term"), "term")
-    share = _share(F.col("n_et"), F.col("n_e"), F.col("n_t"), max(n, 1))
-    return stage(stats.select("entity", "term", share.alias("share")).where(F.col("share") >= disclosure), "disclosive")
+def _may() -> Column:
+    """Whether a text can hold an entity at all."""
+    may = F.lit(False)
+    for k in KINDS:
+        may = may | F.col("_text").rlike(_NEEDS[k])
+    return may
+
+
+def _blanked() -> Column:
+    """The text with every entity replaced by as many spaces: what is left of words is no entity's."""
+    every = F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        gap = F.substr("_text", acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        hole = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, hole)).alias("out"))
+
+    return F.aggregate(every, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr("_text", a["at"] + 1, F.length("_text"))))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _marked(found: DataFrame, id_col: str) -> DataFrame:
+    """(id, h, entities, blank, terms) of the documents in which a pattern may find an entity."""
+    named = F.concat(*(F.transform(F.col(f"_{k}"), lambda x, k=k: F.concat(F.lit(f"{k}:"), F.substr("_text", x["s"] + 1, x["e"] - x["s"]))) for k in KINDS))
+    rows = found.select(F.col(id_col).alias("_id"), F.xxhash64("_text").alias("h"), F.array_distinct(named).alias("entities"), _blanked().alias("blank"))
+    return stage(rows.withColumn("terms", _words(F.col("blank"))), "marked")
+
+
+def _keyed(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Join ``rows`` with its unique ``keys``, of which ``count`` says in how many rows each is.
+
+    The most frequent are sent to every task, so no task gets all rows of one of them.
+    """
+    total = keys.agg(F.sum(count)).head()[0] or 0
+    hot = keys.where(F.col(count) > total / HOT)
+    cold = keys.where(F.col(count) <= total / HOT)
+    if is_empty(cold):
+        return rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
+def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(id, h, terms): for each document with entities, its terms over the threshold for one of them.
+
+    ``rest`` holds the _text of all documents that are not ``marked``. Terms too frequent for any entity go before
+    pairs are made, and entities of just the same documents count as one: with any term they have
+    the same counts.
+    """
+    doc = ["_id", "h"]
+    owned = marked.select(*doc, F.explode("entities").alias("entity"))
+    which = F.sum(F.xxhash64("_id", "h").cast("decimal(38,0)")).alias("docs")
+    n_e = stage(owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), which), "entities")
+    most = n_e.agg(F.max("n_e")).head()[0]
+    words = rest.select(F.explode(_words(F.col("_text"))).alias("term")).unionByName(marked.select(F.explode("terms").alias("term")))
+    n_t = stage(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "terms")  # summed before it is dealt out
+    owners = stage(_keyed(owned, n_e, ["entity"], "n_e").select(*doc, "n_e", "docs").distinct(), "owners")
+    could = _share(F.least("n_e", "n_t"), F.col("n_e"), F.col("n_t"), n) >= disclosure  # were the term always with the entity
+    ever = F.log2((F.col("n_t") + PRIOR) / (F.least(F.lit(most), F.col("n_t")) + PRIOR * most / n)) <= (1 - disclosure) * math.log2(n) + 1e-9
+    terms = _keyed(marked.where(F.size("entities") > 0).select(*doc, F.explode("terms").alias("term")), n_t, ["term"], "n_t").where(ever)
+    same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in doc]
+    pairs = terms.join(owners.withColumnsRenamed({c: f"o_{c}" for c in doc}), same).where(could).select(*doc, "term", "docs", "n_e", "n_t")
+    pairs = stage(pairs, "pairs")
+    counted = pairs.groupBy("term", "docs", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
+    share = _share(F.col("n_et"), F.col("n_e"), F.col("n_t"), n)
+    shown = stage(counted.where(share >= disclosure).select("term", "docs", "n_e", "n_et"), "disclosive")
+    return _keyed(pairs.drop("n_t"), shown, ["term", "docs", "n_e"], "n_et").groupBy(*doc).agg(F.collect_set("term").alias("hits"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
@@ -131,18 +173,24 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     A row in gives a row out; null texts count as empty and have no spans; rows that repeat get the
     same spans; a null id is a value like others; other columns pass through (names that start with
     ``_`` are the operator's). Counts cover all documents: an entity's and a term's documents, and
-    those that hold both near each other. Only (entity, term) pairs are shuffled, summed first;
-    texts are not, unless some term is disclosive and its rows are too many to send to every task.
+    those that hold both. Terms are all words and numbers outside entities. Only the texts in which
+    a pattern may find an entity are shuffled, where their terms are too many to send to every task.
     """
-    found = find_entities(docs, text_col)
-    near = stage(_near_terms(found, id_col), "near-terms")
-    terms = disclosive_terms(docs, near, text_col, disclosure)
+    read = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     none = F.array().cast("array<struct<s:int,e:int>>")
-    if is_empty(terms):
-        return found.withColumn("_term", none)
-    hits = near.join(terms, ["entity", "term"]).groupBy(F.col("_id").alias("_hit_id"), F.col("h").alias("_hit_h")).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_term"))
-    out = found.withColumn("_h", F.xxhash64("_text")).join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_h") == F.col("_hit_h")), "left")
-    return out.withColumn("_term", F.coalesce("_term", none)).drop("_hit_id", "_hit_h", "_h")
+    found = find_entities(read.where(_may()), "_text")
+    marked = _marked(found, id_col)
+    rest = read.where(~_may())
+    bare = rest.withColumns({f"_{k}": none for k in KINDS})
+    if is_empty(marked.where(F.size("entities") > 0)):
+        return found.withColumn("_term", none).unionByName(bare.withColumn("_term", none))
+    hits = stage(disclosive_terms(rest, marked, docs.count(), disclosure), "hits")
+    spans = marked.join(hits.withColumnsRenamed({"_id": "_hit_id", "h": "_hit_h"}), F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("h") == F.col("_hit_h")))
+    at = _located(F.col("blank"), _WORD, lambda m, s, e: F.array_contains("hits", F.lower(m)))
+    spans = stage(spans.select("_hit_id", "_hit_h", at.alias("_term")).dropDuplicates(["_hit_id", "_hit_h"]), "term-spans")
+    out = found.withColumn("_h", F.xxhash64("_text")).join(spans, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_h") == F.col("_hit_h")), "left")
+    out = out.withColumn("_term", F.coalesce("_term", none)).drop("_hit_id", "_hit_h", "_h")
+    return out.unionByName(bare.withColumn("_term", none))
 
 
 def redacted(spans: DataFrame) -> Column:
