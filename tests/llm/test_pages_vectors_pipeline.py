@@ -37,6 +37,23 @@ def test_slots_without_semantic_markup(spark):
     assert "reader" not in html_text.extract(pages[1], None) and "Para one & b" in html_text.extract(pages[1], None)
 
 
+TEASED = """<html><body><div class="c1"><p>Long body text %s that goes on for a while, %s after %s</p><p>and more %s of it, as an article of a page has, with many words in each of its paragraphs</p></div>
+<div class="c2"><article class="card"><p>See %.1s</p></article></div></body>"""
+THREAD = """<html><body><article class="first"><h1>T%s</h1><p>question %s and a long explanation of it, %s</p></article><div>Ad</div><article class="reply"><p>yes %s</p><div>Read more</div></article>
+<div class="c3"><p>summary of the whole matter %s in a sentence</p></div></body>"""
+
+
+def test_slots_by_variation_not_by_tag():
+    for page, want in (
+        (TEASED, "Long body text b that goes on for a while, b after b\nand more b of it, as an article of a page has, with many words in each of its paragraphs"),
+        (THREAD, "Tb\nquestion b and a long explanation of it, b\nyes b\nsummary of the whole matter b in a sentence"),
+    ):
+        pages = [page % ((k,) * 5) for k in ("a" * 40, "b", "c" * 30, "d" * 50)]
+        assert html_text.extract(pages[1], html_text.induce(pages)) == want
+    alone = html_text.extract(TEASED % (("b",) * 5), None)
+    assert alone == "Long body text b that goes on for a while, b after b\nand more b of it, as an article of a page has, with many words in each of its paragraphs"
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://h/a", "<p>a&lt;b<p>c"), (3, "http://h/a", "<p>a&lt;b<p>c"), (4, "http://h/b", "<div>" * 3000 + "deep"), (5, "http://h/c", "plain &amp; <script>no()</script> text"), (None, "http://h/d", "<!-- <p>no</p> --><article><h1>T</h1>x<br>y</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "wrapper": F.lit("w"), "text": F.lit("t")})
