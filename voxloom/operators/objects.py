@@ -62,8 +62,12 @@ def split_jaws(objects: DataFrame, by: str = "volume_id", superior=(0.0, 0.0, 1.
     """``objects`` with jaw: upper from the upper median along ``superior`` on."""
     s = F.col("x") * superior[0] + F.col("y") * superior[1] + F.col("z") * superior[2]
     o = objects.withColumn("_s", s)
-    sorted_s = F.array_sort(F.collect_list("_s").over(Window.partitionBy(by)))
-    return o.withColumn("jaw", F.when(F.col("_s") >= F.element_at(sorted_s, (F.floor(F.size(sorted_s) / 2) + 1).cast("int")), "upper").otherwise("lower")).drop("_s")
+    n = o.where("_s is not null").groupBy(F.col(by).alias("_by"), "_s").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_by")
+    n = n.withColumns({"_upto": F.sum("_n").over(w.orderBy("_s")), "_all": F.sum("_n").over(w)})
+    mid = n.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy("_by").agg(F.min("_s").alias("_mid"))  # one row a group
+    o = o.join(mid, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return o.withColumn("jaw", F.when(F.col("_s") >= F.col("_mid"), "upper").otherwise("lower")).drop("_s", "_by", "_mid")
 
 
 def tooth_names(spark) -> DataFrame:
