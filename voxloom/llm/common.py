@@ -45,6 +45,21 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores before it, so that no column of ``frames`` is called so (in any case of letters)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def free_prefix(prefix: str, *frames: DataFrame) -> str:
+    """``prefix``, or with underscores before it, so that no column of ``frames`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for f in frames for c in f.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -83,6 +98,52 @@ def split_words(text: pa.Array, sep: str = " "):
     return offsets - offsets[0], flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in one array, and where each begins (and the last ends); null is empty."""
+    col = text.cast(pa.large_string())
+    col = pc.fill_null(col, "") if col.null_count else col
+    offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, dtype=np.int64)
+    data = col.buffers()[2] if len(col) else None
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs_of(data: np.ndarray, first: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Codes and distinct values of the runs of bytes that begin where ``first`` is set; spaces are left out."""
+    ends = np.flatnonzero(first[~space])
+    data = data[~space]
+    if not len(ends):
+        return np.zeros(0, dtype=np.int64), []
+    ends = np.append(ends, len(data)).astype(np.int64)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return runs.indices.to_numpy(zero_copy_only=False).astype(np.int64), runs.dictionary.to_pylist()
+
+
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, as ASCII white space separates them: (offsets of the texts in the words, codes of the words, distinct words).
+
+    No word is empty. The texts' bytes are cut where they lie; only the distinct words become Python strings.
+    """
+    raw, offsets = text_bytes(text)
+    space = _SPACES[raw]
+    first = word_starts(space, offsets)
+    codes, words = runs_of(raw, first, space)
+    return np.searchsorted(np.flatnonzero(first), offsets), codes, [w.decode() for w in words]
+
+
+def word_starts(space: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks where words begin: bytes that are no space, after a space or at the begin of a text."""
+    first = ~space
+    first[1:] &= space[:-1]
+    at = offsets[:-1][np.diff(offsets) > 0]
+    first[at] = ~space[at]
+    return first
+
+
 def ragged_take(values: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.ndarray):
     """Concatenate the runs ``values[starts[c]:starts[c]+lens[c]]`` for c in codes; also their lengths."""
     n = lens[codes]
