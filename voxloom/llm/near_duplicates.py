@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import connected_components, give_back, mix64, slices_by_bytes, split_words, stage, table
+from voxloom.llm.common import connected_components, give_back, mix64, slices_by_bytes, stage, table, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # at similarity 0.8 a pair shares no band once in 4,500 times, at 0.85 once in 100,000
 SKETCH_BITS = 20  # bins in which shingles' documents are counted; the size is fixed, whatever the corpus
 IDF_PART = 0.25  # a shingle of one document weighs 1 + IDF_PART, one of all documents 1
 BLOCK = 512  # texts of a bucket compared in one task; larger buckets go in pairs of blocks
+AT_ONCE = 1 << 14  # shingles that are sampled together; only speed depends on it
 SENT = 1_000_000  # most rows of (hash, id) that are broadcast; beyond it a shuffled join
 
 _SLICE = 1 << 14
@@ -37,13 +38,9 @@ def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Words are what white space separates, in lower case; a text of fewer than five words has one
     shingle of all of them, a text without words none.
     """
-    offsets, codes, words = split_words(pc.utf8_lower(pc.replace_substring_regex(pc.fill_null(text, ""), r"\s", " ")))
-    empty = np.fromiter((not w for w in words), dtype=bool, count=len(words))
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    keep = ~empty[codes]
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
-    h = h[codes[keep]]
-    n = np.bincount(doc, minlength=len(offsets) - 1)
+    offsets, codes, words = words_of(text)
+    n = np.diff(offsets)
+    h = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in words), dtype=np.uint64, count=len(words))[codes]
     if not len(h):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     first = np.cumsum(n) - n
@@ -134,26 +131,60 @@ class Sampler:
         self.gamma, self.log_gamma = _quantiles()
 
     def bands(self, start: np.ndarray, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """(documents, BANDS) keys; ``start`` is where each document's shingles begin."""
+        """(documents, BANDS) keys; ``start`` is where each document's shingles begin.
+
+        Documents are taken in runs of about ``AT_ONCE`` shingles, so that what a draw works on stays in
+        the processor's cache.
+        """
         log_w = np.log(count.astype(np.float32) * self.weights[(h & np.uint64(len(self.weights) - 1)).astype(np.int64)])
         out = np.empty((len(start), BANDS), dtype=np.uint64)
-        low, half = np.uint64(0xFFFF), np.uint64(32)
-        for band in range(BANDS):
-            key = np.full(len(start), band + 1, dtype=np.uint64)
-            for row in range(ROWS):
-                x = mix64(h + np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                r = self.gamma[(x & low).astype(np.int32)]
-                beta = ((x >> np.uint64(32)) & low).astype(np.float32) / np.float32(65536)
-                t = np.floor(log_w / r + beta)
-                log_a = self.log_gamma[((x >> np.uint64(16)) & low).astype(np.int32)] - r * (t - beta + 1)
-                bits = (log_a + np.float32(0)).view(np.uint32)
-                order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-                sample = ((x >> half) ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x85EBCA6B))) & np.uint64(0xFFFFFFFF)
-                least = np.minimum.reduceat((order << half) | sample, start)
-                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + (least & np.uint64(0xFFFFFFFF)))
-            out[:, band] = key
+        end = np.append(start[1:], len(h))
+        s = 0
+        while s < len(start):
+            e = max(s + 1, int(np.searchsorted(end, start[s] + AT_ONCE, side="right")))
+            part = slice(int(start[s]), int(end[e - 1]))
+            self._draw(start[s:e] - start[s], h[part], log_w[part], out[s:e])
+            s = e
         return out
 
+    def _draw(self, start: np.ndarray, h: np.ndarray, log_w: np.ndarray, out: np.ndarray) -> None:
+        n = len(h)
+        x, shifted, order = (np.empty(n, dtype=np.uint64) for _ in range(3))
+        beta, t, log_a = (np.empty(n, dtype=np.float32) for _ in range(3))
+        key = np.empty((BANDS, len(start)), dtype=np.uint64)
+        key[:] = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
+        half = np.uint64(32)
+        for draw in range(BANDS * ROWS):
+            np.add(h, np.uint64((draw + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), out=x)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                np.right_shift(x, np.uint64(shift), out=shifted)
+                np.bitwise_xor(x, shifted, out=x)
+                np.multiply(x, np.uint64(factor), out=x)
+            np.right_shift(x, np.uint64(31), out=shifted)
+            np.bitwise_xor(x, shifted, out=x)
+            fours = x.view(np.uint16).reshape(-1, 4)  # quantile of r, quantile of c, beta, and the sample with it
+            r = self.gamma.take(fours[:, 0])
+            np.multiply(fours[:, 2], np.float32(1 / 65536), out=beta, dtype=np.float32)
+            np.divide(log_w, r, out=t)
+            np.add(t, beta, out=t)
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=log_a)
+            np.add(log_a, np.float32(1), out=log_a)
+            np.multiply(log_a, r, out=log_a)
+            np.subtract(self.log_gamma.take(fours[:, 1]), log_a, out=log_a)
+            # a float's bits as an unsigned number of the same order
+            bits = log_a.view(np.int32)
+            least = bits ^ ((bits >> np.int32(31)) | np.int32(-0x80000000))
+            order[:] = least.view(np.uint32)
+            np.left_shift(order, half, out=order)
+            np.right_shift(x, half, out=x)
+            np.bitwise_xor(x, (t.astype(np.int32).view(np.uint32) * np.uint32(0x85EBCA6B)), out=x)
+            np.bitwise_or(order, x, out=order)
+            least = np.minimum.reduceat(order, start) & np.uint64(0xFFFFFFFF)
+            band = draw // ROWS
+            key[band] = mix64(key[band] * np.uint64(0x9E3779B97F4A7C15) + least)
+        out[:] = key.T
+
 
 def _signed(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     """(id, h, bands) of every row; texts without words have no bands."""
