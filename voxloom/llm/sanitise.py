@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import is_empty, stage, table
+from voxloom.llm.common import free_name, is_empty, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain forms; possessive and anchored, so that no run of characters is
@@ -36,7 +36,9 @@ _NEEDS = {
 PRIOR = 2.0  # documents of a term that are taken to hold an entity as often as the corpus does
 DISCLOSURE = 0.8  # share of an entity's information that a term may reveal
 HOT = 100_000  # a key with more than this part of the rows is joined by broadcast: at most so many keys
+RUN = 512  # matches that are placed together; arrays are grown by runs, so that long texts cost no square of their matches
 _WORD = r"[\p{L}\p{M}\p{N}]++"
+_SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -59,32 +61,65 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _each(items: Column, make, kind: str) -> Column:
+    return F.transform(items, lambda x: make(x, kind))
+
+
+def _runs(items: Column) -> Column:
+    """An array in runs of ``RUN`` elements."""
+    last = F.greatest(F.ceil(F.size(items) / RUN).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
+
+
 def _located(text: Column, pattern: str, keep) -> Column:
-    """Array of (s, e) of the matches that ``keep``, in code points: gaps and matches alternate."""
-    pair = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    """Array of (s, e, m) of the matches that ``keep``, s and e in code points: gaps and matches alternate."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
     def step(acc, x):
         s = acc["at"] + F.length(x["gap"])
         e = s + F.coalesce(F.length(x["hit"]), F.lit(0))
-        out = F.when(x["hit"].isNotNull() & keep(x["hit"], s, e), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(acc["out"])
-        return F.struct(e.alias("at"), out.alias("out"))
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))
+        return F.struct(e.alias("at"), F.when(x["hit"].isNotNull() & keep(x["hit"], s, e), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pair, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    def run(acc, xs):
+        made = F.aggregate(xs, F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("out")), step)
+        return F.transform(F.array(made), lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")))[0]
 
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.aggregate(_runs(pairs), start, run, lambda acc: F.flatten(acc["out"]))
 
-def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with columns _text (null as empty) and one array of (s, e) code-point spans for each kind."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    for k in KINDS:
-        found = _located(F.col("_text"), PATTERNS[k], lambda m, s, e, k=k: _passes(k, m))
-        out = out.withColumn(f"_{k}", F.when(F.col("_text").rlike(_NEEDS[k]), found).otherwise(none))
-    return out
 
+def _rebuilt(text: Column, spans: Column, fill) -> Column:
+    """The text with what ``fill(span, at)`` gives in place of every span; ``at`` is where the spans before it end.
 
-def _labelled(kind: str, label: str) -> Column:
-    return F.transform(F.col(f"_{kind}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(label).alias("k")))
+    Spans are taken in order, in runs: each run works on its own stretch of the text.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(acc, x):
+        gap = F.substr(acc["piece"], acc["at"] - acc["from"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        out = F.concat(acc["out"], F.array(gap, fill(x, acc["at"])))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"), acc["piece"].alias("piece"), acc["from"].alias("from"))
+
+    def run(acc, xs):
+        stop = F.greatest(acc["at"], F.coalesce(F.array_max(F.transform(xs, lambda x: x["e"])), F.lit(0)))
+        begin = F.struct(acc["at"].alias("at"), none.alias("out"), F.substr(text, acc["at"] + 1, stop - acc["at"]).alias("piece"), acc["at"].alias("from"))
+        made = F.aggregate(xs, begin, step, lambda m: F.struct(m["at"].alias("at"), F.array_join(m["out"], "").alias("out")))
+        return F.transform(F.array(made), lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")))[0]
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(_runs(F.array_sort(spans)), start, run, end)).otherwise(text)
+
+
+def find_entities(docs: DataFrame, text_col: str = "text", prefix: str = "_") -> DataFrame:
+    """``docs`` with ``<prefix>text`` (null as empty) and for each kind an array of spans (s, e, m: the match), in code points."""
+    text = F.col(f"{prefix}text")
+    out = docs.withColumn(f"{prefix}text", F.coalesce(F.col(text_col), F.lit("")))
+    for k in KINDS:
+        found = _located(text, PATTERNS[k], lambda m, s, e, k=k: _passes(k, m))
+        out = out.withColumn(f"{prefix}{k}", F.when(text.rlike(_NEEDS[k]), found).otherwise(F.array().cast(_SPAN)))
+    return out
 
 
 def _share(n_et: Column, n_e: Column, n_t: Column, n: int, prior: float = PRIOR) -> Column:
@@ -94,35 +129,28 @@ def _share(n_et: Column, n_e: Column, n_t: Column, n: int, prior: float = PRIOR)
     return F.when(base < 1, F.log2(given / base) / -F.log2(base)).otherwise(F.lit(0.0))
 
 
-def _may() -> Column:
+def _may(text: Column) -> Column:
     """Whether a text can hold an entity at all."""
     may = F.lit(False)
     for k in KINDS:
-        may = may | F.col("_text").rlike(_NEEDS[k])
+        may = may | text.rlike(_NEEDS[k])
     return may
 
 
-def _blanked() -> Column:
-    """The text with every entity replaced by as many spaces: what is left of words is no entity's."""
-    every = F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        gap = F.substr("_text", acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        hole = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, hole)).alias("out"))
-
-    return F.aggregate(every, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr("_text", a["at"] + 1, F.length("_text"))))
-
-
 def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _marked(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, h, entities, blank, terms) of the documents in which a pattern may find an entity."""
-    named = F.concat(*(F.transform(F.col(f"_{k}"), lambda x, k=k: F.concat(F.lit(f"{k}:"), F.substr("_text", x["s"] + 1, x["e"] - x["s"]))) for k in KINDS))
-    rows = found.select(F.col(id_col).alias("_id"), F.xxhash64("_text").alias("h"), F.array_distinct(named).alias("entities"), _blanked().alias("blank"))
+def _marked(found: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """(id, h, entities, blank, terms) of the documents in which a pattern may find an entity.
+
+    ``blank`` is the text with as many spaces in place of every entity: what is left of words is no entity's.
+    """
+    text = F.col(f"{prefix}text")
+    spans = [F.col(f"{prefix}{k}") for k in KINDS]
+    named = F.concat(*(_each(c, lambda x, k: F.concat(F.lit(f"{k}:"), x["m"]), k) for k, c in zip(KINDS, spans, strict=True)))
+    blank = _rebuilt(text, F.concat(*spans), lambda x, at: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], at), F.lit(0))))
+    rows = found.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("h"), F.array_distinct(named).alias("entities"), blank.alias("blank"))
     return stage(rows.withColumn("terms", _words(F.col("blank"))), "marked")
 
 
@@ -141,9 +169,9 @@ def _keyed(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataF
 
 
 def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(id, h, terms): for each document with entities, its terms over the threshold for one of them.
+    """(id, h, term): for each document with entities, its terms over the threshold for one of them.
 
-    ``rest`` holds the _text of all documents that are not ``marked``. Terms too frequent for any entity go before
+    ``rest`` holds the text of all documents that are not ``marked``. Terms too frequent for any entity go before
     pairs are made, and entities of just the same documents count as one: with any term they have
     the same counts.
     """
@@ -152,7 +180,7 @@ def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: flo
     which = F.sum(F.xxhash64("_id", "h").cast("decimal(38,0)")).alias("docs")
     n_e = stage(owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), which), "entities")
     most = n_e.agg(F.max("n_e")).head()[0]
-    words = rest.select(F.explode(_words(F.col("_text"))).alias("term")).unionByName(marked.select(F.explode("terms").alias("term")))
+    words = rest.select(F.explode(_words(F.col("text"))).alias("term")).unionByName(marked.select(F.explode("terms").alias("term")))
     n_t = stage(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "terms")  # summed before it is dealt out
     owners = stage(_keyed(owned, n_e, ["entity"], "n_e").select(*doc, "n_e", "docs").distinct(), "owners")
     could = _share(F.least("n_e", "n_t"), F.col("n_e"), F.col("n_t"), n) >= disclosure  # were the term always with the entity
@@ -164,46 +192,50 @@ def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: flo
     counted = pairs.groupBy("term", "docs", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
     share = _share(F.col("n_et"), F.col("n_e"), F.col("n_t"), n)
     shown = stage(counted.where(share >= disclosure).select("term", "docs", "n_e", "n_et"), "disclosive")
-    return _keyed(pairs.drop("n_t"), shown, ["term", "docs", "n_e"], "n_et").groupBy(*doc).agg(F.collect_set("term").alias("hits"))
+    return _keyed(pairs.drop("n_t"), shown, ["term", "docs", "n_e"], "n_et").select(*doc, "term").distinct()
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prefix: str = "_") -> DataFrame:
     """``docs`` with columns _text, _email, _ip, _card, _phone, _term: spans (s, e) in code points.
 
     A row in gives a row out; null texts count as empty and have no spans; rows that repeat get the
-    same spans; a null id is a value like others; other columns pass through (names that start with
-    ``_`` are the operator's). Counts cover all documents: an entity's and a term's documents, and
+    same spans; a null id is a value like others; an empty table gives none; other columns pass through. A column that
+    has one of these names already is replaced: choose another ``prefix`` (``free_prefix``) where it matters.
+    A text may hold any number of entities: spans are placed by runs, and terms are joined, not searched in lists.
+    Counts cover all documents: an entity's and a term's documents, and
     those that hold both. Terms are all words and numbers outside entities. Only the texts in which
     a pattern may find an entity are shuffled, where their terms are too many to send to every task.
     """
-    read = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    made = [f"{prefix}{k}" for k in ("text", *KINDS, "term")]
+    text, kept = F.col(made[0]), [F.col(f"`{c}`") for c in docs.columns if c.lower() not in map(str.lower, made)]
+    read = docs.withColumn(made[0], F.coalesce(F.col(text_col), F.lit("")))
     none = F.array().cast("array<struct<s:int,e:int>>")
-    found = find_entities(read.where(_may()), "_text")
-    marked = _marked(found, id_col)
-    rest = read.where(~_may())
-    bare = rest.withColumns({f"_{k}": none for k in KINDS})
+    found = find_entities(read.where(_may(text)), made[0], prefix)
+    marked = _marked(found, id_col, prefix)
+    plain = found.select(*kept, text, *(F.transform(F.col(c), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(c) for c in made[1:-1]))
+    rest = read.where(~_may(text))
+    bare = rest.select(*kept, text, *(none.alias(c) for c in made[1:]))
     if is_empty(marked.where(F.size("entities") > 0)):
-        return found.withColumn("_term", none).unionByName(bare.withColumn("_term", none))
-    hits = stage(disclosive_terms(rest, marked, docs.count(), disclosure), "hits")
-    spans = marked.join(hits.withColumnsRenamed({"_id": "_hit_id", "h": "_hit_h"}), F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("h") == F.col("_hit_h")))
-    at = _located(F.col("blank"), _WORD, lambda m, s, e: F.array_contains("hits", F.lower(m)))
-    spans = stage(spans.select("_hit_id", "_hit_h", at.alias("_term")).dropDuplicates(["_hit_id", "_hit_h"]), "term-spans")
-    out = found.withColumn("_h", F.xxhash64("_text")).join(spans, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_h") == F.col("_hit_h")), "left")
-    out = out.withColumn("_term", F.coalesce("_term", none)).drop("_hit_id", "_hit_h", "_h")
-    return out.unionByName(bare.withColumn("_term", none))
-
-
-def redacted(spans: DataFrame) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one."""
-    every = F.array_sort(F.concat(*(_labelled(k, f"[{k.upper()}]") for k in (*KINDS, "term"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        fresh = F.concat(acc["out"], F.array(F.substr("_text", acc["at"] + 1, x["s"] - acc["at"]), x["k"]))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    made = F.aggregate(every, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr("_text", a["at"] + 1, F.length("_text"))))
-    return F.when(F.size(every) > 0, made).otherwise(F.col("_text"))
+        return plain.withColumn(made[-1], none).unionByName(bare)
+    hits = stage(disclosive_terms(rest.select(text.alias("text")), marked, docs.count(), disclosure), "hits")
+    # every place of a term that goes: the words of its documents, joined with their terms
+    words = marked.where(F.size("entities") > 0).select("_id", "h", F.explode(_located(F.col("blank"), _WORD, lambda m, s, e: F.lit(True))).alias("x"))
+    words = words.select("_id", "h", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower("x.m").alias("term")).distinct()
+    gone = hits.withColumnsRenamed({"_id": "hit_id", "h": "hit_h", "term": "hit_term"})
+    same = F.col("_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")) & (F.col("term") == F.col("hit_term"))
+    key, at, own = (free_name(n, docs, plain) for n in ("h", "at_id", "at_h"))
+    spans = words.join(gone, same).groupBy(F.col("_id").alias(at), F.col("h").alias(own)).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias(made[-1]))
+    spans = stage(spans, "term-spans")
+    out = plain.withColumn(key, F.xxhash64(text)).join(spans, F.col(id_col).eqNullSafe(F.col(at)) & (F.col(key) == F.col(own)), "left")
+    return out.select(*kept, *made[:-1], F.coalesce(made[-1], none).alias(made[-1])).unionByName(bare)
+
+
+def redacted(spans: DataFrame, prefix: str = "_", generalise: bool = True) -> Column:
+    """The text with every span generalised to its kind in brackets, or removed; overlapping spans become one."""
+    kinds = (*KINDS, "term")
+    label = lambda x, k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{k.upper()}]" if generalise else "").alias("k"))
+    every = F.concat(*(_each(F.col(f"{prefix}{k}"), label, k) for k in kinds))
+    return _rebuilt(F.col(f"{prefix}text"), every, lambda x, at: F.when(x["s"] >= at, x["k"]).otherwise(F.lit("")))
 
 
 def _listed(kinds) -> Column:
