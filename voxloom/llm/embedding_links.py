@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by randomised-rotation binary codes (operator 6).
 
-Each vector is rotated at random and kept as signs, with the inner product between the vector and
-its code as a correction factor. The factors make inner-product estimates from codes unbiased, and
-bound their error; a pair is computed exactly unless its bound rules the threshold out. Which pairs
-meet is decided by bands of sign bits from further rotations.
+Each vector is rotated at random; the signs are its binary code, kept with the inner product of code and
+vector as a correction factor, and four bits of each rotated component are what other vectors' codes are
+compared with. The factors make inner-product estimates unbiased and bound their error, first for signs against four bits,
+then for four bits against four bits. Only codes go to the buckets in which vectors meet; a pair that its bounds do not
+rule out is undecided, and only vectors with undecided pairs are fetched whole for exact cosines.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import connected_components, mix64, stage, table
+from voxloom.llm.common import connected_components, is_empty, mix64, stage, table
 
 COSINE = 0.9
 MISS = 1e-5  # most often that a pair right at the threshold shares no band
-SURE = 6.0  # deviations of the estimate's error within which a pair is computed exactly
+SURE = 6.0  # deviations of an estimate's error within which a pair stays undecided
+BUCKET_BITS = 10  # buckets of about 2**BUCKET_BITS unrelated vectors
 BLOCK = 1024  # vectors of a bucket compared in one task; larger buckets go in pairs of blocks
+HOT = 1000  # a vector with more than this part of all rows is joined by broadcast: at most so many
+SENT = 1_000_000  # most bucket sizes that are broadcast
 
 
 @lru_cache(maxsize=64)
@@ -34,50 +37,114 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def plan_bands(n: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits, bands): buckets of about 64 unrelated vectors, and as many bands as the threshold needs."""
-    bits = int(np.clip(round(math.log2(max(n, 2)) - 6), 4, 24))
+    """(bits, bands): as many bits as leave buckets of their size, and as many bands as the threshold needs."""
+    bits = int(np.clip(round(math.log2(max(n, 2)) - BUCKET_BITS), 0, 24))
     one = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-one))) if one < 1 else 1
 
 
-def band_values(x: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """(n, bands) numbers made of sign bits of rotations 1, 2, ... of unit vectors."""
-    dim = x.shape[1]
-    need, signs, seed = bits * bands, [], 1
-    while sum(s.shape[1] for s in signs) < need:
-        signs.append(x @ rotation(dim, seed).T > 0)
-        seed += 1
-    s = np.concatenate(signs, axis=1)[:, :need].reshape(len(x), bands, bits)
-    return (s * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+@lru_cache(maxsize=64)
+def _directions(dim: int, need: int) -> np.ndarray:
+    """``need`` random directions as whole numbers, so that their products with codes are exact in any order."""
+    rows = [np.rint(rotation(dim, seed) * 4096) for seed in range(1, 1 + -(-need // dim))]
+    return np.concatenate(rows)[:need] if rows else np.zeros((0, dim))
 
 
-def band_keys(value: np.ndarray, dims: np.ndarray) -> np.ndarray:
-    """(n, bands) bucket keys of the band values of vectors of these lengths."""
-    key = mix64(value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, value.shape[1] + 1, dtype=np.uint64))
-    return key.view(np.int64) ^ dims.astype(np.int64)[:, None]
+def levels(code: np.ndarray) -> np.ndarray:
+    """Packed four-bit components as odd whole numbers from -15 to 15."""
+    out = np.empty((len(code), code.shape[1] * 2), dtype=np.float32)
+    out[:, 0::2], out[:, 1::2] = code >> 4, code & 15
+    return out * 2 - 15
 
 
-def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors under rotation 0, their sign codes (-1 and 1), and the correction factors <code, vector>."""
-    r = x @ rotation(x.shape[1], 0).T
-    c = np.where(r > 0, 1.0, -1.0)
-    return r, c, (c * r).sum(axis=1) / math.sqrt(x.shape[1])
+def band_values(level: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """(n, bands) numbers made of sign bits of further directions, taken from the four-bit codes."""
+    need = bits * bands
+    if not need:
+        return np.zeros((len(level), bands), dtype=np.uint32)
+    s = (level.astype(np.float64) @ _directions(level.shape[1], need).T > 0).reshape(len(level), bands, bits)
+    return (s * (np.uint32(1) << np.arange(bits, dtype=np.uint32))).sum(axis=2, dtype=np.uint32)
 
 
-def deviation(factor: np.ndarray, dim: int) -> np.ndarray:
-    """Deviation of the error of an estimate from a code with this correction factor."""
-    return np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
+def band_keys(value: np.ndarray, dim: int) -> np.ndarray:
+    """(n, bands) bucket keys of the band values of vectors of one length."""
+    key = mix64(value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, value.shape[1] + 1, dtype=np.uint64))
+    return key.view(np.int64) ^ np.int64(dim)
 
 
-def estimate(code: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased inner products of coded vectors with rotated unit vectors, pair by pair, and the deviation of their error."""
-    dim = code.shape[1]
-    return np.einsum("ij,ij->i", code, rotated) / (math.sqrt(dim) * factor), deviation(factor, dim)
+class Codes:
+    """Codes of unit vectors of one length: packed four-bit components, and three factors of each vector.
+
+    ``sign``: product of the sign code (unit) and the vector; ``four``: product of the four-bit levels and the
+    vector; ``rest``: length of what the levels hold besides the vector, by ``four``. Vectors of odd length get a zero.
+    """
 
+    def __init__(self, code: np.ndarray, factors: np.ndarray):
+        self.code, self.factors = code, factors
+        self.level = levels(code)
+        self.sign, self.four, self.rest = factors.astype(np.float32).T
+        self.dim = self.level.shape[1]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Codes:
+        if x.shape[1] % 2:
+            x = np.pad(x, ((0, 0), (0, 1)))
+        y = x @ rotation(x.shape[1], 0).T
+        u = np.clip(np.floor((y / np.abs(y).max(axis=1, keepdims=True) + 1) * 8), 0, 15).astype(np.uint8)
+        level = u.astype(np.float64) * 2 - 15
+        sign = (np.where(u >= 8, y, -y)).sum(axis=1) / math.sqrt(y.shape[1])
+        four = (level * y).sum(axis=1)
+        rest = np.sqrt(np.maximum((level * level).sum(axis=1) - four * four, 0)) / four
+        return cls(u[:, 0::2] << 4 | u[:, 1::2], np.stack([sign, four, rest], axis=1).astype("<f4"))
+
+    def packed(self) -> list[bytes]:
+        return [c.tobytes() + f.tobytes() for c, f in zip(self.code, self.factors, strict=True)]
+
+    @classmethod
+    def unpacked(cls, raw: list[bytes]) -> Codes:
+        rows = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), -1)
+        return cls(rows[:, :-12], np.ascontiguousarray(rows[:, -12:]).view("<f4"))
+
+    def _noise(self) -> float:
+        return 1 / math.sqrt(max(1, self.dim - 1))
+
+    def by_sign(self, a, b) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the products of vectors ``a`` (sign codes) and ``b`` (levels), all with all, and the deviations of their errors."""
+        s, r = self.sign[a][:, None], self.rest[b][None, :]
+        est = (np.where(self.level[a] > 0, np.float32(1), np.float32(-1)) @ self.level[b].T) / (math.sqrt(self.dim) * s * self.four[b][None, :])
+        return est, (np.sqrt(np.maximum(1 - s * s, 0)) + r) / s * self._noise()
+
+    def by_levels(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the products of vectors ``a`` and ``b``, pair by pair, from levels alone, and the deviations of their errors."""
+        est = np.einsum("ij,ij->i", self.level[a], self.level[b]) / (self.four[a] * self.four[b])
+        ra, rb = self.rest[a], self.rest[b]
+        return est, np.sqrt(ra * ra + rb * rb + (ra * rb) ** 2) * self._noise()
+
+
+def _undecided(codes: Codes, values: np.ndarray, band: np.ndarray, first: np.ndarray, block: np.ndarray, both: np.ndarray, cosine: float):
+    """Pairs (rows) inside buckets which the bounds do not rule out and that share no earlier band (those meet there).
 
-def least_product(factor: np.ndarray, dim: int, cosine: float) -> np.ndarray:
-    """The product of a code and a rotated vector from which on the estimate's bound lets the pair link."""
-    return (cosine - 1e-3 - SURE * deviation(factor, dim)) * math.sqrt(dim) * factor
+    Buckets begin at the rows ``first`` and lie by block; where ``both`` marks one, only pairs of different blocks count.
+    """
+    before = np.arange(values.shape[1])
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(values)], strict=True):
+        m = s + int(np.searchsorted(block[s:e], block[e - 1])) if both[s] else s
+        if e - s < 2 or (both[s] and m == s):
+            continue
+        for x in range(s, m if both[s] else e, 512):
+            rows = slice(x, min(x + 512, m if both[s] else e))
+            est, dev = codes.by_sign(rows, slice(m, e))
+            a, b = np.nonzero(est + SURE * dev >= cosine)
+            a, b = a + x, b + m
+            if not both[s]:
+                a, b = a[a < b], b[a < b]
+            est, dev = codes.by_levels(a, b)
+            keep = est + SURE * dev >= cosine
+            a, b = a[keep], b[keep]
+            for k in range(0, len(a), 1 << 14):
+                p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                fresh = ~((values[p] == values[q]) & (before < band[p][:, None])).any(axis=1)
+                yield p[fresh], q[fresh]
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -87,48 +154,6 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _candidates(x: np.ndarray, first: np.ndarray, block: np.ndarray, both: np.ndarray, cosine: float):
-    """Pairs (rows) inside buckets whose bound allows a link: the products of codes and vectors of a bucket at once.
-
-    Buckets begin at the rows ``first`` and lie by block; where ``both`` marks one, only pairs of different blocks count.
-    """
-    rotated, code, factor = (a.astype(np.float32) for a in codes(x))
-    least = least_product(factor, x.shape[1], cosine)[:, None]
-    a_out, b_out, held = [], [], 0
-    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True):
-        if e - s < 2:
-            continue
-        m = s + int(np.searchsorted(block[s:e], block[e - 1])) if both[s] else s
-        if both[s] and m == s:
-            continue
-        end = m if both[s] else e
-        a, b = np.nonzero(code[s:end] @ rotated[m:e].T >= least[s:end])
-        a, b = a + s, b + m
-        if not both[s]:
-            up = a < b
-            a, b = a[up], b[up]
-        a_out.append(a)
-        b_out.append(b)
-        held += len(a)
-        if held > 1 << 18:
-            yield np.concatenate(a_out), np.concatenate(b_out)
-            a_out, b_out, held = [], [], 0
-    if held:
-        yield np.concatenate(a_out), np.concatenate(b_out)
-
-
-def _linked(x: np.ndarray, values: np.ndarray, first: np.ndarray, block: np.ndarray, both: np.ndarray, band: np.ndarray, cosine: float):
-    """Linked pairs (rows) inside buckets that share no earlier band (those meet there), by exact cosine."""
-    before = np.arange(values.shape[1])
-    for a_all, b_all in _candidates(x, first, block, both, cosine):
-        for s in range(0, len(a_all), 1 << 14):
-            a, b = a_all[s : s + (1 << 14)], b_all[s : s + (1 << 14)]
-            fresh = ~((values[a] == values[b]) & (before < band[a][:, None])).any(axis=1)
-            a, b = a[fresh], b[fresh]
-            ok = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-            yield a[ok], b[ok]
-
-
 def _vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtype]:
     """(id, v) of every vector that can link, v its components as bytes, and their type (no precision is lost)."""
     kind = np.dtype("<f4") if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else np.dtype("<f8")
@@ -160,12 +185,29 @@ def _by_length(col: pa.Array, kind: np.dtype):
         yield at, np.frombuffer(b"".join(raw[i] for i in at.tolist()), dtype=kind).reshape(len(at), -1)
 
 
+def _buckets(group: pa.Table, names: list[str]):
+    """(rows, codes, columns) for each length of code in a group, by bucket and block."""
+    raw = np.array(group.column("code").to_pylist(), dtype=object)
+    size = np.array([len(r) for r in raw])
+    cols = {c: group.column(c).to_numpy() for c in names}
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        at = at[np.lexsort([cols[c][at] for c in ("block", "j", "i", "key")])]
+        yield at, Codes.unpacked(raw[at].tolist()), {c: v[at] for c, v in cols.items()}
+
+
+def _firsts(cols: dict) -> np.ndarray:
+    k, i, j = (cols[c] for c in ("key", "i", "j"))
+    return np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+
+
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """A row for each row: id, n_links, component_id, kept (id is its component's smallest).
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id,
-    have no links (component_id is their own id). Equal vectors are one from the start, so a common
-    vector costs a sum. Vectors of different lengths never meet. A bucket is compared in blocks; counts
+    have no links (component_id is their own id); an empty table gives no rows; vectors may be of any length, and those of
+    different lengths never meet; other columns are not read, whatever their names. Equal vectors are one from the start, so a common
+    vector costs a sum. A bucket is compared in blocks; counts
     and a spanning forest of the links leave a task, never the pairs. Links are exact: double-precision
     cosines decide, and a pair counts in the first band that it shares. Rows that repeat an id with the
     same vector count as further vectors.
@@ -173,71 +215,96 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     spark = vectors.sparkSession
     rows, kind = _vectors(vectors, id_col, vec_col)
     good = stage(rows, "vectors")
-    nodes = stage(good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    bits, bands = plan_bands(nodes.count(), cosine)
+    nodes = good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     id_type = vectors.schema[id_col].dataType
-    few = np.dtype("<u2" if bits <= 16 else "<u4")
-    coded = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("bands", T.BinaryType())])
-    out = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("id", id_type)])
+    coded = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("code", T.BinaryType())])
 
     def encode(batches):
         for b in batches:
             for at, x in _by_length(b.column(2), kind):
-                values = band_values(unit(x), bits, bands).astype(few)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(3)), pa.array([v.tobytes() for v in values], pa.binary())], names=coded.names)
+                packed = Codes.of(unit(x)).packed()
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(3)), pa.array(packed, pa.binary())], names=coded.names)
+
+    nodes = stage(nodes.select("id", "n", "v").mapInArrow(encode, coded), "coded")
+    bits, bands = plan_bands(nodes.count(), cosine)
+    dealt = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.ShortType()), T.StructField("id", id_type), T.StructField("code", T.BinaryType())])
 
     def deal(batches):
         for b in batches:
-            values = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=few).reshape(-1, bands)
-            key = band_keys(values, pc.binary_length(b.column(2)).to_numpy() // kind.itemsize)
-            who = pa.array(np.repeat(np.arange(len(values)), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(values))), b.column(0).take(who)], names=out.names)
-
-    nodes = stage(nodes.select("id", "n", "v").mapInArrow(encode, coded), "coded")
-    # a bucket of one vector has no pair: count by key before vectors are sent
-    keys = stage(nodes.select("id", "bands", "v").mapInArrow(deal, out), "band-keys")
-    size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+            raw = b.column(1).to_pylist()
+            size = np.array([len(r) for r in raw])
+            for n in np.unique(size):
+                for some in np.array_split(at := np.flatnonzero(size == n), -(-len(at) // 1024)):
+                    codes = Codes.unpacked([raw[i] for i in some.tolist()])
+                    key = band_keys(band_values(codes.level, bits, bands), codes.dim)
+                    who = pa.array(np.repeat(some, bands))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int16), len(some))), b.column(0).take(who), b.column(1).take(who)], names=dealt.names)
+
+    member = nodes.select("id", "code").mapInArrow(deal, dealt)
+    sizes = stage(member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    some = sizes.agg(F.count(F.lit(1)), F.sum(F.ceil(F.col("size") / BLOCK) * F.col("size"))).head()
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = keys.join(size, "key").select("key", "band", "id", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "id"), blocks.cast("long")).cast("int").alias("block"))
-    spread = member.select("key", "band", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    spread = spread.select("key", "band", "id", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    spread = stage(spread, "band-members")
-    cells = max(1, spread.count() // 4000)
-    rows = spread.join(nodes, "id").withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))
+    spread = member.join(F.broadcast(sizes) if some[0] <= SENT else sizes, "key")
+    spread = spread.select("key", "band", "id", "code", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "id"), blocks.cast("long")).cast("int").alias("block"))
+    spread = spread.select("key", "band", "id", "code", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    spread = spread.select("key", "band", "id", "code", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def cell(rows: int):
+        return F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, int(rows) // 4000)))
+
+    left = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.ShortType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("id", id_type)])
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keep = []
+        for at, codes, cols in _buckets(group, ["key", "band", "i", "j", "block"]):
+            values = band_values(codes.level, bits, bands)
+            for p, q in _undecided(codes, values, cols["band"], _firsts(cols), cols["block"], cols["i"] != cols["j"], cosine):
+                keep += [at[np.unique(p)], at[np.unique(q)]]
+        return group.take(pa.array(np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *keep])))).select(left.names)
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, raw = group.column("id"), group.column("v").combine_chunks()
-        cols = {c: group.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "n")}
         a_out, b_out, n_out = [], [], []
-        for at, x in _by_length(raw, kind):
-            by = np.lexsort([cols[c][at] for c in ("block", "j", "i", "key")])
-            order = at[by]
-            values = np.frombuffer(b"".join(group.column("bands").take(pa.array(order)).to_pylist()), dtype=few).reshape(-1, bands)
-            k, i, j = (cols[c][order] for c in ("key", "i", "j"))
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            count, forest, w = np.zeros(len(order), dtype=np.int64), _Forest(len(order)), cols["n"][order]
-            for p, q in _linked(unit(x[by]), values, first, cols["block"][order], i != j, cols["band"][order], cosine):
+        for at, codes, cols in _buckets(group, ["key", "band", "i", "j", "block", "n"]):
+            values = band_values(codes.level, bits, bands)
+            x = unit(np.frombuffer(b"".join(group.column("v").take(pa.array(at)).to_pylist()), dtype=kind).reshape(len(at), -1))
+            count, forest, w = np.zeros(len(at), dtype=np.int64), _Forest(len(at)), cols["n"]
+            for p, q in _undecided(codes, values, cols["band"], _firsts(cols), cols["block"], cols["i"] != cols["j"], cosine):
+                ok = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                p, q = p[ok], q[ok]
                 np.add.at(count, p, w[q])
                 np.add.at(count, q, w[p])
                 for y, z in zip(p.tolist(), q.tolist(), strict=True):
                     forest.join(y, z)
             some = np.flatnonzero(count)
-            a_out.append(order[some])
-            b_out.append(order[np.array([forest.root(y) for y in some.tolist()], dtype=np.int64)])
+            a_out.append(at[some])
+            b_out.append(at[np.array([forest.root(y) for y in some.tolist()], dtype=np.int64)])
             n_out.append(count[some])
-        a, b, n = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (a_out, b_out, n_out))
-        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "links": pa.array(n)})
+        a, b, n = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (a_out, b_out, n_out))
+        return pa.table({"a": group.column("id").take(pa.array(a)), "b": group.column("id").take(pa.array(b)), "links": pa.array(n)})
 
-    found = rows.groupBy("cell").applyInArrow(link, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("links", T.LongType())]))
+    met = stage(spread.withColumn("cell", cell(some[1] or 0)).groupBy("cell").applyInArrow(meet, left), "undecided")
+    met_rows = met.count()
+    whole = met.join(nodes, "id").withColumn("cell", cell(met_rows))
+    found = whole.groupBy("cell").applyInArrow(link, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("links", T.LongType())]))
     found = stage(found, "vector-links")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.select("a", "b"))
     # copies of a vector link with each other, and with all that one of them links with
-    full = nodes.join(links, "id", "left").join(comp, "id", "left").select("v", "id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    per = good.join(full.select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"), "v").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component_id"))
-    return vectors.select(F.col(id_col)).join(per.withColumnRenamed("id", id_col), id_col, "left").select(
-        id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(id_col)).alias("component_id"), F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)).alias("kept")
+    full = nodes.select("id", "n", "v").join(links, "id", "left").join(comp, "id", "left").select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    full = stage(full, "vector-nodes")
+    # the few vectors with a good part of all rows are sent to every task, so none gets all rows of one
+    most = (full.agg(F.sum("n")).head()[0] or 0) / HOT
+    hot, cold = (full.where(c).drop("n") for c in (F.col("n") > most, F.col("n") <= most))
+    named = good.join(F.broadcast(hot), "v")
+    if not is_empty(cold):
+        rest = good if is_empty(hot) else good.join(F.broadcast(hot.select("v")), "v", "left_anti")
+        named = named.unionByName(rest.join(cold, "v"))
+    per = named.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component_id"))
+    out = vectors.select(F.col(id_col).alias("vec")).join(per, F.col("vec") == F.col("id"), "left")
+    return out.select(
+        F.col("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec"), F.lit(True)).alias("kept")
     )
 
 
