@@ -60,6 +60,81 @@ def multiply_matrices(a: Column, b: Column) -> Column:
     return F.array(*(sum((a[4 * r + k] * b[4 * k + c] for k in range(1, 4)), a[4 * r] * b[c]) for r in range(4) for c in range(4)))
 
 
+def _det3(m: list) -> Column:
+    return m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
+
+
+def inverse_matrix(m: Column) -> Column:
+    """Inverse of a row-major 4 x 4 matrix by cofactors; null where there is none."""
+    part = lambda r, c: _det3([m[4 * i + j] for i in range(4) if i != r for j in range(4) if j != c]) * (-1) ** (r + c)
+    cofactor = {(r, c): part(r, c) for r in range(4) for c in range(4)}
+    det = sum((m[c] * cofactor[0, c] for c in range(1, 4)), m[0] * cofactor[0, 0])
+    return F.when(det != 0, F.array(*(cofactor[c, r] / F.nullif(det, F.lit(0.0)) for r in range(4) for c in range(4))))
+
+
+def transposed(m: Column, n: int) -> Column:
+    return F.array(*(m[n * c + r] for r in range(n) for c in range(n)))
+
+
+def product(a: Column, b: Column, n: int) -> Column:
+    """Product of two row-major n x n matrices."""
+    return F.array(*(sum((a[n * r + k] * b[n * k + c] for k in range(1, n)), a[n * r] * b[c]) for r in range(n) for c in range(n)))
+
+
+def axis_rotation(axis: Column, angle: Column) -> Column:
+    """Row-major 3 x 3 rotation about an axis by an angle in radians."""
+    k = unit(axis)
+    c, s = F.cos(angle), F.sin(angle)
+    skew = [0, (-1, 2), (1, 1), (1, 2), 0, (-1, 0), (-1, 1), (1, 0), 0]
+    out = []
+    for r in range(3):
+        for q in range(3):
+            v = k[r] * k[q] * (1 - c) + (c if r == q else F.lit(0.0))
+            if r != q:
+                sign, at = skew[3 * r + q]
+                v = v + k[at] * s * sign
+            out.append(v)
+    return F.array(*out)
+
+
+def rotation_onto(a: Column, b: Column) -> Column:
+    """The rotation that turns ``a`` to the direction of ``b``; about any axis across for opposite ones."""
+    u, v = unit(a), unit(b)
+    n = cross(u, v)
+    same = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
+    side = F.when(F.abs(u[0]) < 0.9, F.array(*map(F.lit, (1.0, 0.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, 0.0))))
+    parallel = F.when(dot(u, v) > 0, same).otherwise(axis_rotation(cross(u, side), F.pi()))
+    return F.when(norm(n) < 1e-9, parallel).otherwise(axis_rotation(n, F.atan2(norm(n), dot(u, v))))
+
+
+def quaternion_rotation(q: Column) -> Column:
+    """Row-major 3 x 3 rotation of a unit quaternion (w, x, y, z)."""
+    w, x, y, z = (q[k] for k in range(4))
+    return F.array(
+        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+        2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+        2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+    )
+
+
+def view_points(points: Column, width: int, height: int, mm_x: float, mm_y: float) -> Column:
+    """Points given as shares of a slice view (x, y) in millimetres."""
+    return F.transform(points, lambda p: F.array(p[0] * ((width - 1) * mm_x), p[1] * ((height - 1) * mm_y), F.lit(0.0)))
+
+
+def view_angle(p: Column) -> Column:
+    """Angle in degrees at the second of three points; arms without length count as of length 1."""
+    u, v = minus(p[0], p[1]), minus(p[2], p[1])
+    n = norm(u) * norm(v)
+    cos = dot(u, v) / F.when(n == 0, 1.0).otherwise(n)
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+
+
+def view_ellipse(p: Column) -> Column:
+    """Area of the ellipse in the box of two points."""
+    return ellipse_area(F.abs(p[1][0] - p[0][0]) / 2, F.abs(p[1][1] - p[0][1]) / 2)
+
+
 def flip_point(p: Column) -> Column:
     """Between the two patient frames that differ in the signs of x and y."""
     return F.array(-p[0], -p[1], p[2])

@@ -99,3 +99,16 @@ def number_list(s: Column) -> Column:
     """Backslash-separated decimal strings; what is not a finite number goes."""
     x = F.transform(F.split(s, r"\\"), lambda p: F.trim(p).try_cast("double"))
     return F.filter(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
+
+def voxel_text(voxels: Column, mm3_a_voxel: float) -> Column:
+    """Count with thousands separators and volume, as a panel shows them."""
+    mm3 = voxels * mm3_a_voxel
+    size = F.when(mm3 >= 1000, F.format_string("%.2f cm3", (mm3 / 1000).cast("double"))).otherwise(F.concat(F.floor(mm3 + 0.5).cast("string"), F.lit(" mm3")))
+    return F.when(F.coalesce(voxels, F.lit(0)) == 0, "0 voxels").otherwise(F.concat(F.format_number(voxels, 0), F.lit(" voxels · "), size))
+
+
+def csv_value(text: Column, key: str) -> Column:
+    """Number in the second cell of the first line that begins with a key; null if there is none. A decimal comma ends the cell."""
+    cell = F.nullif(F.regexp_extract(text, rf"(?m)^{key},([^,\r\n]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(cell, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1), F.lit("")).try_cast("double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.jsnum import clamp
@@ -50,7 +50,7 @@ def arch_sums(vox: DataFrame, z0: int, z1: int) -> DataFrame:
     mip = axial_mip(vox, z0, z1)
     r = mip.groupBy("volume_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     t = F.col("lo") + 0.55 * (F.col("hi") - F.col("lo"))
-    p = mip.join(F.broadcast(r), "volume_id").where(F.col("v") >= t).withColumn("w", F.col("v") - t)
+    p = mip.join(r, "volume_id").where(F.col("v") >= t).withColumn("w", F.col("v") - t)
     x, y, w = F.col("x").cast("double"), F.col("y").cast("double"), F.col("w")
     sums = {"s0": w, "sx": w * x, "sx2": w * x * x, "sx3": w * x * x * x, "sx4": w * x * x * x * x, "sy": w * y, "sxy": w * x * y, "sx2y": w * x * x * y}
     return p.groupBy("volume_id").agg(*(F.sum(e).alias(k) for k, e in sums.items()), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.count(F.lit(1)).alias("n"))
@@ -93,3 +93,30 @@ def curved_reformation(vox: DataFrame, grid: Grid, samples: DataFrame, z0: int,
     band = vox.where(F.col("z").between(z0, z1)).select("volume_id", F.col("x").cast("long"), F.col("y").cast("long"), "z", "v")
     value = band.join(c, ["volume_id", "x", "y"]).groupBy("volume_id", "k", "z", "b").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return value.groupBy("volume_id", F.col("k").alias("col"), (z1 - F.col("z")).alias("row")).agg((F.avg if mean else F.max)("v").alias("v"))
+
+
+def _to_segment(p: Column, a: Column, b: Column) -> Column:
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    n = dx * dx + dy * dy
+    t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(n, F.lit(0.0)))))
+    return F.hypot(p["x"] - (a["x"] + t * dx), p["y"] - (a["y"] + t * dy))
+
+
+def insert_place(curve: Column, p: Column) -> Column:
+    """Place (from 0) at which a point joins the control points of a curve: in its nearest segment, or before or after the nearer end."""
+    n = F.size(curve)
+    each = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(_to_segment(p, F.element_at(curve, k), F.element_at(curve, k + 1)).alias("d"), k.alias("k")))
+    near = F.array_min(each)
+    ends = [F.hypot(p["x"] - e["x"], p["y"] - e["y"]) for e in (F.element_at(curve, 1), F.element_at(curve, n))]
+    inside = F.when((ends[0] < near["d"]) & (ends[0] <= ends[1]), 0).when(ends[1] < near["d"], n).otherwise(near["k"])
+    return F.when(n < 2, n).otherwise(inside)
+
+
+def with_control_point(curve: Column, p: Column) -> Column:
+    at = insert_place(curve, p)
+    return F.concat(F.slice(curve, F.lit(1), at), F.array(p), F.slice(curve, at + 1, F.size(curve)))
+
+
+def without_control_point(curve: Column, at: Column) -> Column:
+    """The curve without its point at a place (from 0), if more than two are there."""
+    return F.when(F.size(curve) > 2, F.filter(curve, lambda _, k: k != at)).otherwise(curve)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.voxels import Grid
+from voxloom.operators.masks import component_roots, remove_small
+from voxloom.operators.staging import written
+from voxloom.operators.voxels import Grid, crop, ct_normalize, resample_linear, resample_nearest, zscore
 
 
 def window_starts(size: Column, window: int, overlap: float) -> Column:
@@ -112,6 +115,56 @@ def segment_mean(vox: DataFrame, grid: Grid, model: Callable, window: tuple[int,
     return rows.groupBy("volume_id", "i").agg(F.avg("p").alias("prob")).where("prob > 0.5")
 
 
+@dataclass(frozen=True)
+class ModelConfig:
+    """What a segmentation model expects: its classes, window and spacing (z, y, x), and the normalisation of its input."""
+
+    classes: int
+    window: tuple[int, int, int]
+    spacing: tuple[float, float, float]
+    low: float
+    high: float
+    mean: float
+    std: float
+    overlap: float = 0.5
+    keep_small: tuple[int, ...] = ()  # labels whose small components stay
+
+
+#: Settings that come with the published models (fixed values).
+ANATOMY = ModelConfig(6, (128, 160, 112), (0.43164101243019104, 0.31200000643730164, 0.43164101243019104), -208.0, 3070.0, 1178.261474609375, 611.7098999023438, keep_small=(5,))
+SKIN = ModelConfig(2, (128, 128, 128), (0.4, 0.4, 0.4), -931.0, 1543.0, 12.869, 370.557)
+
+
+def segment_volume(vox: DataFrame, grid: Grid, model: Callable, config: ModelConfig, min_mm3: float = 0.0) -> DataFrame:
+    """(volume_id, i, x, y, z, label) on the source grid: resample to the model's spacing, normalise, run
+    the model on windows, keep the surest label, and bring labels back to the source grid by the nearest voxel.
+
+    With ``min_mm3`` components below it lose their label, but for ``config.keep_small``.
+    """
+    sz, sy, sx = config.spacing
+    size = lambda n, a, b: max(1, int(np.floor(n * a / b + 0.5)))
+    inner = Grid(size(grid.width, grid.sx, sx), size(grid.height, grid.sy, sy), size(grid.depth, grid.sz, sz), sx, sy, sz)
+    near = written(ct_normalize(resample_linear(vox, grid, inner), config.low, config.high, config.mean, config.std), "model-input")
+    found = segment_argmax(near, inner, model, config.window, config.overlap, "norm")
+    labels = written(inner.coords(found.select("volume_id", "i", "label")), "model-labels")
+    back = resample_nearest(labels, inner, grid, "label").withColumn("i", grid.index(F.col("x"), F.col("y"), F.col("z")))
+    back = back.select("volume_id", *(F.col(c).cast("long") for c in ("i", "x", "y", "z", "label")))
+    if not min_mm3:
+        return back
+    rooted = written(component_roots(back.where("label > 0"), grid, 6, by="label"), "model-roots")
+    small = rooted.where(~F.col("label").isin(*config.keep_small)) if config.keep_small else rooted
+    kept = remove_small(small, min_mm3, grid).unionByName(rooted.where(F.col("label").isin(*config.keep_small))) if config.keep_small else remove_small(small, min_mm3, grid)
+    return back.select("volume_id", "i", "x", "y", "z").join(kept.select("volume_id", "i", "label"), ["volume_id", "i"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def segment_region(vox: DataFrame, grid: Grid, model: Callable, lo: tuple[int, int, int], hi: tuple[int, int, int], window: tuple[int, int, int] = (96, 96, 96), overlap: float = 0.25) -> DataFrame:
+    """(volume_id, i, prob) on the source grid of the foreground in a box (x, y, z): z-scores of the box, mean probability over windows above one half."""
+    inner = Grid(*(b - a for a, b in zip(lo, hi, strict=True)), grid.sx, grid.sy, grid.sz)
+    near = written(zscore(crop(vox, lo, hi)), "region-input")
+    found = inner.coords(segment_mean(near, inner, model, window, overlap, "norm"))
+    return found.select("volume_id", grid.index(*(F.col(c) + a for c, a in zip("xyz", lo, strict=True))).alias("i"), "prob")
+
+
 def onnx_model(path: str, input_name: str = "input") -> Callable:
     """A model read from an ONNX file that every executor can open, once for each worker."""
     cache: dict = {}

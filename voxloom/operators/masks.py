@@ -14,6 +14,7 @@ from voxloom.operators.staging import linked_sets, written
 from voxloom.operators.voxels import Grid
 
 BRICK = 64
+SLAB = 32  # lines of a distance pass that are gathered together, in either direction
 _SHIFT = 1 << 40  # volumes' voxels as one number: volume_id * 2**40 + i
 
 #: Named ranges in Hounsfield units (fixed values).
@@ -178,6 +179,26 @@ def erode(mask: DataFrame, grid: Grid, connectivity: int = 6) -> DataFrame:
     return mask.join(n.where(F.col("_n") == need), ["volume_id", "i"], "left_semi")
 
 
+def mask_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("volume_id", "i", "x", "y", "z")
+
+
+def opening(mask: DataFrame, grid: Grid, connectivity: int = 6) -> DataFrame:
+    """Erosion, then dilation: what is thinner than the neighbourhood goes."""
+    return dilate(written(erode(mask, grid, connectivity), "eroded"), grid, connectivity)
+
+
+def closing(mask: DataFrame, grid: Grid, connectivity: int = 6) -> DataFrame:
+    """Dilation, then erosion: gaps narrower than the neighbourhood are filled; beyond the grid nothing is set."""
+    return erode(written(dilate(mask, grid, connectivity), "dilated"), grid, connectivity)
+
+
+def split_masks(rooted: DataFrame, most: int = 24) -> DataFrame:
+    """(volume_id, part, i, x, y, z): the ``most`` largest components as masks of their own, part 1 the largest."""
+    top = largest(rooted, most).select("volume_id", "root", F.col("rank").alias("part"))
+    return rooted.join(top, ["volume_id", "root"]).select("volume_id", "part", "i", "x", "y", "z")
+
+
 def exposed_faces(mask: DataFrame, grid: Grid) -> DataFrame:
     """(volume_id, i, dx, dy, dz): faces without a set voxel beyond."""
     s = mask.select("volume_id", "i", "x", "y", "z", _steps(offsets(6)).alias("d")).select("volume_id", "i", "x", "y", "z", "d.*")
@@ -205,29 +226,48 @@ def downsample_any(mask: DataFrame, stride: int) -> DataFrame:
     return mask.select("volume_id", *(F.floor(F.col(c) / stride).alias(c) for c in "xyz")).distinct()
 
 
-def squared_distance(vox: DataFrame, mask: DataFrame, grid: Grid) -> DataFrame:
-    """Squared distance in voxels of every set voxel to the nearest unset one, by three passes over lines.
+def local_maxima(rows: DataFrame, value: str, reach: int) -> DataFrame:
+    """``rows`` (volume_id, x, y, z, value) that no row at most ``reach`` steps away along each axis exceeds; one axis after another, by windows over lines."""
+    out = rows.withColumn("_top", F.col(value))
+    for axis in "xyz":
+        line = Window.partitionBy("volume_id", *(c for c in "xyz" if c != axis)).orderBy(axis).rangeBetween(-reach, reach)
+        out = out.withColumn("_top", F.max("_top").over(line))
+    return out.where(F.col(value) == F.col("_top")).drop("_top")
+
 
-    A pass gathers one line of one axis, so no task holds more than a line at a time. Without any unset
+def squared_distance(vox: DataFrame, mask: DataFrame, grid: Grid, in_mm: bool = False) -> DataFrame:
+    """Squared distance in voxels, or in millimetres, of every set voxel to the nearest unset one, by three passes over lines.
+
+    A pass gathers ``SLAB`` x ``SLAB`` lines of one axis at a time, and looks along them as far as distances reach. Without any unset
     voxel in the volume the distance stays at 1e20.
     """
     far = 1e20
     rows = vox.select("volume_id", "x", "y", "z").join(mask.select("volume_id", "x", "y", "z", F.lit(True).alias("_m")), ["volume_id", "x", "y", "z"], "left")
     rows = rows.select(*(F.col(c).cast("long") for c in ("volume_id", "x", "y", "z")), F.when(F.col("_m"), F.lit(far)).otherwise(F.lit(0.0)).alias("d"))
 
-    def along(axis: str):
+    def along(axis: str, n: int, step: float):
+        others = [c for c in "xyz" if c != axis]
+
         def run(group: pa.Table) -> pa.Table:
             at = group.column(axis).to_numpy()
-            f = group.column("d").to_numpy()
-            d = np.empty_like(f)
-            for s in range(0, len(at), 256):  # bounded memory on long lines
-                d[s : s + 256] = ((at[s : s + 256, None] - at[None, :]).astype(float) ** 2 + f[None, :]).min(axis=1)
-            return group.set_column(group.schema.get_field_index("d"), "d", pa.array(np.minimum(d, far)))
-
-        return run
-
-    for axis in "xyz":
-        rows = rows.groupBy("volume_id", *(c for c in "xyz" if c != axis)).applyInArrow(along(axis), rows.schema)
+            a, b = (group.column(c).to_numpy() for c in others)
+            _, line = np.unique(a * (1 << 32) + b, return_inverse=True)
+            f = np.full((line.max() + 1, n), np.inf)
+            f[line, at] = group.column("d").to_numpy()
+            d = f.copy()
+            for k in range(1, n):
+                away = (k * step) ** 2
+                if away >= d[line, at].max():  # nothing so far away can be nearer
+                    break
+                np.minimum(d[:, k:], f[:, :-k] + away, out=d[:, k:])
+                np.minimum(d[:, :-k], f[:, k:] + away, out=d[:, :-k])
+            return group.set_column(group.schema.get_field_index("d"), "d", pa.array(np.minimum(d[line, at], far)))
+
+        return run, [F.floor(F.col(c) / SLAB).alias(f"_s{c}") for c in others]
+
+    for axis, n, step in (("x", grid.width, grid.sx), ("y", grid.height, grid.sy), ("z", grid.depth, grid.sz)):
+        run, slab = along(axis, n, step if in_mm else 1)
+        rows = rows.groupBy("volume_id", *slab).applyInArrow(run, rows.schema)
     return rows.join(mask.select("volume_id", "x", "y", "z"), ["volume_id", "x", "y", "z"], "left_semi").withColumnRenamed("d", "d2")
 
 

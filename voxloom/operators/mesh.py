@@ -42,8 +42,9 @@ def triangle_normal(prefix: str = "") -> list[Column]:
     return [F.when(length == 0, 0.0).otherwise(c / F.nullif(length, F.lit(0.0))) for c in n]
 
 
+#: Corners of a cube in order (fixed values).
 _CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-#: The six tetrahedra around the diagonal of a cube, by corner.
+#: The six tetrahedra around the diagonal of a cube, by corner (fixed values).
 _TETS = [(0, 5, 1, 6), (0, 1, 2, 6), (0, 2, 3, 6), (0, 3, 7, 6), (0, 7, 4, 6), (0, 4, 5, 6)]
 
 
@@ -93,8 +94,7 @@ def decimated(triangles: DataFrame, ratio: float, order: list[str]) -> DataFrame
     k = max(1, int(np.floor(1 / (1 - ratio) + 0.5))) if ratio < 1 else 1
     if k == 1:
         return triangles
-    n = F.row_number().over(Window.partitionBy("volume_id").orderBy(*order)) - 1
-    return triangles.withColumn("_n", n).where(F.col("_n") % k == 0).drop("_n")
+    return _numbered(triangles, order).where(F.col("n") % k == 0).drop("n")
 
 
 def smoothed(triangles: DataFrame, rounds: int, factor: float = 0.35) -> DataFrame:
@@ -127,3 +127,35 @@ def stl_files(triangles: DataFrame, by: str = "volume_id") -> DataFrame:
         return pa.table({by: [group.column(by)[0].as_py()], "content": pa.array([b"\0" * 80 + struct.pack("<I", len(rec)) + rec.tobytes()], pa.binary())})
 
     return triangles.select(by, *cols).groupBy(by).applyInArrow(run, f"{by} long, content binary")
+
+
+def ply_lines(triangles: DataFrame, order: list[str], comment: str = "binary mask surface") -> DataFrame:
+    """(volume_id, part, n, value): lines of an ASCII PLY file of each mesh, in order by part and n, to be written as text.
+
+    Triangles are numbered by ranges: each task's base is the count of those before it, so no task sees a whole mesh.
+    """
+    numbered = _numbered(triangles, order)
+    tri = numbered.select("volume_id", "n", *(f"{p}{c}" for p in "abc" for c in "xyz"))
+    text = lambda p: F.concat_ws(" ", *(F.col(f"{p}{c}").cast("string") for c in "xyz"))
+    vertex = tri.select("volume_id", F.lit(1).alias("part"), F.posexplode(F.array(*(text(p) for p in "abc"))).alias("k", "value"), "n").select("volume_id", "part", (F.col("n") * 3 + F.col("k")).alias("n"), "value")
+    face = tri.select("volume_id", F.lit(2).alias("part"), "n", F.concat_ws(" ", F.lit("3"), *((F.col("n") * 3 + k).cast("string") for k in range(3))).alias("value"))
+    count = tri.groupBy("volume_id").agg(F.count(F.lit(1)).alias("t"))
+    head = ["ply", "format ascii 1.0", f"comment {comment}", None, "property float x", "property float y", "property float z", None, "property list uchar int vertex_indices", "end_header"]
+    lines = [F.concat(F.lit("element vertex " if k == 3 else "element face "), (F.col("t") * (3 if k == 3 else 1)).cast("string")) if h is None else F.lit(h) for k, h in enumerate(head)]
+    top = count.select("volume_id", F.lit(0).alias("part"), F.posexplode(F.array(*lines)).alias("n", "value")).withColumn("n", F.col("n").cast("long"))
+    return top.unionByName(vertex).unionByName(face)
+
+
+def _numbered(triangles: DataFrame, order: list[str]) -> DataFrame:
+    """``triangles`` with n, their place (from 0) in their mesh by ``order``.
+
+    Rows are dealt by ranges and counted by mesh and partition; the counts of the partitions before give each its base.
+    """
+    from voxloom.operators.staging import written
+
+    rows = triangles.repartitionByRange("volume_id", *order).sortWithinPartitions("volume_id", *order)
+    rows = written(rows.withColumn("_part", F.spark_partition_id()), "mesh-order")
+    before = Window.partitionBy("volume_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("volume_id", "_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("volume_id", "_part").orderBy(*order)) - 1
+    return rows.join(base.drop("_c"), ["volume_id", "_part"]).withColumn("n", inside + F.col("_base")).drop("_part", "_base")

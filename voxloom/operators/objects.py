@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUADRANTS = {1: "Upper Right", 2: "Upper Left", 3: "Lower Left", 4: "Lower Right"}
 POSITIONS = ["Central Incisor", "Lateral Incisor", "Canine", "First Premolar", "Second Premolar", "First Molar", "Second Molar", "Third Molar"]
 
-#: (reason, column, least, most): outside of the limits the reason applies (fixed values).
-LIMITS = [
-    ("low-volume", "voxels", 10_000, None),
-    ("high-volume", "voxels", None, 140_000),
-    ("off-arch-z", "cz", 55, 260),
-    ("off-arch-y", "cy", 55, 380),
-    ("off-arch-x", "cx", 95, 520),
-]
-_ORDER = ["low-volume", "high-volume", "flat-or-clipped", "oversized", "off-arch-z", "off-arch-y", "off-arch-x"]
+#: Limits of a sound object, and two names of each reason: as the library lists it and as the curation does (fixed values).
+LEAST_VOXELS, MOST_VOXELS = 10_000, 140_000
 LEAST_EXTENT, MOST_EXTENT = 18, (115, 95, 100)
-GOOD_VOXELS, GOOD_EXTENT = (18_000, 120_000), (22, (105, 90, 95))
+LEAST_CENTER, MOST_CENTER = (55, 55, 95), (260, 380, 520)
+GOOD_VOXELS, LEAST_GOOD_EXTENT, MOST_GOOD_EXTENT = (18_000, 120_000), 22, (105, 90, 95)
+REASONS = ("low-volume", "high-volume", "flat-or-clipped", "oversized", "off-arch-z", "off-arch-y", "off-arch-x")
+CURATION_REASONS = ("small-fragment", "large-region", "thin-fragment", "broad-region", "z-outlier", "y-outlier", "x-outlier")
 
 
-def quality(objects: DataFrame) -> DataFrame:
+def quality(objects: DataFrame, names: tuple[str, ...] = REASONS) -> DataFrame:
     """``objects`` (voxels, ez, ey, ex, cz, cy, cx) with quality_status, quality_reasons and quality_score."""
-    fails = {r: F.lit(False) if lo is None else F.col(c) < lo for r, c, lo, _ in LIMITS}
-    for r, c, _, hi in LIMITS:
-        if hi is not None:
-            fails[r] = fails[r] | (F.col(c) > hi)
     extents = [F.col(c) for c in ("ez", "ey", "ex")]
-    fails["flat-or-clipped"] = F.least(*extents) < LEAST_EXTENT
-    fails["oversized"] = (extents[0] > MOST_EXTENT[0]) | (extents[1] > MOST_EXTENT[1]) | (extents[2] > MOST_EXTENT[2])
-    reasons = F.array_compact(F.array(*(F.when(fails[r], F.lit(r)) for r in _ORDER)))
-    fits = F.lit(True)
-    for e, most in zip(extents, GOOD_EXTENT[1], strict=True):
-        fits = fits & e.between(GOOD_EXTENT[0], most)
+    over = lambda most: [e > m for e, m in zip(extents, most, strict=True)]
+    fails = [
+        F.col("voxels") < LEAST_VOXELS,
+        F.col("voxels") > MOST_VOXELS,
+        F.least(*extents) < LEAST_EXTENT,
+        reduce(or_, over(MOST_EXTENT)),
+        *(~F.col(c).between(lo, hi) for c, lo, hi in zip(("cz", "cy", "cx"), LEAST_CENTER, MOST_CENTER, strict=True)),
+    ]
+    reasons = F.array_compact(F.array(*(F.when(f, F.lit(r)) for f, r in zip(fails, names, strict=True))))
+    fits = (F.least(*extents) >= LEAST_GOOD_EXTENT) & ~reduce(or_, over(MOST_GOOD_EXTENT))
     score = 1.0 - 0.18 * F.size(reasons) + F.when(F.col("voxels").between(*GOOD_VOXELS), 0.12).otherwise(0.0) + F.when(fits, 0.12).otherwise(0.0)
     score = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 1000 + 0.5) / 1000
     status = F.when(F.size(reasons) == 0, "accepted").otherwise("review")
@@ -130,8 +129,10 @@ def median_spacing(slices: DataFrame, by: str, location: str) -> DataFrame:
     return s.groupBy(by).agg(d.alias("d")).select(by, F.try_element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int")).alias("spacing"))
 
 
-def pick_series(slices: DataFrame, series: str, position: str, localizer: Column) -> DataFrame:
-    """Series by rank: no localizer first, then most different positions, then fewest duplicates."""
-    s = slices.groupBy(series).agg(F.max(localizer).alias("localizer"), F.count_distinct(position).alias("slices"), (F.count(F.lit(1)) - F.count_distinct(position)).alias("duplicates"))
+def pick_series(slices: DataFrame, series: str, position: str, localizer: Column, by: str | None = None) -> DataFrame:
+    """Series by rank, within a study or patient where ``by`` names it: no localizer first, then most different positions, then fewest duplicates."""
+    keys = [by] if by else []
+    s = slices.groupBy(*keys, series).agg(F.max(localizer).alias("localizer"), F.count_distinct(position).alias("slices"), (F.count(F.lit(1)) - F.count_distinct(position)).alias("duplicates"))
     # one row a series: ranking them is small beside the slices
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("localizer", F.desc("slices"), "duplicates", series)).cast("long"))
+    w = Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))
+    return s.withColumn("rank", F.row_number().over(w.orderBy("localizer", F.desc("slices"), "duplicates", series)).cast("long"))

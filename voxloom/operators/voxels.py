@@ -91,7 +91,7 @@ def histogram(vox: DataFrame, bins: int = BINS) -> DataFrame:
     r = scalar_range(vox)
     span = F.greatest(F.lit(1), F.col("hi") - F.col("lo"))
     at = clamp(round_half_up((F.col("v") - F.col("lo")) / span * (bins - 1)), 0, bins - 1)
-    return vox.select("volume_id", "v").join(F.broadcast(r), "volume_id").groupBy("volume_id", at.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    return vox.select("volume_id", "v").join(r, "volume_id").groupBy("volume_id", at.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram_quantiles(hist: DataFrame, parts: dict[str, float], bins: int = BINS) -> DataFrame:
@@ -124,14 +124,14 @@ def ct_normalize(vox: DataFrame, lo: float, hi: float, mean: float, std: float)
 
 def zscore(vox: DataFrame) -> DataFrame:
     s = vox.groupBy("volume_id").agg(F.avg("v").alias("mean"), one_if_zero(F.stddev_pop("v")).alias("std"))
-    return vox.join(F.broadcast(s), "volume_id").withColumn("norm", (F.col("v") - F.col("mean")) / F.col("std")).drop("mean", "std")
+    return vox.join(s, "volume_id").withColumn("norm", (F.col("v") - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
 def percentile_normalize(vox: DataFrame, lower: float = 0.5, upper: float = 99.5, out: tuple[float, float] = (0.0, 1.0), bins: int = BINS) -> DataFrame:
     """Clip to the bins where the running count reaches the percentiles, then scale to ``out``."""
     r = vox.groupBy("volume_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     scale = (bins - 1) / (F.col("hi") - F.col("lo"))
-    rows = vox.join(F.broadcast(r), "volume_id")
+    rows = vox.join(r, "volume_id")
     at = F.when(F.col("hi") > F.col("lo"), round_half_up((F.col("v") - F.col("lo")) * scale)).otherwise(F.lit(0))
     hist = rows.groupBy("volume_id", at.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("volume_id").orderBy("bin")
@@ -144,7 +144,7 @@ def percentile_normalize(vox: DataFrame, lower: float = 0.5, upper: float = 99.5
     high = F.when((high <= low) & ~same, low + (F.col("hi") - F.col("lo")) / bins).otherwise(high)
     q = q.select("volume_id", low.alias("lower_value"), high.alias("upper_value"), same.alias("flat"))
     t = clamp((F.col("v") - F.col("lower_value")) / F.nullif(F.col("upper_value") - F.col("lower_value"), F.lit(0.0)), 0.0, 1.0)
-    return vox.join(F.broadcast(q), "volume_id").withColumn("norm", F.when(F.col("flat"), F.lit(out[0])).otherwise(out[0] + t * (out[1] - out[0]))).drop("flat")
+    return vox.join(q, "volume_id").withColumn("norm", F.when(F.col("flat"), F.lit(out[0])).otherwise(out[0] + t * (out[1] - out[0]))).drop("flat")
 
 
 def _axis_samples(n_out: int, n_in: int, ratio: float):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +30,12 @@ def cube_roi(center: list[Column], edge: int, size: tuple[int, int, int]) -> tup
     return clamped_roi([c - half for c in center], [c + half for c in center], size)
 
 
+def center_roi(center: list[Column], edge: tuple[int, int, int], size: tuple[int, int, int]) -> tuple[list[Column], list[Column]]:
+    """Box of given edges around a centre, moved inside the volume; shorter only where the volume is."""
+    hi = [F.least(F.lit(n), F.greatest(F.lit(0), c - e // 2) + e) for c, e, n in zip(center, edge, size, strict=True)]
+    return [F.greatest(F.lit(0), b - e) for b, e in zip(hi, edge, strict=True)], hi
+
+
 def ratio_to_voxel(axis: str, xr: Column, yr: Column, cursor: list[Column], size: tuple[int, int, int]) -> list[Column]:
     """Voxel under a point of a slice view, given as shares of its width and height; z counts from below."""
     at = lambda r, n: clamp(round_half_up(r * (n - 1)), 0, n - 1)
@@ -61,22 +70,36 @@ def seeded_edit(vox: DataFrame, mask: DataFrame, grid: Grid, seeds: DataFrame, l
 def greedy_apart(rows: DataFrame, by: str, order: list[tuple[str, str]], distance: float) -> DataFrame:
     """``rows`` (by, x, y) with kept and place: in order, a row stays if no kept one of its group is nearer than ``distance``.
 
-    The choice is sequential by nature; a group is the objects of one volume, tens to hundreds of rows.
+    Space is cut into cells so small that two rows of a cell are always too near. In rounds, the first open row of
+    each cell stays if no earlier open row around it is too near, and closes all rows that it is too near to. So a cell has one
+    candidate a round, however many rows it has, and no group is gathered in one task. Each round is written.
     """
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by(order)
-        xy = np.stack([group.column(c).to_numpy().astype(float) for c in ("x", "y")], axis=1)
-        kept: list[int] = []
-        for k in range(len(xy)):
-            if not kept or np.hypot(*(xy[kept] - xy[k]).T).min() >= distance:
-                kept.append(k)
-        flag = np.zeros(len(xy), dtype=bool)
-        flag[kept] = True
-        return group.append_column("kept", pa.array(flag)).append_column("place", pa.array(np.where(flag, np.cumsum(flag), 0)))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", kept boolean, place long"
-    return rows.groupBy(by).applyInArrow(run, schema)
+    edge = max(distance, 1e-9) / np.sqrt(2) * (1 - 1e-9)
+    nth = F.struct(*((-F.col(c) if how == "descending" else F.col(c)).alias(f"o{k}") for k, (c, how) in enumerate(order)))
+    base = rows.withColumns({"_nth": nth, "_cx": F.floor(F.col("x") / edge), "_cy": F.floor(F.col("y") / edge), "_row": F.xxhash64(*rows.columns)})
+    base = written(base, "apart")
+    there = " and ".join(f"{c} is not null and not isnan({c})" for c in "xy")  # a row without a place is not kept
+    narrow = base.where(there).select(by, "_nth", "_row", "x", "y", "_cx", "_cy")
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3))))
+    near = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) < distance
+
+    def spread(df: DataFrame) -> DataFrame:
+        d = df.select(by, F.col("_nth").alias("_of"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_cx", "_cy", around.alias("_d"))
+        return d.select(by, "_of", "_x", "_y", (F.col("_cx") + F.col("_d.a")).alias("_cx"), (F.col("_cy") + F.col("_d.b")).alias("_cy"))
+
+    left, kept = narrow, None
+    while left.take(1):
+        first = written(left.groupBy(by, "_cx", "_cy").agg(F.min(F.struct("_nth", "_row", "x", "y")).alias("f")).select(by, "_cx", "_cy", "f.*"), "apart-first")
+        late = spread(first).join(left, [by, "_cx", "_cy"]).where(near & (F.col("_nth") < F.col("_of"))).select(by, F.col("_of").alias("_nth")).distinct()
+        new = written(first.join(late, [by, "_nth"], "left_anti"), "apart-new")
+        kept = new if kept is None else kept.unionByName(new)
+        gone = spread(new).join(left, [by, "_cx", "_cy"]).where(near | (F.col("_nth") == F.col("_of"))).select(by, "_nth", "_row").distinct()
+        left = written(left.join(gone, [by, "_nth", "_row"], "left_anti"), "apart-left")
+    if kept is None:
+        return rows.withColumns({"kept": F.lit(False), "place": F.lit(0).cast("long")}).limit(0)
+    places = kept.select(by, "_nth", "_row", F.row_number().over(Window.partitionBy(by).orderBy("_nth")).cast("long").alias("place"))
+    out = base.join(places, [by, "_nth", "_row"], "left")
+    return out.select(*rows.columns, F.col("place").isNotNull().alias("kept"), F.coalesce("place", F.lit(0).cast("long")).alias("place"))
 
 
 def projection_preview(mask: DataFrame, height: int) -> DataFrame:
@@ -85,18 +108,20 @@ def projection_preview(mask: DataFrame, height: int) -> DataFrame:
     return n.select("volume_id", "z", "x", (0.45 + 0.55 * F.least(F.lit(1.0), F.col("n") / max(1.0, height * 0.5))).alias("intensity"))
 
 
-def archive_paths(files: DataFrame, folder: str, name: str, ending: str, plain: bool = False) -> DataFrame:
-    """``files`` (ord, name) with a path in the archive; later files of one name get _2, _3, ...
+def archive_paths(files: DataFrame, folder: str, name: str, ending: str, plain: bool = False, by: list[str] | None = None) -> DataFrame:
+    """``files`` (ord, name) with a path in the archive, of which ``by`` names the keys; later files of one name get _2, _3, ...
 
     A second pass moves a numbered path on if another file's own name already is that path.
     """
     stem = path_segment(F.col(name), plain=plain)
     f = files.withColumn("_stem", stem)
-    n = F.row_number().over(Window.partitionBy(F.lower("_stem")).orderBy("ord"))
+    keys = by or []
+    n = F.row_number().over(Window.partitionBy(*keys, F.lower("_stem")).orderBy("ord"))
     numbered = F.when(n == 1, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), n.cast("string")))
     f = f.withColumns({"_n": n, "_out": numbered})
-    own = f.where("_n = 1").select(F.lower("_out").alias("_taken"))
-    f = f.join(own, (F.col("_n") > 1) & (F.lower("_out") == F.col("_taken")), "left")
+    own = f.where("_n = 1").select(F.lower("_out").alias("_taken"), *(F.col(k).alias(f"_of_{k}") for k in keys))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), (F.col("_n") > 1) & (F.lower("_out") == F.col("_taken")))
+    f = f.join(own, same, "left").drop(*(f"_of_{k}" for k in keys))
     out = F.when(F.col("_taken").isNull(), F.col("_out")).otherwise(F.concat("_out", F.lit("_2")))
     return f.withColumn("path", normal_path(F.concat(F.lit(f"{folder}/"), out, F.lit(f".{ending}")))).drop("_stem", "_n", "_out", "_taken")
 
@@ -131,3 +156,38 @@ def skin_mask(vox: DataFrame, grid: Grid, out: Grid, air: int = -400) -> DataFra
     coarse = written(resample_nearest(vox, grid, out).withColumn("i", out.index(F.col("x"), F.col("y"), F.col("z"))).select("volume_id", *(F.col(c).cast("long") for c in ("i", "x", "y", "z", "v"))), "skin")
     body = written(masks.keep_largest(written(masks.component_roots(masks.threshold(coarse, air, 32767), out, 26), "skin-roots")), "skin-body")
     return masks.fill_holes(coarse, body, out)
+
+
+#: Presets of a surface: how it is made from a mask (fixed values).
+SURFACES = {
+    "draft": {"smooth": 0, "reduction": 0.5},
+    "balanced": {"smooth": 6, "reduction": 0.35},
+    "final": {"smooth": 12, "reduction": 0.0},
+}
+COARSE = 750_000  # voxels above which a surface is made of every second voxel
+
+
+def surface_of(vox: DataFrame, mask: DataFrame, grid: Grid, preset: str = "balanced") -> tuple[DataFrame, DataFrame]:
+    """Triangles of a mask's largest body with its holes filled, and (volume_id, voxels, volume_mm3, area_mm2, triangles, stride, error).
+
+    A volume without voxels has the error E_EMPTY. Volumes with more than ``COARSE`` voxels are meshed at stride 2.
+    """
+    from voxloom.operators import mesh
+
+    made = SURFACES[preset]
+    filled = written(masks.fill_holes(vox, mask, grid), "surface-filled")
+    body = written(masks.mask_rows(masks.keep_largest(written(masks.component_roots(filled, grid, 26), "surface-roots"))), "surface-body")
+    count = body.groupBy("volume_id").agg(F.count(F.lit(1)).alias("voxels")).withColumn("stride", F.when(F.col("voxels") > COARSE, 2).otherwise(1))
+    half = Grid(-(-grid.width // 2), -(-grid.height // 2), -(-grid.depth // 2), grid.sx * 2, grid.sy * 2, grid.sz * 2)
+    triangles = None
+    for stride, g in ((1, grid), (2, half)):
+        rows = body.join(count.where(F.col("stride") == stride).select("volume_id"), "volume_id", "left_semi")
+        t = mesh.iso_triangles(rows if stride == 1 else masks.downsample_any(rows, 2), g)
+        triangles = t if triangles is None else triangles.unionByName(t)
+    triangles = mesh.decimated(triangles, made["reduction"], ["x", "y", "z", "t"])
+    triangles = mesh.smoothed(triangles, made["smooth"]) if made["smooth"] else triangles
+    area = masks.surface_estimates(body, grid)
+    share = F.ceil(F.col("triangles") / (F.col("stride") * F.col("stride")) * (1 - made["reduction"]))
+    whole = vox.select("volume_id").distinct().join(count, "volume_id", "left").join(area, "volume_id", "left")
+    stats = whole.select("volume_id", F.coalesce("voxels", F.lit(0)).alias("voxels"), (F.coalesce("voxels", F.lit(0)) * (grid.sx * grid.sy * grid.sz)).alias("volume_mm3"), F.coalesce("area_mm2", F.lit(0.0)).alias("area_mm2"), F.coalesce(share, F.lit(0)).cast("long").alias("triangles"), "stride", F.when(F.col("voxels").isNull(), "E_EMPTY").alias("error"))
+    return triangles, stats

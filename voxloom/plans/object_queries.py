@@ -223,7 +223,21 @@ def arch_fit_sums(spark, d):
     return s.select(*(F.round(c, 2).alias(c) for c in ("s0", "sx", "sx2", "sx2y")), "x_lo", "x_hi", "n")
 
 
-@query()
+def _det(a: list) -> str:
+    c = lambda r, k: a[r][k]
+    return f"({c(0, 0)} * ({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(2, 1)}) - {c(0, 1)} * ({c(1, 0)} * {c(2, 2)} - {c(1, 2)} * {c(2, 0)}) + {c(0, 2)} * ({c(1, 0)} * {c(2, 1)} - {c(1, 1)} * {c(2, 0)}))"
+
+
+_FIT = [["sx4", "sx3", "sx2"], ["sx3", "sx2", "sx"], ["sx2", "sx", "s0"]]
+_PARABOLA = ", ".join(f"{_det([[('sx2y', 'sxy', 'sy')[r] if k == j else _FIT[r][k] for k in range(3)] for r in range(3)])} / nullif({_det(_FIT)}, 0) AS {n}" for j, n in enumerate("abc"))
+
+
+@query(
+    f"""WITH {_SUMS}, s AS (SELECT sum(w) AS s0, sum(w * x) AS sx, sum(w * x * x) AS sx2, sum(w * x * x * x) AS sx3, sum(w * x * x * x * x) AS sx4, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x * y) AS sx2y, min(x) AS x_lo, max(x) AS x_hi, count(*) AS n FROM p),
+f AS (SELECT {_PARABOLA}, x_lo, x_hi, n FROM s), o AS (SELECT *, ord / 6.0::DOUBLE AS t FROM f, range(0, 7) AS r(ord)),
+q AS (SELECT *, n >= 32 AND a IS NOT NULL AS ok, CASE WHEN n >= 32 AND a IS NOT NULL THEN x_lo + greatest(1, x_hi - x_lo) * t ELSE 5.0::DOUBLE + 15.0::DOUBLE * t END AS px FROM o)
+SELECT CAST(ord AS INTEGER) AS ord, round(px, 4) AS x, round(CASE WHEN ok THEN least(24, greatest(0, a * px * px + b * px + c)) ELSE 11.25::DOUBLE + 4.5::DOUBLE * (1 - (t - 0.5) * 2 * (t - 0.5) * 2) END, 4) AS y FROM q"""
+)
 def arch_control_points(spark, d):
     return C.arch_fit(vox(spark, d), grid(spark, d), 0, 1).select("ord", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
@@ -294,12 +308,36 @@ def manifest_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+def _eigen(m: dict, p: str = "") -> str:
+    """Columns e1 >= e2 >= e3: eigenvalues of a symmetric 3 x 3 matrix in closed form, over a query with its entries."""
+    return f"""q{p} AS (SELECT *, ({m['xx']} + {m['yy']} + {m['zz']}) / 3 AS mid FROM m{p}),
+d{p} AS (SELECT *, sqrt((({m['xx']} - mid) ** 2 + ({m['yy']} - mid) ** 2 + ({m['zz']} - mid) ** 2 + 2 * ({m['xy']} ** 2 + {m['xz']} ** 2 + {m['yz']} ** 2)) / 6) AS dev FROM q{p}),
+r{p} AS (SELECT *, acos(greatest(-1, least(1, CASE WHEN dev = 0 THEN 1 ELSE {_det([[f"(({m['xx']} - mid) / dev)", f"({m['xy']} / dev)", f"({m['xz']} / dev)"], [f"({m['xy']} / dev)", f"(({m['yy']} - mid) / dev)", f"({m['yz']} / dev)"], [f"({m['xz']} / dev)", f"({m['yz']} / dev)", f"(({m['zz']} - mid) / dev)"]])} / 2 END))) / 3 AS phi FROM d{p}),
+e{p} AS (SELECT *, mid + 2 * dev * cos(phi) AS e1, mid + 2 * dev * cos(phi + 2 * pi() / 3) AS e3, 3 * mid - (mid + 2 * dev * cos(phi)) - (mid + 2 * dev * cos(phi + 2 * pi() / 3)) AS e2 FROM r{p})"""
+
+
+_CROSS = ", ".join(f"sum(({a} - m{a}) * ({b} - m{b})) AS s{a}{b}" for a in "xyz" for b in "uvw")
+_GRAM = ", ".join(f"{' + '.join(f's{a}{p} * s{a}{q}' for a in 'xyz')} AS g{'xyz'['uvw'.index(p)]}{'xyz'['uvw'.index(q)]}" for k, p in enumerate("uvw") for q in "uvw"[k:])
+_MEANS = ", ".join(f"avg({c}) OVER w AS m{c}" for c in "xyzuvw")
+
+
+@query(
+    f"""WITH {_PAIR}, g AS (SELECT id % 5 AS g, x, y, z, u, v, w FROM q), c AS (SELECT *, {_MEANS} FROM g WINDOW w AS (PARTITION BY g)),
+s AS (SELECT g, count(*) AS n, {_CROSS}, sum({' + '.join(f'({c} - m{c}) ** 2' for c in 'xyzuvw')}) AS total FROM c GROUP BY g HAVING count(*) >= 3),
+ms AS (SELECT *, {_GRAM} FROM s), {_eigen({k: f'g{k}' for k in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz')}, 's')}
+SELECT g AS volume_id, round(sqrt(greatest(0, (total - 2 * (sqrt(greatest(0, e1)) + sqrt(greatest(0, e2)) + sign({_det([[f's{a}{b}' for b in 'uvw'] for a in 'xyz'])}) * sqrt(greatest(0, e3)))) / n)), 4) AS rmse FROM es"""
+)
 def rigid_alignment(spark, d):
     f = G.rigid_fit(_pairs(spark, d).drop("volume_id").withColumn("volume_id", F.col("id") % 5), "volume_id")
     return f.select("volume_id", F.round("rmse", 4).alias("rmse"))
 
 
-@query()
+_COV = ", ".join(f"covar_pop({a}, {b}) AS c{a}{b}" for k, a in enumerate("xyz") for b in "xyz"[k:])
+
+
+@query(
+    f"""WITH {PTS}, mp AS (SELECT volume_id, {_COV} FROM pts GROUP BY volume_id), {_eigen({k: f'c{k}' for k in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz')}, 'p')}
+SELECT volume_id, CAST(k AS BIGINT) AS axis, round([e1, e2, e3][k + 1], 4) AS variance FROM ep, range(0, 3) AS r(k)"""
+)
 def principal_axes(spark, d):
     return G.principal_axes(points(spark, d), "volume_id").select("volume_id", "axis", F.round("variance", 4).alias("variance"))

@@ -1,11 +1,12 @@
 """All queries over the reference tables, with their SQL."""
 
 from voxloom.plans import object_queries as _objects
+from voxloom.plans import state_queries as _states
 from voxloom.plans import volume_queries as _volumes
 from voxloom.plans import workflow_queries as _workflows
 
-QUERIES: dict = {**_volumes.QUERIES, **_objects.QUERIES, **_workflows.QUERIES}
-ORACLES: dict = {**_volumes.ORACLES, **_objects.ORACLES, **_workflows.ORACLES}
+QUERIES: dict = {**_volumes.QUERIES, **_objects.QUERIES, **_workflows.QUERIES, **_states.QUERIES}
+ORACLES: dict = {**_volumes.ORACLES, **_objects.ORACLES, **_workflows.ORACLES, **_states.ORACLES}
 
 
 def flagship(spark, sf_dir: str):

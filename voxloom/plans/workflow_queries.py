@@ -96,7 +96,13 @@ def shape_audit(spark, d):
     return K.shape_audit(rooted, 850, 25, 3).select("label", "voxels", "components", F.array_join("reasons", ";").alias("reasons"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PTS}, o AS (SELECT volume_id, id, x, y, row_number() OVER (PARTITION BY volume_id ORDER BY id) AS n FROM pts),
+f AS (SELECT DISTINCT volume_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) AS kept FROM o
+ UNION ALL SELECT f.volume_id, o.n, CASE WHEN len(list_filter(f.kept, lambda k: sqrt((k.x - o.x) ** 2 + (k.y - o.y) ** 2) < 3)) = 0 THEN list_append(f.kept, {{'id': CAST(o.id AS BIGINT), 'x': o.x, 'y': o.y}}) ELSE f.kept END FROM f JOIN o ON o.volume_id = f.volume_id AND o.n = f.n + 1),
+l AS (SELECT volume_id, list_transform(arg_max(kept, n), lambda k: k.id) AS ids FROM f GROUP BY volume_id)
+SELECT o.volume_id, o.id, list_contains(ids, o.id) AS kept, CAST(coalesce(list_position(ids, o.id), 0) AS BIGINT) AS place FROM o JOIN l USING (volume_id)"""
+)
 def greedy_separation(spark, d):
     p = points(spark, d)
     return K.greedy_apart(p.select("volume_id", "id", "x", "y"), "volume_id", [("id", "ascending")], 3.0).select("volume_id", "id", "kept", "place")

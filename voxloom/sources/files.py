@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +47,23 @@ def folder_formats(entries: DataFrame) -> DataFrame:
 
 
 def expand_zips(entries: DataFrame) -> DataFrame:
-    """Files inside the archives of ``entries`` (path, content), under the archive's name without its ending; one level."""
+    """Files inside the archives of ``entries`` (path, content), under the archive's name without its ending; one level.
+
+    An archive that cannot be read gives no files.
+    """
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                with zipfile.ZipFile(io.BytesIO(r["content"])) as z:
-                    for i in z.infolist():
-                        if not i.is_dir():
-                            yield pa.RecordBatch.from_pydict({"path": [f"{r['path'].removesuffix('.zip')}/{i.filename}"], "content": [z.read(i)]})
-
-    return entries.select("path", "content").mapInArrow(run, ENTRY).withColumn("path", normal_path(F.col("path")))
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                        for i in z.infolist():
+                            if not i.is_dir():
+                                yield pa.RecordBatch.from_pydict({"path": [f"{path.removesuffix('.zip')}/{i.filename}"], "content": pa.array([z.read(i)], pa.binary())})
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    continue
+
+    return entries.where("content is not null").select("path", "content").mapInArrow(run, ENTRY).withColumn("path", normal_path(F.col("path")))
 
 
 def voxels_of_slices(slices: DataFrame) -> DataFrame:
