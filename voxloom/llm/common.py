@@ -4,47 +4,22 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voxloom.operators.staging import fresh_path, linked_sets
+from voxloom.operators.staging import written as stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (local runs, tests) a folder under the system's
-    temporary directory is taken.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints", f"voxloom-{spark.sparkContext.applicationId}")
-    return f"file://{own}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(name: str, *frames: DataFrame) -> str:
     """``name``, or with underscores before it, so that no column of ``frames`` is called so (in any case of letters)."""
     taken = {c.lower() for f in frames for c in f.columns}
@@ -60,6 +35,18 @@ def free_prefix(prefix: str, *frames: DataFrame) -> str:
     return prefix
 
 
+def map_columns(df: DataFrame, run, made: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any names: ``run`` gets and gives batches by place; the result has the names of ``made``."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    out = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(made)])
+
+    def named(batches):
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=out.names)
+
+    return plain.mapInArrow(named, out).toDF(*made.names)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -171,35 +158,5 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``edges`` (a, b), component = smallest reachable id.
-
-    Alternating large-star and small-star rounds: each only aggregates a minimum by key and joins
-    it back, so a vertex with very many edges is never gathered in one place, and the number of
-    rounds grows with the logarithm of the longest path. Every round is written to the shared folder.
-    """
-    spark = edges.sparkSession
-
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
-
-    cur = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(cur)
-    while seen[0]:
-        both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # what a vertex gave away in the large star reaches its minimum here
-        large = stage(large, "large").where("a > b")
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a")
-        nxt = stage(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low2.select("a", F.col("m").alias("b"))).distinct(),
-            "small",
-        )
-        now = mark(nxt)
-        if now == seen:
-            break
-        cur, seen = nxt, now
-    stars = cur.groupBy("a").agg(F.min("b").alias("component"))
-    roots = stars.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
-    return stars.select(F.col("a").alias("id"), "component").unionByName(roots)
+    """(id, component) for every id in ``edges`` (a, b), component = smallest reachable id."""
+    return linked_sets(edges).withColumnsRenamed({"node": "id", "root": "component"})

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import free_name, give_back, slices_by_bytes, table, words_of
+from voxloom.llm.common import free_name, give_back, map_columns, slices_by_bytes, table, words_of
 
 SEED_WORDS = 3
 GAPS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))  # places of a seed's words in a document: together, or with one word put in
@@ -226,7 +226,7 @@ def _against(docs: DataFrame, source: DataFrame, rows: list[tuple], text_col: st
                 yield pa.RecordBatch.from_arrays([*part.columns, col], names=out.names)
         give_back()
 
-    return docs.mapInArrow(run, out)
+    return map_columns(docs, run, out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, rare: float = RARE_PART, found_col: str = "_found") -> DataFrame:

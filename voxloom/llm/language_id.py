@@ -10,18 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import give_back, mix64, segment_sum, slices_by_bytes, split_words, table
+from voxloom.llm.common import give_back, map_columns, mix64, segment_sum, slices_by_bytes, table, words_of
 
-#: Labelled documents taken for learning, for each language at most about so many (by a hash of the
-#: id), and the code points read of each, from a place that the hash chooses.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 1500
+#: Code points of whole labelled documents taken for learning, for each language about so many (by a hash of the id).
+SAMPLE_CHARS = 600_000
 TABLE_BITS = 16
-CHAIN = 128  # words after which a chain starts anew
+CHAIN = 128  # words of a chain that is learned from
+PART = 512  # words of a document that are stepped through together with other parts; messages pass between them
 SLICE = 1_500_000  # bytes of text whose features are held at once
 _LETTER = None
 
@@ -149,6 +148,71 @@ class Crf:
         return p / p.sum(axis=1, keepdims=True), moves, log_z
 
 
+def document_posteriors(model: Crf, e: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Exact forward-backward over whole documents of ``count`` words, laid one after another in ``e``.
+
+    Documents are cut into parts of ``PART`` words, which are stepped through together. The product of a part's
+    transitions and emissions carries the forward message to its end and the backward message to its
+    begin, so that no transition is lost between parts.
+    """
+    k = len(model.langs)
+    parts = -(-count // PART)
+    lens = np.full(int(parts.sum()), PART, dtype=np.int64)
+    some = count > 0
+    lens[np.cumsum(parts)[some] - 1] = (count - PART * (parts - 1))[some]
+    nth = np.arange(len(lens)) - np.repeat(np.cumsum(parts) - parts, parts)
+    many = np.repeat(parts, parts) > 1
+    first = np.cumsum(lens) - lens
+    x = np.exp(e - e.max(axis=1, keepdims=True))
+    move, start = np.exp(model.move), np.exp(model.start)
+    # messages at the borders of parts; the first part of a document begins with the start weights
+    ahead, behind = np.full((len(lens), k), 1.0 / k), np.full((len(lens), k), 1.0)
+    if many.any():
+        which = np.flatnonzero(many)
+        through = np.empty((len(which), k, k))
+        order = np.argsort(-lens[which], kind="stable")
+        live = np.searchsorted(-lens[which][order], -np.arange(int(lens[which].max())), side="left")
+        prod = None
+        for t, n in enumerate(live.tolist()):
+            at = order[:n]
+            now = x[first[which[at]] + t]
+            if t == 0:
+                prod = np.where(nth[which[at]][:, None, None] == 0, start / k, move) * now[:, None, :]
+            else:
+                prod[:n] = (prod[:n].reshape(-1, k) @ move).reshape(n, k, k) * now[:, None, :]
+            prod[:n] /= prod[:n].max(axis=(1, 2), keepdims=True)
+        through[order] = prod
+        place = np.full(len(lens), -1)
+        place[which] = np.arange(len(which))
+        for j in range(1, int(parts.max())):
+            at = np.flatnonzero(many & (nth == j))
+            got = np.einsum("ni,nij->nj", ahead[at - 1], through[place[at - 1]])
+            ahead[at] = got / got.sum(axis=1, keepdims=True)
+        last = np.repeat(parts, parts) - 1
+        for j in range(int(parts.max()) - 1, 0, -1):
+            at = np.flatnonzero(many & (nth == j))
+            after = np.where((last[at] > j)[:, None], behind[at], 1.0)
+            got = np.einsum("nij,nj->ni", through[place[at]], after)
+            behind[at - 1] = got / got.sum(axis=1, keepdims=True)
+    order = np.argsort(-lens, kind="stable")
+    begin = first[order]
+    live = np.searchsorted(-lens[order], -np.arange(int(lens.max()) if len(lens) else 0), side="left")
+    a, b = np.empty_like(x), np.empty_like(x)
+    prev = None
+    for t, n in enumerate(live.tolist()):
+        come = np.where((nth[order[:n]] == 0)[:, None], start, ahead[order[:n]] @ move) if t == 0 else prev[:n] @ move
+        cur = x[begin[:n] + t] * come
+        prev = cur / cur.sum(axis=1, keepdims=True)
+        a[begin[:n] + t] = prev
+    b[first + lens - 1] = behind
+    for t in range(len(live) - 1, 0, -1):
+        at = begin[: live[t]] + t
+        back = (x[at] * b[at]) @ move.T
+        b[at - 1] = back / back.sum(axis=1, keepdims=True)
+    p = a * b
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def fit(rows: list[tuple[str, str]], rounds: int = 40, step: float = 0.15, ridge: float = 1e-4) -> Crf | None:
     """Learn from (text, language) rows by gradient steps on the chains' likelihood.
 
@@ -214,8 +278,8 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, step: float = 0.15, ridge
 
 def label_texts(model: Crf, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Letter-weighted share of each language over all words of each text (no letters: zeros), and letters."""
-    offsets, codes, words = split_words(pc.utf8_lower(pc.replace_substring(pc.fill_null(text, ""), "\n", " ")))
-    f = Features(words)
+    offsets, codes, words = words_of(text)
+    f = Features([w.lower() for w in words])
     letters = f.letters[codes]
     keep = letters > 0
     count = segment_sum(keep.astype(np.int64), offsets)
@@ -224,11 +288,7 @@ def label_texts(model: Crf, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     share = np.zeros((docs, len(model.langs)))
     if not len(ids):
         return share, np.zeros(docs)
-    chains = -(-count // CHAIN)
-    lens = np.full(int(chains.sum()), CHAIN, dtype=np.int64)
-    some = count > 0
-    lens[np.cumsum(chains)[some] - 1] = (count - CHAIN * (chains - 1))[some]
-    p, _, _ = model.posteriors(model.emissions(f, model.place(f))[ids], lens)
+    p = document_posteriors(model, model.emissions(f, model.place(f))[ids], count)
     ends = np.concatenate([[0], np.cumsum(count)])
     for j in range(share.shape[1]):
         share[:, j] = segment_sum(p[:, j] * weight, ends)
@@ -240,34 +300,34 @@ def fold(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % 4
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows outside the held-out fold: ``per_lang`` documents a language, about."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows outside the held-out fold, whole texts: about ``chars`` code points a language."""
     some = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (fold(id_col) != 2))
-    n = {r[0]: r[1] for r in some.groupBy(lang_col).count().collect()}  # a row a language
+    n = {r[0]: r[1] or 1 for r in some.groupBy(lang_col).agg(F.sum(F.length(text_col))).collect()}  # a row a language
     if not n:
         return []
-    rate = F.create_map(*(F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, per_lang / c))))
-    h = F.xxhash64(F.lit("language"), F.col(id_col))
-    at = F.pmod(h, F.greatest(F.length(text_col) - chars, F.lit(0)) + 1) + 1
+    rate = F.create_map(*(F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, chars / c))))
     drawn = some.where(F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1_000_000)) < F.element_at(rate, F.col(lang_col)) * 1_000_000)
-    got = drawn.select(F.substr(F.col(text_col), at.cast("int"), F.lit(chars)).alias("t"), F.col(lang_col).alias("l")).collect()
-    return sorted((r["t"], r["l"]) for r in got)
+    return sorted((r[0], r[1]) for r in drawn.select(text_col, lang_col).collect())
 
 
-def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry: list[str] | None = None, prefix: str = "_lang_") -> DataFrame:
     """The columns ``carry`` (all, if not given) of every row, with _lang_pred, _lang_score (share of the
     winner) and _lang_shares (language -> share).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could
-    be learned; ties go to the first language in alphabetical order; only the text is used. Texts are
-    read whole, in one Arrow map without a shuffle; the model's size depends on the parameters alone.
+    be learned; ties go to the first language in alphabetical order; repeated rows are labelled each; an empty table gives no
+    rows; only the text is used. A column that has one of these names already is replaced: choose another
+    ``prefix`` (``free_prefix``) where it matters. Texts of any length are read whole, in one Arrow map without a
+    shuffle; the model's size depends on the parameters alone.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    carry = docs.columns if carry is None else carry
-    rows = docs.select(*dict.fromkeys([*carry, text_col]))
+    made = [f"{prefix}{c}" for c in ("pred", "score", "shares")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col])))
     at, n_carry = rows.columns.index(text_col), len(carry)
-    out = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType()), T.StructField("_lang_shares", T.MapType(T.StringType(), T.DoubleType()))])
+    out = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField(made[0], T.StringType()), T.StructField(made[1], T.DoubleType()), T.StructField(made[2], T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches):
         m = shared.value
@@ -285,7 +345,7 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry:
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_carry], pa.array(pred, pa.string()), pa.array(score), shares], names=out.names)
         give_back()
 
-    return rows.mapInArrow(run, out)
+    return map_columns(rows, run, out)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,17 +14,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import connected_components, give_back, mix64, slices_by_bytes, stage, table, words_of
+from voxloom.llm.common import connected_components, free_name, give_back, mix64, slices_by_bytes, stage, table, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # at similarity 0.8 a pair shares no band once in 4,500 times, at 0.85 once in 100,000
 SKETCH_BITS = 20  # bins in which shingles' documents are counted; the size is fixed, whatever the corpus
 IDF_PART = 0.25  # a shingle of one document weighs 1 + IDF_PART, one of all documents 1
-BLOCK = 512  # texts of a bucket compared in one task; larger buckets go in pairs of blocks
+BLOCK = 512  # texts of a bucket that are all compared with each other; larger buckets go in blocks
+STARS = 8  # texts of a larger bucket with which all others are compared first
 AT_ONCE = 1 << 14  # shingles that are sampled together; only speed depends on it
 SENT = 1_000_000  # most rows of (hash, id) that are broadcast; beyond it a shuffled join
 
@@ -277,6 +278,45 @@ def _verified(rows: DataFrame, shared, similarity: float, cells: int) -> DataFra
     return rows.withColumn("cell", cell).groupBy("cell").applyInArrow(run, "a binary, b binary")
 
 
+def _hash_block(blocks):
+    return F.pmod(F.xxhash64(F.lit("block"), "h"), blocks.cast("long")).cast("int")
+
+
+def _first_round(inner: DataFrame) -> DataFrame:
+    """(key, i, j, block, h): buckets of at most ``BLOCK`` texts whole; of larger ones, blocks with the ``STARS`` texts of the bucket."""
+    small = inner.where(F.col("size") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("block"), "h")
+    large = inner.where(F.col("size") > BLOCK)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit("star"), "h"), "h"))  # only the first rows of a bucket are dealt out
+    stars = large.withColumn("nth", nth).where(F.col("nth") <= STARS)
+    stars = stars.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("block"), "h")
+    rest = large.select("key", F.col("block").alias("i"), F.lit(1).alias("block"), "h")
+    return small.unionByName(stars).unionByName(rest).select("key", F.col("i").cast("long"), F.col("i").cast("long").alias("j"), "block", "h")
+
+
+def _second_round(inner: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, i, j, block, h): of buckets over ``BLOCK`` texts whose texts are not one class yet, pairs of blocks of different classes.
+
+    Texts of a class with many texts of a bucket have blocks of their own, which never meet; the others share blocks.
+    """
+    large = inner.where(F.col("size") > BLOCK).join(classes.withColumnsRenamed({"id": "h"}), "h", "left")
+    large = stage(large.select("key", "h", "size", F.coalesce("component", "h").alias("component")), "near-large")
+    count = stage(large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")), "near-large-classes")
+    big = count.where(F.col("n") > BLOCK // 2)  # at most two in BLOCK texts
+    open_keys = count.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max("size").alias("size"), F.sum(F.when(F.col("n") > BLOCK // 2, F.col("n")).otherwise(0)).alias("own"))
+    open_keys = stage(open_keys.where("classes > 1").select("key", F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("own")) / BLOCK)).alias("mixed")), "near-open")
+    big = stage(big.select("key", "component", F.xxhash64("component").alias("own"), F.ceil(F.col("n") / BLOCK).alias("parts")), "near-big")
+    sent = (lambda df: F.broadcast(df) if df.count() <= SENT else df)
+    rows = large.join(sent(open_keys), "key").join(sent(big), ["key", "component"], "left")
+    rows = rows.select("key", "h", F.coalesce("own", F.lit(0)).alias("own"), _hash_block(F.coalesce("parts", "mixed")).alias("sub"))
+    rows = stage(rows, "near-blocks")
+    label = rows.select("key", "own", "sub").distinct()
+    a, b = label.toDF("key", "a_own", "a_sub"), label.toDF("key", "b_own", "b_sub")
+    apart = (F.struct("a_own", "a_sub") <= F.struct("b_own", "b_sub")) & ((F.col("a_own") == 0) | (F.col("a_own") != F.col("b_own")))
+    pair = stage(a.join(b, "key").where(apart).select("*", F.xxhash64("a_own", "a_sub").alias("i"), F.xxhash64("b_own", "b_sub").alias("j")), "near-block-pairs")
+    sides = [pair.select("key", F.col(f"{x}_own").alias("own"), F.col(f"{x}_sub").alias("sub"), "i", "j", F.lit(k).alias("block")).where("true" if k == 0 else "i <> j") for k, x in enumerate("ab")]
+    return rows.join(sides[0].unionByName(sides[1]), ["key", "own", "sub"]).select("key", "i", "j", "block", "h")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(_id, h, bands) of every row, and (h, class_id, class_h, n_class) of every text with words."""
     spark = docs.sparkSession
@@ -289,18 +329,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     size = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("who"))
     size = size.where("size > 1").groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    inner = member.join(size, "key").select("h", "id", "key", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "h"), blocks.cast("long")).cast("int").alias("block"))
-    inner = stage(inner, "near-members")
+    inner = stage(member.join(size, "key").select("h", "id", "key", "size", blocks.alias("blocks"), _hash_block(blocks).alias("block")), "near-members")
     need = inner.select("h", "id").distinct()
     rows = docs.select(_text_hash(text_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     few = need.count() <= SENT
     texts = rows.join(F.broadcast(need) if few else need, (rows["h"] == need["h"]) & rows["id"].eqNullSafe(need["id"]), "left_semi")
     texts = stage(texts.dropDuplicates(["h"]).select("h", "text"), "near-texts")
-    spread = inner.select("h", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    spread = spread.select("h", "key", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    total = inner.agg(F.sum("blocks")).head()[0] or 0
-    links = _verified(spread.join(texts, "h"), shared, similarity, max(1, total // 200))
+
+    def compared(part: DataFrame) -> DataFrame:
+        return _verified(part.join(texts, "h"), shared, similarity, max(1, part.count() // 200))
+
+    links = stage(compared(_first_round(inner)), "near-links")
     classes = connected_components(links)
+    if inner.where(F.col("size") > BLOCK).take(1):
+        classes = stage(classes, "near-first-classes")
+        more = compared(_second_round(inner, classes))
+        classes = connected_components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = nodes.select("h", "id", "n").join(classes.withColumnRenamed("id", "h"), "h", "left").select("h", "id", "n", F.coalesce("component", "h").alias("component"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h")))
     names = named.groupBy("component").agg(first.alias("x"), F.sum("n").alias("n_class"))
@@ -309,33 +353,35 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, and every row without words.
+    """The rows of ``docs`` that stay, with all their columns: one of each class, and every row without words.
 
     The row of the smallest id stays (of the smallest text hash, where one id has several texts); rows
-    that repeat both id and text become one.
+    that repeat both id and text become one; an empty table stays empty; texts of any length are compared whole. Columns may have any names.
     """
     sig, of = _classes(docs, id_col, text_col, similarity)
     rows = sig.where(F.size("bands") > 0).select("_id", "h").join(of, "h")
     stays = (F.col("h") == F.col("class_h")) & F.col("_id").eqNullSafe(F.col("class_id"))
-    gone = stage(rows.where(~stays).select(F.col("_id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "near-gone")
+    h, gone_id, gone_h, again_h = (free_name(n, docs) for n in ("h", "gone_id", "gone_h", "again"))
+    gone = stage(rows.where(~stays).select(F.col("_id").alias(gone_id), F.col("h").alias(gone_h)).distinct(), "near-gone")
     few = gone.count() <= SENT
-    out = docs.withColumn("_h", _text_hash(text_col))
-    out = out.join(F.broadcast(gone) if few else gone, (F.col("_h") == F.col("_gone_h")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
-    again = rows.where(stays).groupBy("h").count().where("count > 1").select(F.col("h").alias("_again"))
+    out = docs.withColumn(h, _text_hash(text_col))
+    out = out.join(F.broadcast(gone) if few else gone, (F.col(h) == F.col(gone_h)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti")
+    again = rows.where(stays).groupBy("h").count().where("count > 1").select(F.col("h").alias(again_h))
     if not again.take(1):
-        return out.drop("_h")
-    twice = out.join(again, F.col("_h") == F.col("_again"))  # repeated rows of what stays
-    once = out.join(again, F.col("_h") == F.col("_again"), "left_anti")
-    return once.drop("_h").unionByName(twice.dropDuplicates(["_h"]).drop("_h", "_again"))
+        return out.drop(h)
+    twice = out.join(again, F.col(h) == F.col(again_h))  # repeated rows of what stays
+    once = out.join(again, F.col(h) == F.col(again_h), "left_anti")
+    return once.drop(h).unionByName(twice.dropDuplicates([h]).drop(h, again_h))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of ``docs``: id, class_id (smallest id of its class), n_class (rows), kept.
 
     Equal texts are one class from the start and are compared once, so a huge group of copies costs
-    a sum. Different texts of a bucket are all compared, in blocks where a bucket is large, and only a
+    a sum. Different texts of a bucket are all compared; where a bucket is large, first with some of its texts, and then only
+    those of different classes with each other, in blocks. Only a
     spanning forest of what is found leaves a task. Buckets of other bands with the same members are
-    compared once. Texts without words (null, empty, blank) are each a class of their own, by row:
+    compared once. Texts of any length are compared whole; other columns are not read, whatever their names; an empty table gives no rows. Texts without words (null, empty, blank) are each a class of their own, by row:
     class_id is the own id. ``kept`` marks the rows whose id is the class's. Null ids join classes but
     never name one unless all ids are null; rows that repeat an id share their fate.
     """
