@@ -20,7 +20,7 @@ MARKER, ARRAY_NAME, SCALE, SENTINEL = b"JmVolumeVersion=1", b"CArray3D", 100, -3
 
 def tag_text(text: Column, tag: str) -> Column:
     """Trimmed content of the first such element, null where it is missing or empty."""
-    return F.nullif(F.trim(F.regexp_extract(text, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def tag_number(text: Column, *tags: str) -> Column:
