@@ -35,7 +35,7 @@ def _slot(s: str) -> int:
 def _shape(w: str) -> str:
     """Runs of small letters, capitals and digits as one sign each; other signs as they are, once."""
     out = []
-    for c in w[:64]:
+    for c in w:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -207,7 +207,10 @@ def co_train(xt, xm, y: np.ndarray, labelled: np.ndarray, aside: np.ndarray, rou
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL):
-    """Bounded rows to learn from: features of about ``labelled`` labelled and ``pool`` other documents."""
+    """Bounded rows to learn from: features of about ``labelled`` labelled and ``pool`` other documents.
+
+    Labels that repeat an id are averaged; null ids and labels are left out; with an empty table on either side there is nothing to learn.
+    """
     draw = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), F.lit(1_000_000))
     known = labels.groupBy(id_col).agg(*(F.avg(t).alias(t) for t in targets)).where(" and ".join(f"{t} is not null" for t in targets))
     n_known, n_docs = known.count(), docs.count()
@@ -227,7 +230,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, targets: list[str], id_col
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names if c != "text"), slots, values], names=out.names)
 
     # at most labelled + pool ids, so they go to every task
-    rows = docs.select(id_col, "text", "source", "lang", "n_chars").join(F.broadcast(chosen), id_col)
+    cols = ["text", "source", "lang", "n_chars"]
+    rows = docs.select(id_col, *cols).join(F.broadcast(chosen), id_col)
+    # an id that stands in many rows is learned from once
+    rows = rows.groupBy(*chosen.columns).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("r")).select(*chosen.columns, "r.*")
     names = rows.columns
     out = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
     out = T.StructType([T.StructField(f.name, f.dataType) for f in out])
@@ -252,8 +258,9 @@ def learn(rows: pa.Table, targets: list[str]) -> dict[str, CoTrained]:
 def score(docs: DataFrame, models: dict[str, CoTrained], id_col: str = "doc_id") -> DataFrame:
     """id and one ``<target>_score`` (0 to 1) for every row of ``docs`` (text, source, lang, n_chars).
 
-    Null texts have no words and null metadata is a value of its own, so every row gets a score; with
-    nothing to learn from all scores are 0.5. Texts are read whole in one Arrow map; no shuffle.
+    Null texts have no words and null metadata is a value of its own, so every row gets a score; repeated rows are scored each, an
+    empty table gives no rows, and with nothing to learn from all scores are 0.5. Texts of any length are read whole in one Arrow map; no
+    shuffle. Other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(f"{t}_score", T.DoubleType()) for t in models)])
