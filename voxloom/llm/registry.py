@@ -1,6 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from voxloom.llm.decontaminate import op8_decontamination
+from voxloom.llm.divergence import SQL as DIVERGENCE_SQL
+from voxloom.llm.divergence import op13_source_divergence
 from voxloom.llm.embedding_links import op6_embedding_links
 from voxloom.llm.html_text import op4_main_text
 from voxloom.llm.language_id import op1_language_id
@@ -21,5 +23,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_sanitisation": op10_sanitisation,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
