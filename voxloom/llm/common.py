@@ -157,6 +157,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+HOT = 1000  # a key with more than this part of all rows is joined by broadcast: at most so many are
+
+
+def keyed_join(rows: DataFrame, keys: DataFrame, on: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (unique in ``on``, null being a value; ``count`` says in how many rows each is).
+
+    The most frequent keys are sent to every task, so no task gets all rows of one of them.
+    """
+    cols = [c for c in keys.columns if c != on]
+    keys = keys.withColumnRenamed(on, "_on")
+    total = keys.agg(F.sum(count)).head()[0] or 0
+    hot, cold = keys.where(F.col(count) > total / HOT), keys.where(F.col(count) <= total / HOT)
+    same = F.col(on).eqNullSafe(F.col("_on"))
+    out = rows.join(F.broadcast(hot), same)
+    if not is_empty(cold):
+        out = out.unionByName(rows.join(F.broadcast(hot.select("_on")), same, "left_anti").join(cold, same))
+    return out.select(*rows.columns, *cols)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b), component = smallest reachable id."""
     return linked_sets(edges).withColumnsRenamed({"node": "id", "root": "component"})

@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from voxloom.llm.best_fit import op11_best_fit_packing
 from voxloom.llm.decontaminate import op8_decontamination
 from voxloom.llm.divergence import SQL as DIVERGENCE_SQL
 from voxloom.llm.divergence import op13_source_divergence
@@ -11,6 +12,8 @@ from voxloom.llm.quality import op7_quality
 from voxloom.llm.sanitise import op10_sanitisation
 from voxloom.llm.token_counts import op5_token_counts
 from voxloom.llm.tokens import op3_packing, op9_token_files
+from voxloom.llm.vector_codes import SQL as CODES_SQL
+from voxloom.llm.vector_codes import op12_vector_codes
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -23,6 +26,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_sanitisation": op10_sanitisation,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_vector_codes": op12_vector_codes,
     "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op12_vector_codes": CODES_SQL, "op13_source_divergence": DIVERGENCE_SQL}
