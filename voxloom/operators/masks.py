@@ -226,13 +226,39 @@ def downsample_any(mask: DataFrame, stride: int) -> DataFrame:
     return mask.select("volume_id", *(F.floor(F.col(c) / stride).alias(c) for c in "xyz")).distinct()
 
 
+def _running_max(a: np.ndarray, width: int, axis: int) -> np.ndarray:
+    """The largest of each ``width`` values in a row along an axis, by doubling."""
+    a, n = np.moveaxis(a, axis, 0), 1
+    while 2 * n <= width:
+        a, n = np.maximum(a[:-n], a[n:]), 2 * n
+    return np.moveaxis(np.maximum(a[: len(a) - (width - n)], a[width - n :]), 0, axis)
+
+
 def local_maxima(rows: DataFrame, value: str, reach: int) -> DataFrame:
-    """``rows`` (volume_id, x, y, z, value) that no row at most ``reach`` steps away along each axis exceeds; one axis after another, by windows over lines."""
-    out = rows.withColumn("_top", F.col(value))
-    for axis in "xyz":
-        line = Window.partitionBy("volume_id", *(c for c in "xyz" if c != axis)).orderBy(axis).rangeBetween(-reach, reach)
-        out = out.withColumn("_top", F.max("_top").over(line))
-    return out.where(F.col(value) == F.col("_top")).drop("_top")
+    """``rows`` (volume_id, x, y, z, value, ...) that no row at most ``reach`` steps away along each axis exceeds.
+
+    Places without a row count as lower than all. Each brick gets the rows around it and looks along one axis after another.
+    """
+    brick = max(BRICK, reach)
+    cols, dealt = rows.columns, rows
+    for c in "xyz":
+        at = [F.floor((F.col(c) + d) / brick) for d in (-reach, 0, reach)]
+        dealt = dealt.withColumns({f"_o{c}": at[1], f"_b{c}": F.explode(F.array_distinct(F.array(*at)))})
+    dealt = dealt.select(*cols, *(f"_b{c}" for c in "xyz"), (F.expr(" and ".join(f"_o{c} = _b{c}" for c in "xyz"))).alias("_own"))
+
+    def run(group: pa.Table) -> pa.Table:
+        at = [group.column(c).to_numpy() for c in "zyx"]
+        low = [int(a.min()) - reach for a in at]
+        dense = np.full([int(a.max()) + reach + 1 - n for a, n in zip(at, low, strict=True)], -np.inf)
+        place = tuple(a - n for a, n in zip(at, low, strict=True))
+        v = group.column(value).to_numpy().astype(np.float64)
+        dense[place] = v
+        for axis in range(3):
+            dense = _running_max(dense, 2 * reach + 1, axis)
+        top = dense[tuple(p - reach for p in place)]
+        return group.filter(pa.array(np.asarray(group.column("_own").to_numpy(zero_copy_only=False), dtype=bool) & (v == top))).select(cols)
+
+    return dealt.groupBy("volume_id", "_bx", "_by", "_bz").applyInArrow(run, rows.schema)
 
 
 def squared_distance(vox: DataFrame, mask: DataFrame, grid: Grid, in_mm: bool = False) -> DataFrame:

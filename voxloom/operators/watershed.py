@@ -30,7 +30,7 @@ def _order(lo: np.ndarray, hi: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.n
     return rank
 
 
-def _contracted(i, x, y, z, dist, marker, own, grid: Grid):
+def _contracted(i, x, y, z, dist, marker, own, grid: Grid, connectivity: int):
     """Of one brick and the voxels around it: the node of each own voxel, and the best edge between each two nodes.
 
     Every voxel without a marker points to its best neighbour; those inside the brick are followed to their end, which
@@ -39,7 +39,7 @@ def _contracted(i, x, y, z, dist, marker, own, grid: Grid):
     order = np.argsort(i)
     s = i[order]
     ps, qs = [], []
-    for dx, dy, dz in (d for d in offsets(26) if d > (0, 0, 0)):
+    for dx, dy, dz in (d for d in offsets(connectivity) if d > (0, 0, 0)):
         inside = (x + dx >= 0) & (x + dx < grid.width) & (y + dy >= 0) & (y + dy < grid.height) & (z + dz >= 0) & (z + dz < grid.depth)
         target = i + (dz * grid.height + dy) * grid.width + dx
         at = np.minimum(np.searchsorted(s, target), len(s) - 1)
@@ -150,7 +150,7 @@ def _by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return tree.drop("marker").join(of, ["volume_id", "tree"]).select("volume_id", "node", "marker")
 
 
-def grown(rows: DataFrame, grid: Grid, brick: int = BRICK, small: int = SMALL) -> DataFrame:
+def grown(rows: DataFrame, grid: Grid, brick: int = BRICK, small: int = SMALL, connectivity: int = 26) -> DataFrame:
     """``rows`` (volume_id, i, x, y, z, dist, marker: 0 for none) with ``basin``, the marker that each voxel joins; 0 where none is connected."""
     cols = ["volume_id", "i", "x", "y", "z"]
     rows = rows.select(*(F.col(c).cast("long").alias(c) for c in cols), F.col("dist").cast("double").alias("dist"), F.col("marker").cast("long").alias("marker"))
@@ -163,7 +163,7 @@ def grown(rows: DataFrame, grid: Grid, brick: int = BRICK, small: int = SMALL) -
     def contract(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_numpy(zero_copy_only=False) for n in ("i", "x", "y", "z", "dist", "marker", "own")}
         volume = group.column("volume_id")[0].as_py()
-        to, (node, far, out, lo, hi, p, q) = _contracted(*(c[n] for n in ("i", "x", "y", "z", "dist", "marker")), c["own"].astype(bool), grid)
+        to, (node, far, out, lo, hi, p, q) = _contracted(*(c[n] for n in ("i", "x", "y", "z", "dist", "marker")), c["own"].astype(bool), grid, connectivity)
         mine = np.flatnonzero(c["own"])
         n, m = len(mine), len(node)
         none = lambda k, t: pa.nulls(k, t)

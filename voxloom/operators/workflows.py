@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 from operator import and_
 
 import numpy as np
@@ -30,9 +32,10 @@ def cube_roi(center: list[Column], edge: int, size: tuple[int, int, int]) -> tup
     return clamped_roi([c - half for c in center], [c + half for c in center], size)
 
 
-def center_roi(center: list[Column], edge: tuple[int, int, int], size: tuple[int, int, int]) -> tuple[list[Column], list[Column]]:
+def center_roi(center: list[Column], edge: Sequence[int | Column], size: tuple[int, int, int]) -> tuple[list[Column], list[Column]]:
     """Box of given edges around a centre, moved inside the volume; shorter only where the volume is."""
-    hi = [F.least(F.lit(n), F.greatest(F.lit(0), c - e // 2) + e) for c, e, n in zip(center, edge, size, strict=True)]
+    half = [F.floor(e / 2) if isinstance(e, Column) else e // 2 for e in edge]
+    hi = [F.least(F.lit(n), F.greatest(F.lit(0), c - h) + e) for c, e, h, n in zip(center, edge, half, size, strict=True)]
     return [F.greatest(F.lit(0), b - e) for b, e in zip(hi, edge, strict=True)], hi
 
 
@@ -67,33 +70,36 @@ def seeded_edit(vox: DataFrame, mask: DataFrame, grid: Grid, seeds: DataFrame, l
     return kept.unionByName(hit.where("sets").select(*cols)).distinct()
 
 
-def greedy_apart(rows: DataFrame, by: str, order: list[tuple[str, str]], distance: float) -> DataFrame:
-    """``rows`` (by, x, y) with kept and place: in order, a row stays if no kept one of its group is nearer than ``distance``.
+def greedy_apart(rows: DataFrame, by: str, order: list[tuple[str, str]], distance: float, axes: str = "xy", box: bool = False) -> DataFrame:
+    """``rows`` (by, and places along ``axes``) with kept and place: in order, a row stays if no kept one of its group is nearer than ``distance``.
 
-    Space is cut into cells so small that two rows of a cell are always too near. In rounds, the first open row of
+    Distances are straight, or, with ``box``, the largest along one axis (of whole numbers). Space is cut into cells so small that two rows of a cell are always too near. In rounds, the first open row of
     each cell stays if no earlier open row around it is too near, and closes all rows that it is too near to. So a cell has one
     candidate a round, however many rows it has, and no group is gathered in one task. Each round is written.
     """
-    edge = max(distance, 1e-9) / np.sqrt(2) * (1 - 1e-9)
+    edge = max(distance, 1e-9) if box else max(distance, 1e-9) / np.sqrt(len(axes)) * (1 - 1e-9)
     nth = F.struct(*((-F.col(c) if how == "descending" else F.col(c)).alias(f"o{k}") for k, (c, how) in enumerate(order)))
-    base = rows.withColumns({"_nth": nth, "_cx": F.floor(F.col("x") / edge), "_cy": F.floor(F.col("y") / edge), "_row": F.xxhash64(*rows.columns)})
+    cells = [f"_c{c}" for c in axes]
+    base = rows.withColumns({"_nth": nth, **{f"_c{c}": F.floor(F.col(c) / edge) for c in axes}, "_row": F.xxhash64(*rows.columns)})
     base = written(base, "apart")
-    there = " and ".join(f"{c} is not null and not isnan({c})" for c in "xy")  # a row without a place is not kept
-    narrow = base.where(there).select(by, "_nth", "_row", "x", "y", "_cx", "_cy")
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3))))
-    near = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) < distance
+    there = " and ".join(f"{c} is not null and not isnan({c})" for c in axes)  # a row without a place is not kept
+    narrow = base.where(there).select(by, "_nth", "_row", *axes, *cells)
+    reach = 1 if box else int(np.ceil(np.sqrt(len(axes))))
+    around = F.explode(F.array(*(F.struct(*(F.lit(k).alias(c) for c, k in zip(axes, d, strict=True))) for d in product(range(-reach, reach + 1), repeat=len(axes)))))
+    apart = [F.col(c) - F.col(f"_{c}") for c in axes]
+    near = (F.greatest(*map(F.abs, apart)) if box else F.hypot(*apart) if len(axes) == 2 else F.sqrt(sum((d * d for d in apart), F.lit(0.0)))) < distance
 
     def spread(df: DataFrame) -> DataFrame:
-        d = df.select(by, F.col("_nth").alias("_of"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_cx", "_cy", around.alias("_d"))
-        return d.select(by, "_of", "_x", "_y", (F.col("_cx") + F.col("_d.a")).alias("_cx"), (F.col("_cy") + F.col("_d.b")).alias("_cy"))
+        d = df.select(by, F.col("_nth").alias("_of"), *(F.col(c).alias(f"_{c}") for c in axes), *cells, around.alias("_d"))
+        return d.select(by, "_of", *(f"_{c}" for c in axes), *((F.col(f"_c{c}") + F.col(f"_d.{c}")).alias(f"_c{c}") for c in axes))
 
     left, kept = narrow, None
     while left.take(1):
-        first = written(left.groupBy(by, "_cx", "_cy").agg(F.min(F.struct("_nth", "_row", "x", "y")).alias("f")).select(by, "_cx", "_cy", "f.*"), "apart-first")
-        late = spread(first).join(left, [by, "_cx", "_cy"]).where(near & (F.col("_nth") < F.col("_of"))).select(by, F.col("_of").alias("_nth")).distinct()
+        first = written(left.groupBy(by, *cells).agg(F.min(F.struct("_nth", "_row", *axes)).alias("f")).select(by, *cells, "f.*"), "apart-first")
+        late = spread(first).join(left, [by, *cells]).where(near & (F.col("_nth") < F.col("_of"))).select(by, F.col("_of").alias("_nth")).distinct()
         new = written(first.join(late, [by, "_nth"], "left_anti"), "apart-new")
         kept = new if kept is None else kept.unionByName(new)
-        gone = spread(new).join(left, [by, "_cx", "_cy"]).where(near | (F.col("_nth") == F.col("_of"))).select(by, "_nth", "_row").distinct()
+        gone = spread(new).join(left, [by, *cells]).where(near | (F.col("_nth") == F.col("_of"))).select(by, "_nth", "_row").distinct()
         left = written(left.join(gone, [by, "_nth", "_row"], "left_anti"), "apart-left")
     if kept is None:
         return rows.withColumns({"kept": F.lit(False), "place": F.lit(0).cast("long")}).limit(0)
