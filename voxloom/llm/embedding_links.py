@@ -14,11 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import connected_components, is_empty, mix64, stage, table
+from voxloom.llm.common import connected_components, is_empty, keyed_join, mix64, stage, table
 
 COSINE = 0.9
 MISS = 1e-5  # most often that a pair right at the threshold shares no band
@@ -155,25 +156,24 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def _vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.dtype]:
-    """(id, v) of every vector that can link, v its components as bytes, and their type (no precision is lost)."""
+    """(id, v) of every row: v its components as bytes, null if it cannot link, and their type (no precision is lost)."""
     kind = np.dtype("<f4") if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType) else np.dtype("<f8")
 
     def run(batches):
         for b in batches:
-            ids, out = [], []
-            col = b.column(1)
+            col, there = b.column(1), b.column(0).is_valid().to_pylist()
+            out: list[bytes | None] = [None] * b.num_rows
             for i in range(b.num_rows):
                 v = col[i].values
-                if v is None or not len(v) or v.null_count:
+                if not there[i] or v is None or not len(v) or v.null_count:
                     continue
                 x = np.asarray(v.to_numpy(zero_copy_only=False), dtype=kind) + kind.type(0)  # -0 is 0
                 if np.isfinite(x).all() and x.any():
-                    out.append(x.tobytes())
-                    ids.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.binary())], names=["id", "v"])
+                    out[i] = x.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
     schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("v", T.BinaryType())])
-    return vectors.select(id_col, vec_col).where(F.col(id_col).isNotNull()).mapInArrow(run, schema), kind
+    return vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("v")).mapInArrow(run, schema), kind
 
 
 def _by_length(col: pa.Array, kind: np.dtype):
@@ -209,25 +209,28 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     different lengths never meet; other columns are not read, whatever their names. Equal vectors are one from the start, so a common
     vector costs a sum. A bucket is compared in blocks; counts
     and a spanning forest of the links leave a task, never the pairs. Links are exact: double-precision
-    cosines decide, and a pair counts in the first band that it shares. Rows that repeat an id with the
-    same vector count as further vectors.
+    cosines decide, and a pair counts in the first band that it shares. Rows that repeat an id, with the same vector or
+    another one, count as further vectors, each with links and a component of its own.
     """
     spark = vectors.sparkSession
     rows, kind = _vectors(vectors, id_col, vec_col)
-    good = stage(rows, "vectors")
-    nodes = good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    id_type = vectors.schema[id_col].dataType
-    coded = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("code", T.BinaryType())])
+    every = stage(rows, "vectors")
+    good = every.where(F.col("v").isNotNull())
+    nodes = good.groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # a node is a vector: ids may stand with several vectors, so nodes get numbers of their own
+    coded = T.StructType([T.StructField("id", T.LongType()), T.StructField("first", vectors.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("code", T.BinaryType())])
 
     def encode(batches):
+        nth = TaskContext.get().partitionId() << 40
         for b in batches:
             for at, x in _by_length(b.column(2), kind):
                 packed = Codes.of(unit(x)).packed()
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(3)), pa.array(packed, pa.binary())], names=coded.names)
+                yield pa.RecordBatch.from_arrays([pa.array(nth + np.arange(len(at))), *(b.column(c).take(pa.array(at)) for c in range(3)), pa.array(packed, pa.binary())], names=coded.names)
+                nth += len(at)
 
-    nodes = stage(nodes.select("id", "n", "v").mapInArrow(encode, coded), "coded")
+    nodes = stage(nodes.select("first", "n", "v").mapInArrow(encode, coded), "coded")
     bits, bands = plan_bands(nodes.count(), cosine)
-    dealt = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.ShortType()), T.StructField("id", id_type), T.StructField("code", T.BinaryType())])
+    dealt = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.ShortType()), T.StructField("id", T.LongType()), T.StructField("code", T.BinaryType())])
 
     def deal(batches):
         for b in batches:
@@ -252,7 +255,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     def cell(rows: int):
         return F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, int(rows) // 4000)))
 
-    left = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.ShortType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("id", id_type)])
+    left = T.StructType([T.StructField("key", T.LongType()), T.StructField("band", T.ShortType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("id", T.LongType())])
 
     def meet(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -286,13 +289,15 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     met = stage(spread.withColumn("cell", cell(some[1] or 0)).groupBy("cell").applyInArrow(meet, left), "undecided")
     met_rows = met.count()
-    whole = met.join(nodes, "id").withColumn("cell", cell(met_rows))
-    found = whole.groupBy("cell").applyInArrow(link, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("links", T.LongType())]))
+    whole = met.join(nodes.drop("first"), "id").withColumn("cell", cell(met_rows))
+    found = whole.groupBy("cell").applyInArrow(link, "a long, b long, links long")
     found = stage(found, "vector-links")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    comp = connected_components(found.select("a", "b"))
+    comp = stage(connected_components(found.select("a", "b")), "vector-components")
+    least = comp.join(nodes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("smallest"), F.count(F.lit(1)).alias("nodes"))
+    comp = keyed_join(comp, stage(least, "smallest-ids"), "component", "nodes").select("id", "smallest")
     # copies of a vector link with each other, and with all that one of them links with
-    full = nodes.select("id", "n", "v").join(links, "id", "left").join(comp, "id", "left").select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    full = nodes.select("id", "first", "n", "v").join(links, "id", "left").join(comp, "id", "left").select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component"))
     full = stage(full, "vector-nodes")
     # the few vectors with a good part of all rows are sent to every task, so none gets all rows of one
     most = (full.agg(F.sum("n")).head()[0] or 0) / HOT
@@ -301,11 +306,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     if not is_empty(cold):
         rest = good if is_empty(hot) else good.join(F.broadcast(hot.select("v")), "v", "left_anti")
         named = named.unionByName(rest.join(cold, "v"))
-    per = named.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component_id"))
-    out = vectors.select(F.col(id_col).alias("vec")).join(per, F.col("vec") == F.col("id"), "left")
-    return out.select(
-        F.col("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec"), F.lit(True)).alias("kept")
-    )
+    alone = every.where(F.col("v").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    out = named.select("id", "n_links", "component").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 class _Forest:
