@@ -188,17 +188,23 @@ def test_terms_go_everywhere_in_their_documents(spark):
     for x in got.select("doc_id", sanitise.redacted(got).alias("r")).collect():
         out[x["doc_id"]].append(x["r"])
     assert out[0] == [f"[TERM] [TERM] [TERM]{far} [EMAIL]{far} signed [TERM] [TERM]"] and out[1] == [rows[1][1]]
-    assert out[None] == ["[TERM] [TERM]: [EMAIL], [PHONE]"] * 2 and sorted(out[7]) == sorted([rows[7][1], ""])
+    assert out[None] == ["[TERM] writes: [EMAIL], [PHONE]"] * 2  # one text in two copies: only what looks like a name goes
+    assert sorted(out[7]) == sorted([rows[7][1], ""])
 
 
 def test_disclosure_against_brute_force(spark):
     r = random.Random(5)
-    pool = ["w%d" % int(300 * r.random() ** 3) for _ in range(600)]
+    word = lambda k: f"w{k}" if k % 4 == 0 else "v" + "".join("abcdefghij"[int(c)] for c in str(k))
+    pool = [word(int(300 * r.random() ** 3)) for _ in range(600)]
     texts = [" ".join(r.choice(pool) for _ in range(r.randint(1, 30))) + "".join(f" ; u{r.randrange(9)}@x.com" for _ in range(r.choice((0, 0, 0, 1, 2)))) for _ in range(800)]
     texts += [texts[k] for k in range(20)] * 3
     held = [(set(m[0] for m in MAIL.finditer(t)), set(re.findall(r"\w+", MAIL.sub(" ", t)))) for t in texts]
     n, n_e, n_t, n_et = len(texts), collections.Counter(), collections.Counter(), collections.Counter()
-    for es, ts in held:
+    together = collections.defaultdict(set)
+    for text, (es, ts) in zip(texts, held, strict=True):
+        for e in es:
+            for t in ts:
+                together[e, t].add(text)
         n_e.update(es)
         n_t.update(ts)
         n_et.update((e, t) for e in es for t in ts)
@@ -211,7 +217,7 @@ def test_disclosure_against_brute_force(spark):
     seen = 0
     for x in got.select("doc_id", "_term").collect():
         t, (es, ts) = texts[x["doc_id"]], held[x["doc_id"]]
-        want = {w for w in ts if any(shown(e, w) >= 0.5 for e in es)}
+        want = {w for w in ts if any(shown(e, w) >= 0.5 and (w[0] == "w" or len(together[e, w]) > 1) for e in es)}
         assert {t[y["s"] : y["e"]] for y in x["_term"]} == want
         seen += len(want)
     assert seen

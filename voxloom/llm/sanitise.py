@@ -38,6 +38,7 @@ DISCLOSURE = 0.8  # share of an entity's information that a term may reveal
 HOT = 100_000  # a key with more than this part of the rows is joined by broadcast: at most so many keys
 RUN = 512  # matches that are placed together; arrays are grown by runs, so that long texts cost no square of their matches
 _WORD = r"[\p{L}\p{M}\p{N}]++"
+_NAMED = r"^\p{Lu}|\p{N}"  # a word that looks like a name or number
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -142,16 +143,18 @@ def _words(text: Column) -> Column:
 
 
 def _marked(found: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    """(id, h, entities, blank, terms) of the documents in which a pattern may find an entity.
+    """(id, h, entities, blank, terms, named) of the documents in which a pattern may find an entity.
 
-    ``blank`` is the text with as many spaces in place of every entity: what is left of words is no entity's.
+    ``blank`` is the text with as many spaces in place of every entity: what is left of words is no entity's. ``named`` are
+    the terms that somewhere begin with a capital or hold a digit.
     """
     text = F.col(f"{prefix}text")
     spans = [F.col(f"{prefix}{k}") for k in KINDS]
     named = F.concat(*(_each(c, lambda x, k: F.concat(F.lit(f"{k}:"), x["m"]), k) for k, c in zip(KINDS, spans, strict=True)))
     blank = _rebuilt(text, F.concat(*spans), lambda x, at: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], at), F.lit(0))))
     rows = found.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("h"), F.array_distinct(named).alias("entities"), blank.alias("blank"))
-    return stage(rows.withColumn("terms", _words(F.col("blank"))), "marked")
+    named = F.array_distinct(F.transform(F.regexp_extract_all("blank", F.lit(_WORD), F.lit(0)), lambda w: F.when(w.rlike(_NAMED), F.lower(w))))
+    return stage(rows.withColumn("terms", _words(F.col("blank"))).withColumn("named", F.array_compact(named)), "marked")
 
 
 def _keyed(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataFrame:
@@ -173,7 +176,8 @@ def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: flo
 
     ``rest`` holds the text of all documents that are not ``marked``. Terms too frequent for any entity go before
     pairs are made, and entities of just the same documents count as one: with any term they have
-    the same counts.
+    the same counts. Two different texts must hold the term and the entity together; one text alone, in however many copies, shares
+    all its rare words with whatever else stands in it, so there only terms count that look like names or numbers.
     """
     doc = ["_id", "h"]
     owned = marked.select(*doc, F.explode("entities").alias("entity"))
@@ -189,10 +193,13 @@ def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: flo
     same = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in doc]
     pairs = terms.join(owners.withColumnsRenamed({c: f"o_{c}" for c in doc}), same).where(could).select(*doc, "term", "docs", "n_e", "n_t")
     pairs = stage(pairs, "pairs")
-    counted = pairs.groupBy("term", "docs", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
+    counted = pairs.groupBy("term", "docs", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"), (F.min("h") != F.max("h")).alias("firm"))
     share = _share(F.col("n_et"), F.col("n_e"), F.col("n_t"), n)
-    shown = stage(counted.where(share >= disclosure).select("term", "docs", "n_e", "n_et"), "disclosive")
-    return _keyed(pairs.drop("n_t"), shown, ["term", "docs", "n_e"], "n_et").select(*doc, "term").distinct()
+    shown = stage(counted.where(share >= disclosure).select("term", "docs", "n_e", "n_et", "firm"), "disclosive")
+    hits = stage(_keyed(pairs.drop("n_t"), shown, ["term", "docs", "n_e"], "n_et").select(*doc, "term", "firm").distinct(), "shown")
+    named = marked.select(*(F.col(c).alias(f"n_{c}") for c in doc), F.explode("named").alias("n_term"))
+    same = [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in (*doc, "term")]
+    return hits.where("firm").select(*doc, "term").unionByName(hits.where(~F.col("firm")).join(named, same, "left_semi").select(*doc, "term")).distinct()
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prefix: str = "_") -> DataFrame:
