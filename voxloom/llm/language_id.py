@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.common import give_back, map_columns, mix64, segment_sum, slices_by_bytes, table, words_of
 
 #: Code points of whole labelled documents taken for learning, for each language about so many (by a hash of the id).
-SAMPLE_CHARS = 600_000
+SAMPLE_CHARS = 600_000  # code points learned from, of each language
+TOTAL_CHARS = 24_000_000  # and of all languages together
 TABLE_BITS = 16
 CHAIN = 128  # words of a chain that is learned from
 PART = 512  # words of a document that are stepped through together with other parts; messages pass between them
@@ -300,15 +301,29 @@ def fold(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % 4
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows outside the held-out fold, whole texts: about ``chars`` code points a language."""
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS, total: int = TOTAL_CHARS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows outside the held-out fold: of every language the first rows by hash, until they hold ``chars`` code points.
+
+    Every language has a row at least. A text longer than the bound counts with a stretch of ``chars`` code points, from a place that its hash
+    gives and without the words cut at its ends; all others are whole. With very many languages each gets its part of ``total``.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), F.col(id_col)), 24)
     some = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (fold(id_col) != 2))
-    n = {r[0]: r[1] or 1 for r in some.groupBy(lang_col).agg(F.sum(F.length(text_col))).collect()}  # a row a language
+    some = some.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.xxhash64(text_col).alias("h"))
+    n = some.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min("draw").alias("first")).collect()  # a row a language
     if not n:
         return []
-    rate = F.create_map(*(F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, chars / c))))
-    drawn = some.where(F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1_000_000)) < F.element_at(rate, F.col(lang_col)) * 1_000_000)
-    return sorted((r[0], r[1]) for r in drawn.select(text_col, lang_col).collect())
+    chars = max(1, min(chars, total // len(n)))
+    # twice the rows that are expected to be enough are ranked, not all of a language
+    most = F.create_map(*(F.lit(x) for r in n for x in (r["lang"], max(r["first"], int(min(1.0, 2 * chars / max(1, r["n"])) * 2**40)))))
+    drawn = some.where(F.col("draw") <= F.element_at(most, F.col("lang")))
+    size = F.length("text")
+    at = F.pmod(F.col("h"), F.greatest(size - chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    cut = F.regexp_replace(F.substring(F.col("text"), at, F.lit(chars)), r"^\S*\s+|\s+\S*$", "")
+    drawn = drawn.withColumn("text", F.when(size > chars, cut).otherwise(F.col("text")))
+    before = Window.partitionBy("lang").orderBy("draw", "h").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < chars)
+    return sorted((r[0], r[1]) for r in drawn.select("text", "lang").collect())
 
 
 def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", carry: list[str] | None = None, prefix: str = "_lang_") -> DataFrame:

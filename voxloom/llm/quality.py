@@ -182,9 +182,11 @@ def co_train(xt, xm, y: np.ndarray, labelled: np.ndarray, aside: np.ndarray, rou
     """Two views over the same rows; ``y`` holds for labelled rows, others are the pool."""
     n = len(y)
     learn = labelled & ~aside
+    if not learn.any():
+        return CoTrained(View(), View(), 0.0)
     target = [np.where(learn, y, 0.0), np.where(learn, y, 0.0)]
     weight = [learn.astype(float), learn.astype(float)]
-    mean = float(y[learn].mean()) if learn.any() else 0.5
+    mean = float(y[learn].mean())
     prior = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
     views = [View(), View()]
     x = (xt, xm)
