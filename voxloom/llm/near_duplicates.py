@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import connected_components, free_name, give_back, mix64, slices_by_bytes, stage, table, words_of
+from voxloom.llm.common import connected_components, free_name, give_back, keyed_join, mix64, slices_by_bytes, stage, table, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # at similarity 0.8 a pair shares no band once in 4,500 times, at 0.85 once in 100,000
@@ -318,7 +318,7 @@ def _second_round(inner: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(_id, h, bands) of every row, and (h, class_id, class_h, n_class) of every text with words."""
+    """(_id, h, bands) of every row, and (h, n, class_id, class_h, n_class) of every text with words, which n rows hold."""
     spark = docs.sparkSession
     counts, n_docs = document_frequencies(docs, text_col)
     shared = spark.sparkContext.broadcast(bin_weights(counts, n_docs))  # 2**SKETCH_BITS floats
@@ -347,9 +347,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         classes = connected_components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = nodes.select("h", "id", "n").join(classes.withColumnRenamed("id", "h"), "h", "left").select("h", "id", "n", F.coalesce("component", "h").alias("component"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h")))
-    names = named.groupBy("component").agg(first.alias("x"), F.sum("n").alias("n_class"))
-    names = names.select("component", F.col("x.id").alias("class_id"), F.col("x.h").alias("class_h"), "n_class")
-    return sig, stage(named.join(names, "component").select("h", "class_id", "class_h", "n_class"), "near-classes")
+    names = named.groupBy("component").agg(first.alias("x"), F.sum("n").alias("n_class"), F.count(F.lit(1)).alias("texts"))
+    names = stage(names.select("component", F.col("x.id").alias("class_id"), F.col("x.h").alias("class_h"), "n_class", "texts"), "near-names")
+    return sig, stage(keyed_join(named, names, "component", "texts").select("h", "n", "class_id", "class_h", "n_class"), "near-classes")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -359,7 +359,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat both id and text become one; an empty table stays empty; texts of any length are compared whole. Columns may have any names.
     """
     sig, of = _classes(docs, id_col, text_col, similarity)
-    rows = sig.where(F.size("bands") > 0).select("_id", "h").join(of, "h")
+    rows = keyed_join(sig.where(F.size("bands") > 0).select("_id", "h"), of, "h", "n")
     stays = (F.col("h") == F.col("class_h")) & F.col("_id").eqNullSafe(F.col("class_id"))
     h, gone_id, gone_h, again_h = (free_name(n, docs) for n in ("h", "gone_id", "gone_h", "again"))
     gone = stage(rows.where(~stays).select(F.col("_id").alias(gone_id), F.col("h").alias(gone_h)).distinct(), "near-gone")
@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never name one unless all ids are null; rows that repeat an id share their fate.
     """
     sig, of = _classes(docs, id_col, text_col, similarity)
-    some = sig.where(F.size("bands") > 0).select("_id", "h").join(of, "h").select("_id", "class_id", "n_class")
+    some = keyed_join(sig.where(F.size("bands") > 0).select("_id", "h"), of, "h", "n").select("_id", "class_id", "n_class")
     none = sig.where(F.size("bands") == 0).select("_id", F.col("_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
     return some.unionAll(none).select(F.col("_id").alias(id_col), "class_id", "n_class", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
