@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import product
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -115,21 +113,25 @@ def projection_preview(mask: DataFrame, height: int) -> DataFrame:
 
 
 def archive_paths(files: DataFrame, folder: str, name: str, ending: str, plain: bool = False, by: list[str] | None = None) -> DataFrame:
-    """``files`` (ord, name) with a path in the archive, of which ``by`` names the keys; later files of one name get _2, _3, ...
+    """``files`` (ord, name) with a path in the archive, of which ``by`` names the keys: in order, each gets the first of
+    name, name_2, name_3, ... that no earlier file has, whatever the case of letters.
 
-    A second pass moves a numbered path on if another file's own name already is that path.
+    At first the nth file of a name has its nth path. In rounds, a path that files of several names want stays with the earliest
+    of them, and the others and those after them move on. A refusal is final, as only earlier files take a path over, so this
+    ends with what one file after the other would get. Each round is written.
     """
-    stem = path_segment(F.col(name), plain=plain)
-    f = files.withColumn("_stem", stem)
-    keys = by or []
-    n = F.row_number().over(Window.partitionBy(*keys, F.lower("_stem")).orderBy("ord"))
-    numbered = F.when(n == 1, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), n.cast("string")))
-    f = f.withColumns({"_n": n, "_out": numbered})
-    own = f.where("_n = 1").select(F.lower("_out").alias("_taken"), *(F.col(k).alias(f"_of_{k}") for k in keys))
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), (F.col("_n") > 1) & (F.lower("_out") == F.col("_taken")))
-    f = f.join(own, same, "left").drop(*(f"_of_{k}" for k in keys))
-    out = F.when(F.col("_taken").isNull(), F.col("_out")).otherwise(F.concat("_out", F.lit("_2")))
-    return f.withColumn("path", normal_path(F.concat(F.lit(f"{folder}/"), out, F.lit(f".{ending}")))).drop("_stem", "_n", "_out", "_taken")
+    keys, stem = by or [], path_segment(F.col(name), plain=plain)
+    own = Window.partitionBy(*keys, F.lower("_stem")).orderBy("ord")
+    f = files.withColumn("_stem", stem).withColumn("_n", F.row_number().over(own)).withColumn("_k", F.col("_n"))
+    path = normal_path(F.concat(F.lit(f"{folder}/"), F.when(F.col("_k") == 1, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), F.col("_k").cast("string"))), F.lit(f".{ending}")))
+    while True:
+        now = written(f.withColumn("path", path), "archive-paths")
+        first = F.min("ord").over(Window.partitionBy(*keys, F.lower("path")))
+        late = now.withColumn("_late", F.col("ord") > first)
+        if not late.where("_late").take(1):
+            return now.drop("_stem", "_n", "_k")
+        ahead = F.max(F.col("_k") + F.col("_late").cast("int") - F.col("_n")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        f = late.withColumn("_k", ahead + F.col("_n")).drop("path", "_late")
 
 
 def shape_audit(rooted: DataFrame, min_voxels: int, min_extent: int, max_components: int, by: str = "label") -> DataFrame:

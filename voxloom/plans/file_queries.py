@@ -199,3 +199,44 @@ def voxel_values(spark, d):
     return V.value_at(vox(spark, d), p).select("id", "v")
 
 
+
+
+_WAY = "'r/' || r_regionkey || ' > n/' || n_nationkey || '.json > c/' || c_custkey || '.json'"
+
+
+@query(
+    f"""WITH c AS (SELECT r_regionkey, n_nationkey, c_custkey, c_name, {_WAY} AS way FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey)
+SELECT 'o/' || o_orderkey || '.txt' AS path, 'order ' || o_orderkey AS label, way AS lineage, CAST(NULL AS VARCHAR) AS error, CAST(length(o_orderpriority) AS BIGINT) AS bytes FROM orders JOIN c ON c_custkey = o_custkey
+UNION ALL SELECT 'n/' || n_nationkey || '.json', 'back', way, 'E_CYCLE', NULL FROM c
+UNION ALL SELECT 'x/' || c_custkey, c_name, way, 'E_MISSING', NULL FROM c WHERE c_custkey % 10 = 0"""
+)
+def import_tree(spark, d):
+    """Regions as collections of nations, nations as manifests of customers, and customers as manifests of orders."""
+    from voxloom.sources import tree
+
+    def at(kind: str, key: str, ending: str):
+        return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"), F.lit(ending))
+
+    def entries(df, key: str, url, name):
+        e = F.struct(url.alias("url"), name.alias("name"))
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(e)).alias("files"))
+
+    def manifest(df, path, files, name=None):
+        cols = [*([name.alias("name")] if name is not None else []), files.alias("files")]
+        return df.select(path.alias("path"), F.to_json(F.struct(*cols)).cast("binary").alias("content"), F.lit(None).cast("array<string>").alias("children"))
+
+    region, nation, customer, orders = (table(spark, d, t) for t in ("region", "nation", "customer", "orders"))
+    of_region = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(at("n", "n_nationkey", ".json"))).alias("children"))
+    roots = region.join(of_region, F.col("r_regionkey") == F.col("n_regionkey")).select(at("r", "r_regionkey", "").alias("path"), F.lit(None).cast("binary").alias("content"), "children")
+    of_nation = entries(customer, "c_nationkey", at("c", "c_custkey", ".json"), F.lit(None).cast("string"))
+    of_customer = entries(orders, "o_custkey", at("o", "o_orderkey", ".txt"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+    own = customer.join(of_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
+    entry = "array<struct<url:string,name:string>>"
+    back = F.array(F.struct(at("n", "c_nationkey", ".json").alias("url"), F.lit("back").alias("name")))
+    lost = F.when(F.col("c_custkey") % 10 == 0, F.array(F.struct(at("x", "c_custkey", "").alias("url"), F.lit(None).cast("string").alias("name")))).otherwise(F.array().cast(entry))
+    files_ = F.concat(F.coalesce("files", F.array().cast(entry)), back.cast(entry), lost.cast(entry))
+    store = manifest(of_nation, at("n", "c_nationkey", ".json"), F.col("files"))
+    store = store.unionByName(manifest(own, at("c", "c_custkey", ".json"), files_, F.col("c_name")))
+    store = store.unionByName(orders.select(at("o", "o_orderkey", ".txt").alias("path"), F.encode("o_orderpriority", "UTF-8").alias("content"), F.lit(None).cast("array<string>").alias("children")))
+    got = tree.import_tree(roots, store)
+    return got.select("path", "label", F.array_join("lineage", " > ").alias("lineage"), "error", F.length("content").cast("long").alias("bytes"))

@@ -23,6 +23,7 @@ _TEXT = {(0x0008, 0x0060): "modality", (0x0008, 0x103E): "description", (0x0010,
 _NUMBERS = {(0x0020, 0x0032): "ipp", (0x0020, 0x0037): "iop", (0x0028, 0x0030): "pixel_spacing", (0x0018, 0x1164): "imager_spacing", (0x0028, 0x1053): "slope", (0x0028, 0x1052): "intercept", (0x0020, 0x0013): "instance_number", (0x0018, 0x0050): "slice_thickness", (0x0018, 0x0088): "spacing_between", (0x0028, 0x0008): "frames"}
 _SHORTS = {(0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns", (0x0028, 0x0100): "bits_allocated", (0x0028, 0x0103): "pixel_representation", (0x0028, 0x0002): "samples"}
 _PIXELS = (0x7FE0, 0x0010)
+_PIXEL_TAG = struct.pack("<HH", *_PIXELS)
 #: Sequences of frames' geometry, which are searched also where the encoding does not say that they are sequences.
 _GROUPS = frozenset(((0x5200, 0x9229), (0x5200, 0x9230), (0x0020, 0x9113), (0x0020, 0x9116), (0x0028, 0x9110), (0x0028, 0x9145)))
 _LISTS = ("ipp", "iop", "pixel_spacing", "imager_spacing")
@@ -154,15 +155,24 @@ def _refused(h: dict, spacing: list, frames: int, size: int) -> str | None:
 
 
 def read_headers(files: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """Header rows of ``files`` (path, content): the first ``prefix`` bytes of each file go to Python, a batch of rows at once."""
+    """Header rows of ``files`` (path, content): the first ``prefix`` bytes of each file go to Python, a batch of rows at once.
+
+    A file whose pixels do not begin there (their tag is not among these bytes) goes whole. If only a picture inside the header has
+    the tag there, the error is E_DICOM_PREFIX: read such a file again with a larger ``prefix``.
+    """
     names = [c.split()[0] for c in HEADER.split(", ")]
 
     def run(batches):
         for b in batches:
             rows = [{"path": p} | parse_header(c or b"", n or 0) for p, c, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+            for r, c, n in zip(rows, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if "pixel_offset" not in r and c is not None and len(c) < n and r["error"] != "E_FORMAT":
+                    r["error"] = "E_DICOM_PREFIX"
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=_ARROW)
 
-    return files.select("path", F.substring("content", 1, prefix), F.length("content")).mapInArrow(run, HEADER)
+    begin = F.substring("content", 1, prefix)
+    head = F.when(F.contains(begin, F.lit(_PIXEL_TAG)), begin).otherwise(F.col("content"))
+    return files.select("path", head, F.length("content")).mapInArrow(run, HEADER)
 
 
 _KIND = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}

@@ -46,10 +46,10 @@ def folder_formats(entries: DataFrame) -> DataFrame:
     return n.select("folder", kind.alias("format")).where("format is not null")
 
 
-def expand_zips(entries: DataFrame) -> DataFrame:
+def expand_zips(entries: DataFrame, errors: bool = False) -> DataFrame:
     """Files inside the archives of ``entries`` (path, content), under the archive's name without its ending; one level.
 
-    An archive that cannot be read gives no files.
+    An archive that cannot be read gives no files; with ``errors`` it gives a row of its path, without content, with error E_ARCHIVE.
     """
 
     def run(batches):
@@ -59,15 +59,20 @@ def expand_zips(entries: DataFrame) -> DataFrame:
                     with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
                         for i in z.infolist():
                             if not i.is_dir():
-                                yield pa.RecordBatch.from_pydict({"path": [f"{path.removesuffix('.zip')}/{i.filename}"], "content": pa.array([z.read(i)], pa.binary())})
+                                yield row(f"{path.removesuffix('.zip')}/{i.filename}", z.read(i), None)
                 except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
-                    continue
+                    if errors:
+                        yield row(path, None, "E_ARCHIVE")
 
-    return entries.where("content is not null").select("path", "content").mapInArrow(run, ENTRY).withColumn("path", normal_path(F.col("path")))
+    def row(path: str, content: bytes | None, error: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    found = entries.where("content is not null").select("path", "content").mapInArrow(run, f"{ENTRY}, error string").withColumn("path", normal_path(F.col("path")))
+    return found if errors else found.drop("error")
 
 
 def voxels_of_slices(slices: DataFrame) -> DataFrame:
-    """``voxels(volume_id, i, x, y, z, v)`` of slice rows (volume_id, z, width, height, pixels: little-endian int16)."""
+    """``voxels(volume_id, i, x, y, z, v)`` of slice rows (volume_id, z, width, height, pixels: little-endian int16); rows of errors have none."""
 
     def run(batches):
         for b in batches:
@@ -76,7 +81,7 @@ def voxels_of_slices(slices: DataFrame) -> DataFrame:
                 k = np.arange(len(v))
                 yield pa.RecordBatch.from_pydict({"volume_id": np.full(len(v), r["volume_id"]), "i": r["z"] * r["width"] * r["height"] + k, "x": k % r["width"], "y": k // r["width"], "z": np.full(len(v), r["z"]), "v": v})
 
-    return slices.select("volume_id", "z", "width", "height", "pixels").mapInArrow(run, "volume_id long, i long, x long, y long, z long, v long")
+    return slices.where("pixels is not null").select("volume_id", "z", "width", "height", "pixels").mapInArrow(run, "volume_id long, i long, x long, y long, z long, v long")
 
 
 def slices_of_voxels(vox: DataFrame, width: int, height: int) -> DataFrame:
@@ -92,13 +97,12 @@ def slices_of_voxels(vox: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def raw_volume(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Slice rows of raw int16 volumes: manifest (volume_id, width, height, depth), blobs (volume_id, content).
+    """Slice rows of raw int16 volumes: manifest (volume_id, width, height, depth), blobs (volume_id, content); with ``error``.
 
-    A content whose size is not width x height x depth x 2 raises.
+    A content whose size is not width x height x depth x 2 has one row with error E_SIZE, without z and pixels.
     """
     size = F.col("width") * F.col("height") * 2
-    m = manifest.join(blobs, "volume_id")
-    ok = F.length("content") == size * F.col("depth")
-    m = m.withColumn("content", F.when(ok, F.col("content")).otherwise(F.raise_error(F.lit("raw volume has the wrong size")).cast("binary")))
-    m = m.withColumn("z", F.explode(F.sequence(F.lit(0), (F.col("depth") - 1).cast("int"))))
-    return m.select("volume_id", F.col("z").cast("long").alias("z"), "width", "height", F.substr("content", (F.col("z") * size + 1).cast("int"), size.cast("int")).alias("pixels"))
+    m = manifest.join(blobs, "volume_id").withColumn("_ok", F.coalesce(F.length("content") == size * F.col("depth"), F.lit(False)) & (F.col("depth") > 0))
+    m = m.withColumn("z", F.explode(F.when(F.col("_ok"), F.sequence(F.lit(0).cast("long"), F.col("depth").cast("long") - 1)).otherwise(F.array(F.lit(None).cast("long")))))
+    pixels = F.when(F.col("_ok"), F.substr("content", (F.col("z") * size + 1).cast("int"), size.cast("int")))
+    return m.select("volume_id", "z", "width", "height", pixels.alias("pixels"), F.when(~F.col("_ok"), "E_SIZE").alias("error"))
