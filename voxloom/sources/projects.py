@@ -28,8 +28,8 @@ def project_archives(projects: DataFrame, parts: DataFrame, app: str, version: i
     named = None
     for kind, (folder, ending) in KINDS.items():
         some = parts.where(F.col("kind") == kind)
-        path = archive_paths(some.select(F.xxhash64("project", "ord").alias("ord"), "project", F.col("ord").alias("place"), "id", "content"), folder, "id", ending, by=["project"])
-        some = path.select("project", F.lit(kind).alias("kind"), F.col("place").alias("ord"), "id", "path", "content")
+        path = archive_paths(some.select("project", "ord", "id", "content"), folder, "id", ending, by=["project"])
+        some = path.select("project", F.lit(kind).alias("kind"), "ord", "id", "path", "content")
         named = some if named is None else named.unionByName(some)
     rows = projects.join(named, "project", "left")
 
