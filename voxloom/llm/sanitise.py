@@ -36,6 +36,7 @@ _NEEDS = {
 PRIOR = 2.0  # documents of a term that are taken to hold an entity as often as the corpus does
 DISCLOSURE = 0.8  # share of an entity's information that a term may reveal
 HOT = 100_000  # a key with more than this part of the rows is joined by broadcast: at most so many keys
+SENT = 200_000  # most terms of documents that are sent to every task; more are joined by a shuffle
 RUN = 512  # matches that are placed together; arrays are grown by runs, so that long texts cost no square of their matches
 _WORD = r"[\p{L}\p{M}\p{N}]++"
 _NAMED = r"^\p{Lu}|\p{N}"  # a word that looks like a name or number
@@ -199,7 +200,9 @@ def disclosive_terms(rest: DataFrame, marked: DataFrame, n: int, disclosure: flo
     hits = stage(_keyed(pairs.drop("n_t"), shown, ["term", "docs", "n_e"], "n_et").select(*doc, "term", "firm").distinct(), "shown")
     named = marked.select(*(F.col(c).alias(f"n_{c}") for c in doc), F.explode("named").alias("n_term"))
     same = [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in (*doc, "term")]
-    return hits.where("firm").select(*doc, "term").unionByName(hits.where(~F.col("firm")).join(named, same, "left_semi").select(*doc, "term")).distinct()
+    weak = hits.where(~F.col("firm"))
+    kept = named.join(F.broadcast(weak) if weak.count() <= SENT else weak, same, "left_semi").toDF(*doc, "term")
+    return hits.where("firm").select(*doc, "term").unionByName(kept).distinct()
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, prefix: str = "_") -> DataFrame:
@@ -231,7 +234,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     gone = hits.withColumnsRenamed({"_id": "hit_id", "h": "hit_h", "term": "hit_term"})
     same = F.col("_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")) & (F.col("term") == F.col("hit_term"))
     key, at, own = (free_name(n, docs, plain) for n in ("h", "at_id", "at_h"))
-    spans = words.join(gone, same).groupBy(F.col("_id").alias(at), F.col("h").alias(own)).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias(made[-1]))
+    spans = words.join(F.broadcast(gone) if hits.count() <= SENT else gone, same).groupBy(F.col("_id").alias(at), F.col("h").alias(own)).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias(made[-1]))
     spans = stage(spans, "term-spans")
     out = plain.withColumn(key, F.xxhash64(text)).join(spans, F.col(id_col).eqNullSafe(F.col(at)) & (F.col(key) == F.col(own)), "left")
     return out.select(*kept, *made[:-1], F.coalesce(made[-1], none).alias(made[-1])).unionByName(bare)
