@@ -167,6 +167,13 @@ def in_polygon(points: DataFrame, vertices: list[tuple[float, float]]) -> DataFr
     return points.where(inside)
 
 
+def in_ellipse(x: Column, y: Column, first: tuple, second: tuple) -> Column:
+    """Whether (x, y) lies in the ellipse in the box of two corners (pairs of columns or numbers), its border included; never in a box without an area."""
+    rx, ry = F.abs(F.lit(second[0]) - F.lit(first[0])) / 2, F.abs(F.lit(second[1]) - F.lit(first[1])) / 2
+    u, v = (x - (F.lit(first[0]) + F.lit(second[0])) / 2) / rx, (y - (F.lit(first[1]) + F.lit(second[1])) / 2) / ry
+    return F.when((rx > 0) & (ry > 0), u * u + v * v <= 1).otherwise(F.lit(False))
+
+
 def density_stats(df: DataFrame, value: str, *by: str) -> DataFrame:
     """min, max, mean, count of the finite values; 0 where there are none."""
     v = F.when(~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) != float("inf")), F.col(value).cast("double"))

@@ -199,6 +199,25 @@ def split_masks(rooted: DataFrame, most: int = 24) -> DataFrame:
     return rooted.join(top, ["volume_id", "root"]).select("volume_id", "part", "i", "x", "y", "z")
 
 
+def split_labels(rooted: DataFrame, locked: tuple[int, ...] = (), most: int = 24) -> DataFrame:
+    """``rooted`` (volume_id, label, root, ...: components of each label) with ``part``: of every label in several components, which is not
+    locked, the ``most`` largest components are parts 1, 2, ... from the largest on, and the others go; all other labels stay whole as part 0."""
+    n = rooted.groupBy("volume_id", "label", "root").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("volume_id", "label")
+    n = n.withColumns({"_all": F.count(F.lit(1)).over(whole), "_nth": F.row_number().over(whole.orderBy(F.desc("_n"), "root"))})
+    keep = (F.col("_all") == 1) | F.col("label").isin(*locked) if locked else F.col("_all") == 1
+    part = n.select("volume_id", "label", "root", F.when(keep, 0).otherwise(F.col("_nth")).cast("long").alias("part")).where(F.col("part") <= most)
+    return rooted.join(part, ["volume_id", "label", "root"])
+
+
+def keep_largest_of(rooted: DataFrame, locked: tuple[int, ...] = ()) -> DataFrame:
+    """``rooted`` (volume_id, label, root, ...) with the largest component of each label; locked labels stay as they are."""
+    n = rooted.groupBy("volume_id", "label", "root").agg(F.count(F.lit(1)).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("volume_id", "label").orderBy(F.desc("_n"), "root"))
+    top = n.withColumn("_nth", nth).where((F.col("_nth") == 1) | (F.col("label").isin(*locked) if locked else F.lit(False)))
+    return rooted.join(top.select("volume_id", "label", "root"), ["volume_id", "label", "root"], "left_semi")
+
+
 def exposed_faces(mask: DataFrame, grid: Grid) -> DataFrame:
     """(volume_id, i, dx, dy, dz): faces without a set voxel beyond."""
     s = mask.select("volume_id", "i", "x", "y", "z", _steps(offsets(6)).alias("d")).select("volume_id", "i", "x", "y", "z", "d.*")

@@ -97,6 +97,63 @@ def decimated(triangles: DataFrame, ratio: float, order: list[str]) -> DataFrame
     return _numbered(triangles, order).where(F.col("n") % k == 0).drop("n")
 
 
+def label_faces(labels: DataFrame, grid: Grid) -> DataFrame:
+    """(volume_id, axis, x, y, z, low, high): every face between two labels of ``labels`` (volume_id, x, y, z, label > 0) once.
+
+    (x, y, z) is the voxel on the face's lower side along ``axis`` (it may lie just outside), ``low`` and ``high`` are the labels
+    of the two sides, 0 where there is none. The faces of one label, on either side, are its closed surface, and two labels
+    that touch share theirs. One pass: each voxel offers its two faces of each axis, and a face's two sides meet by key.
+    """
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.lit(k).alias("up")) for c in "xyz" for k in (0, 1))))
+    s = labels.select("volume_id", "x", "y", "z", "label", sides.alias("_s"))
+    at = [(F.col(c) - F.when((F.col("_s.axis") == c) & (F.col("_s.up") == 0), 1).otherwise(0)).alias(c) for c in "xyz"]
+    own = F.col("label").cast("long")
+    s = s.select("volume_id", F.col("_s.axis").alias("axis"), *at, F.when(F.col("_s.up") == 1, own).alias("low"), F.when(F.col("_s.up") == 0, own).alias("high"))
+    f = s.groupBy("volume_id", "axis", "x", "y", "z").agg(F.coalesce(F.max("low"), F.lit(0)).alias("low"), F.coalesce(F.max("high"), F.lit(0)).alias("high"))
+    return f.where("low <> high")
+
+
+def label_triangles(faces: DataFrame, grid: Grid) -> DataFrame:
+    """Two triangles of each face for each label that it belongs to, seen from outside: (volume_id, label, axis, x, y, z, t, nx.., ax.., bx.., cx..)."""
+    both = F.explode(F.array(F.struct(F.col("low").alias("label"), F.lit(1).alias("out")), F.struct(F.col("high").alias("label"), F.lit(-1).alias("out"))))
+    f = faces.withColumn("_l", both).where("_l.label <> 0").select("volume_id", "axis", "x", "y", "z", F.col("_l.label").alias("label"), F.col("_l.out").alias("out"))
+    step = {"x": grid.sx, "y": grid.sy, "z": grid.sz}
+    # the face's corner nearest the origin, and its sides u and v, whose product points up the axis
+    turn = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+
+    def corner(c: str, a: int, b: int) -> Column:
+        more = F.when(F.col("axis") == c, 1)
+        for axis, (u, v) in turn.items():
+            if c == u:
+                more = more.when(F.col("axis") == axis, a)
+            elif c == v:
+                more = more.when(F.col("axis") == axis, b)
+        return (F.col(c) + more) * step[c]
+
+    p = {n: [corner(c, a, b) for c in "xyz"] for n, (a, b) in {"o": (0, 0), "u": (1, 0), "uv": (1, 1), "v": (0, 1)}.items()}
+    names = [f"{q}{c}" for q in "abc" for c in "xyz"]
+    tri = lambda t, *at: F.struct(F.lit(t).cast("long").alias("t"), *(e.cast("double").alias(n) for e, n in zip([e for q in at for e in p[q]], names, strict=True)))
+    two = F.when(F.col("out") > 0, F.array(tri(0, "o", "u", "uv"), tri(1, "o", "uv", "v"))).otherwise(F.array(tri(0, "o", "uv", "u"), tri(1, "o", "v", "uv")))
+    normal = [F.when(F.col("axis") == c, F.col("out")).otherwise(0).cast("double").alias(f"n{c}") for c in "xyz"]
+    return f.withColumn("q", F.explode(two)).select("volume_id", "label", "axis", "x", "y", "z", "q.t", *normal, *(f"q.{n}" for n in names))
+
+
+def stl_lines(triangles: DataFrame, order: list[str], by: str = "label", name: str = "label_") -> DataFrame:
+    """(by, block, line, value): ASCII STL of each mesh, to be sorted by all three and written as text; seven lines a triangle, in ``order``.
+
+    Blocks are the triangles' places by hash, so no mesh is gathered; block -1 opens a solid and the last one closes it.
+    """
+    number = lambda c: F.format_string("%.6f", F.col(c))
+    point = lambda p: F.concat(F.lit("      vertex "), F.concat_ws(" ", *(number(f"{p}{c}") for c in "xyz")))
+    facet = F.array(F.concat(F.lit("  facet normal "), F.concat_ws(" ", *(number(f"n{c}") for c in "xyz"))), F.lit("    outer loop"), point("a"), point("b"), point("c"), F.lit("    endloop"), F.lit("  endfacet"))
+    # triangles are numbered by their place, which is one number
+    block = sum((F.col(c).cast("long") * (1 << 20) ** k for k, c in enumerate(reversed(order[:-1]))), F.lit(0).cast("long")) * 2 + F.col(order[-1])
+    body = triangles.select(by, block.alias("block"), F.posexplode(facet).alias("line", "value"))
+    solid = F.concat(F.lit(name), F.col(by).cast("string"))
+    ends = triangles.select(by).distinct().select(by, F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.concat(F.lit("solid "), solid).alias("value")), F.struct(F.lit((1 << 63) - 1).alias("block"), F.concat(F.lit("endsolid "), solid).alias("value")))).alias("e"))
+    return body.unionByName(ends.select(by, "e.block", F.lit(0).alias("line"), "e.value"))
+
+
 def smoothed(triangles: DataFrame, rounds: int, factor: float = 0.35) -> DataFrame:
     """Vertices (5 decimals make one vertex) moved towards the mean of their neighbours, at most 24 rounds;
     vertices of fewer than 3 neighbours stay."""

@@ -120,13 +120,33 @@ def slice_gaps(slices: DataFrame, by: str, position: str) -> DataFrame:
     return s.where(F.col("before").isNotNull() & (F.col(position) != F.col("before") + 1))
 
 
-def median_spacing(slices: DataFrame, by: str, location: str) -> DataFrame:
-    """Upper median of the steps over 1e-6 between sorted locations, null where there is none."""
+def median_spacing(slices: DataFrame, by: str, location: str, fallback: list[str] | None = None) -> DataFrame:
+    """Upper median of the steps over 1e-6 between sorted locations; where there is none, the first of the columns ``fallback``
+    that the first slice has other than 0, or 0; without ``fallback`` null."""
     w = Window.partitionBy(by).orderBy(location)
     step = F.abs(F.col(location) - F.lag(location).over(w))
     s = slices.withColumn("_d", step)
     d = F.array_sort(F.collect_list(F.when(F.col("_d") > 1e-6, F.col("_d"))))
-    return s.groupBy(by).agg(d.alias("d")).select(by, F.try_element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int")).alias("spacing"))
+    middle = F.try_element_at("d", (F.floor(F.size("d") / 2) + 1).cast("int"))
+    if fallback is None:
+        return s.groupBy(by).agg(d.alias("d")).select(by, middle.alias("spacing"))
+    first = F.min_by(F.struct(*(F.col(c).cast("double").alias(c) for c in fallback)), location)
+    given = F.coalesce(*(F.nullif(F.col(f"f.{c}"), F.lit(0.0)) for c in fallback), F.lit(0.0))
+    return s.groupBy(by).agg(d.alias("d"), first.alias("f")).select(by, F.coalesce(middle, given).alias("spacing"))
+
+
+#: What the slices of a stack must have in common.
+SAME = ("rows", "columns", "bits_allocated", "pixel_representation")
+
+
+def stack_errors(slices: DataFrame, by: str, usable: Column, same: tuple[str, ...] = SAME) -> DataFrame:
+    """(by, files, slices, error) of folders of slices: E_DICOM_COUNT for fewer than two files, E_DICOM_UNSUPPORTED for fewer than two
+    ``usable`` ones, E_DICOM_MISMATCH where usable ones differ in ``same``; null where they make a stack."""
+    shape = F.struct(*same)
+    good = F.coalesce(usable, F.lit(False))
+    g = slices.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.count_if(good).alias("slices"), F.min(F.when(good, shape)).alias("_a"), F.max(F.when(good, shape)).alias("_b"))
+    error = F.when(F.col("files") < 2, "E_DICOM_COUNT").when(F.col("slices") < 2, "E_DICOM_UNSUPPORTED").when(~F.col("_a").eqNullSafe(F.col("_b")), "E_DICOM_MISMATCH")
+    return g.select(by, "files", "slices", error.alias("error"))
 
 
 def pick_series(slices: DataFrame, series: str, position: str, localizer: Column, by: str | None = None) -> DataFrame:

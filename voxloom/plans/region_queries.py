@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.functions import geometry
+from voxloom.operators import masks as M
+from voxloom.operators import objects as O
 from voxloom.operators import regions as R
 from voxloom.plans.tables import VOX, grid, table, vox
+from voxloom.plans.volume_queries import _closure
 
 QUERIES, ORACLES = {}, {}
 
@@ -135,3 +139,60 @@ def arch_rois(spark, d):
     k = F.col("c_custkey")
     v = table(spark, d, "customer").select(k.alias("id"), (k % 300 + 300).alias("width"), (k % 250 + 250).alias("height"), (k % 200 + 100).alias("depth"))
     return R.arch_rois(v).drop("width", "height", "depth")
+
+
+@query(
+    f"""WITH {VOX}, l AS (SELECT x, y, z, label FROM vox WHERE label <> 0 AND v > 1500),
+p AS (SELECT 'x' AS axis, x, y, z FROM l UNION SELECT 'x', x - 1, y, z FROM l UNION SELECT 'y', x, y, z FROM l UNION SELECT 'y', x, y - 1, z FROM l UNION SELECT 'z', x, y, z FROM l UNION SELECT 'z', x, y, z - 1 FROM l)
+SELECT p.axis, p.x, p.y, p.z, coalesce(a.label, 0) AS low, coalesce(b.label, 0) AS high FROM p LEFT JOIN l a ON a.x = p.x AND a.y = p.y AND a.z = p.z
+LEFT JOIN l b ON b.x = p.x + CAST(p.axis = 'x' AS BIGINT) AND b.y = p.y + CAST(p.axis = 'y' AS BIGINT) AND b.z = p.z + CAST(p.axis = 'z' AS BIGINT) WHERE coalesce(a.label, 0) <> coalesce(b.label, 0)"""
+)
+def label_faces(spark, d):
+    from voxloom.operators import mesh
+
+    return mesh.label_faces(vox(spark, d).where("label <> 0 and v > 1500"), grid(spark, d)).select("axis", "x", "y", "z", "low", "high")
+
+
+@query(
+    f"""WITH RECURSIVE {VOX}, {_closure('label <> 0 AND v > 2000', 6, 'AND b.label = a.label')},
+n AS (SELECT label, root, count(*) AS n FROM rooted GROUP BY label, root), k AS (SELECT *, count(*) OVER (PARTITION BY label) AS c, row_number() OVER (PARTITION BY label ORDER BY n DESC, root) AS nth FROM n)
+SELECT label, root, CASE WHEN c = 1 OR label IN (2, 4) THEN 0 ELSE nth END AS part, n AS voxels FROM k WHERE c = 1 OR label IN (2, 4) OR nth <= 24"""
+)
+def split_unlocked(spark, d):
+    rooted = M.component_roots(vox(spark, d).where("label <> 0 and v > 2000").select("volume_id", "i", "x", "y", "z", "label"), grid(spark, d), 6, by="label")
+    return M.split_labels(rooted, (2, 4)).groupBy("label", "root", "part").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+@query(
+    f"""WITH {VOX}, r AS (SELECT s_suppkey AS id, s_suppkey % 24 AS z, (s_suppkey * 3 % 20) * 1.0::DOUBLE AS x0, (s_suppkey * 5 % 18) * 1.0::DOUBLE AS y0, (s_suppkey % 9) * 1.5::DOUBLE AS w, (s_suppkey % 7) * 1.25::DOUBLE AS h FROM supplier)
+SELECT id, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, round(avg(v::DOUBLE), 6) AS mean, count(*) AS voxels FROM r JOIN vox ON vox.z = r.z
+WHERE w > 0 AND h > 0 AND ((x - (x0 + w / 2)) / (w / 2)) ** 2 + ((y - (y0 + h / 2)) / (h / 2)) ** 2 <= 1 GROUP BY id"""
+)
+def ellipse_density(spark, d):
+    k = F.col("s_suppkey")
+    r = table(spark, d, "supplier").select(k.alias("id"), (k % 24).alias("z"), (k * 3 % 20).cast("double").alias("x0"), (k * 5 % 18).cast("double").alias("y0"), ((k % 9) * 1.5).alias("w"), ((k % 7) * 1.25).alias("h"))
+    corners = ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0") + F.col("h")))
+    inside = vox(spark, d).join(r, "z").where(geometry.in_ellipse(F.col("x"), F.col("y"), *corners))
+    return geometry.density_stats(inside, "v", "id").select("id", F.col("min").alias("lo"), F.col("max").alias("hi"), F.round("mean", 6).alias("mean"), F.col("count").alias("voxels"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS series, CASE WHEN o_custkey % 3 = 0 THEN 1.0::DOUBLE ELSE (o_orderkey % 97) * 0.5::DOUBLE END AS loc, o_orderkey, (o_custkey % 2) * 1.25::DOUBLE AS between_, (o_custkey % 5) * 0.75::DOUBLE AS thick FROM orders),
+d AS (SELECT *, abs(loc - lag(loc) OVER (PARTITION BY series ORDER BY loc)) AS d FROM s), g AS (SELECT series, list_sort(list(d) FILTER (d > 1e-6)) AS d, max(between_) AS b, max(thick) AS t FROM d GROUP BY series)
+SELECT series, round(coalesce(d[len(d) // 2 + 1], nullif(b, 0), nullif(t, 0), 0), 6) AS spacing FROM g"""
+)
+def spacing_fallback(spark, d):
+    k = F.col("o_custkey")
+    s = table(spark, d, "orders").select(k.alias("series"), F.when(k % 3 == 0, 1.0).otherwise((F.col("o_orderkey") % 97) * 0.5).alias("loc"), ((k % 2) * 1.25).alias("between"), ((k % 5) * 0.75).alias("thick"))
+    return O.median_spacing(s, "series", "loc", ["between", "thick"]).select("series", F.round("spacing", 6).alias("spacing"))
+
+
+@query(
+    """WITH s AS (SELECT c_nationkey * 40 + c_custkey % 40 AS folder, 256 + (c_custkey % 11 // 10) AS nrows, 16 AS bits, c_custkey % 3 > 0 AS ok FROM customer)
+SELECT folder, count(*) AS files, count(*) FILTER (ok) AS slices, CASE WHEN count(*) < 2 THEN 'E_DICOM_COUNT' WHEN count(*) FILTER (ok) < 2 THEN 'E_DICOM_UNSUPPORTED'
+ WHEN min(nrows) FILTER (ok) <> max(nrows) FILTER (ok) THEN 'E_DICOM_MISMATCH' END AS error FROM s GROUP BY folder"""
+)
+def stack_errors(spark, d):
+    k = F.col("c_custkey")
+    s = table(spark, d, "customer").select((F.col("c_nationkey") * 40 + k % 40).alias("folder"), (F.floor(k % 11 / 10) + 256).alias("rows"), F.lit(16).alias("bits"), (k % 3 > 0).alias("ok"))
+    return O.stack_errors(s, "folder", F.col("ok"), ("rows", "bits"))

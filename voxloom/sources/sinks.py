@@ -25,6 +25,47 @@ def report_rows_html(items: DataFrame) -> DataFrame:
     return items.select("label", F.concat(F.lit("<tr>"), td(F.col("name")), td(volume_text(F.col("volume_mm3").cast("double"))), td(F.col("quality_status")), F.lit("</tr>")).alias("value"))
 
 
+#: Style of the report (fixed text).
+_STYLE = """  body { font: 14px sans-serif; margin: 2rem; }
+  table { border-collapse: collapse; width: 100%; }
+  th, td { border: 1px solid #e2e8f0; padding: 6px 8px; text-align: left; }
+  .review { font-weight: 600; }"""
+REPORT_COLUMNS = ("Label", "FDI", "Voxels", "Volume", "Centroid (z, y, x)", "Quality", "Notes")
+
+
+def _thousands(n: Column) -> Column:
+    return F.format_number(n.cast("long"), 0)
+
+
+def report_html(items: DataFrame, scans: DataFrame, by: str = "scan_id", title: str = "Tooth separation report", note: str = "Reference only.") -> DataFrame:
+    """(by, value): a page for each scan of ``scans`` (by, source_label, algorithm, candidates; any of them null), with a table of its items.
+
+    ``items``: (by, label, fdi, fdi_name, voxels, volume_mm3, cz, cy, cx, quality_status, quality_reasons). All texts are escaped; a
+    status that is missing counts as accepted, other missing values are a dash. A scan's items are few: each is a string of its page.
+    """
+    dash, text = F.lit("\u2014"), lambda c: escape_html(F.coalesce(c, F.lit("")))
+    status = F.coalesce("quality_status", F.lit("accepted"))
+    fdi = F.when(F.col("fdi").isNotNull(), F.rtrim(F.concat(F.col("fdi").cast("string"), F.lit(" "), text(F.col("fdi_name"))))).otherwise(dash)
+    center = F.concat_ws(", ", *(F.floor(F.col(c) + 0.5).cast("string") for c in ("cz", "cy", "cx")))
+    cells = [F.col("label").cast("string"), fdi, _thousands(F.col("voxels")), F.coalesce(volume_text(F.col("volume_mm3").cast("double")), dash), center]
+    td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *map(td, cells), F.lit('<td class="'), text(status), F.lit('">'), text(status), F.lit("</td>"), td(text(F.array_join("quality_reasons", ", "))), F.lit("</tr>"))
+    rows = items.withColumn("_row", F.struct(F.col("label").alias("label"), row.alias("row")))
+    rows = rows.groupBy(by).agg(F.array_sort(F.collect_list("_row")).alias("rows"), F.count(F.lit(1)).alias("n"), F.count_if(status == "accepted").alias("accepted"), F.sum(F.col("volume_mm3").cast("double")).alias("volume"))
+    s = scans.join(rows, by, "left")
+    line = lambda name, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"  <div>{name}: "), text(c.cast("string")), F.lit("</div>\n"))).otherwise("")
+    count = lambda c, name: F.concat(F.lit("<strong>"), F.coalesce(c, F.lit(0)).cast("string"), F.lit(f"</strong> {name}"))
+    total = F.when(F.col("volume").isNotNull(), F.concat(F.lit(" \u00b7 total volume "), volume_text(F.col("volume")))).otherwise("")
+    body = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<struct<label:bigint,row:string>>")), lambda r: r["row"]), "\n")
+    page = F.concat(
+        F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8" />\n<title>'), text(F.lit(title)), F.lit(" \u2014 "), text(F.col(by).cast("string")), F.lit(f"</title>\n<style>\n{_STYLE}\n</style>\n</head>\n<body>\n  <h1>"), text(F.lit(title)), F.lit("</h1>\n"),
+        line("Scan", F.col(by)), line("Source", F.col("source_label")), line("Method", F.col("algorithm")),
+        F.lit(f"  <p>{note}</p>\n  <p>"), count(F.col("n"), "items"), F.lit(" \u00b7 "), count(F.col("accepted"), "accepted"), F.lit(" \u00b7 "), count(F.col("candidates"), "candidates"), total, F.lit("</p>\n"),
+        F.lit("  <table>\n<tr>" + "".join(f"<th>{c}</th>" for c in REPORT_COLUMNS) + "</tr>\n"), body, F.lit("\n  </table>\n</body>\n</html>"),
+    )
+    return s.select(by, page.alias("value"))
+
+
 def transform_text(m: Column) -> Column:
     """Text of a row-major 4 x 4 affine as twelve parameters and a fixed centre at the origin."""
     order = [0, 1, 2, 4, 5, 6, 8, 9, 10, 3, 7, 11]
