@@ -138,17 +138,22 @@ def label_triangles(faces: DataFrame, grid: Grid) -> DataFrame:
     return f.withColumn("q", F.explode(two)).select("volume_id", "label", "axis", "x", "y", "z", "q.t", *normal, *(f"q.{n}" for n in names))
 
 
-def stl_lines(triangles: DataFrame, order: list[str], by: str = "label", name: str = "label_") -> DataFrame:
-    """(by, block, line, value): ASCII STL of each mesh, to be sorted by all three and written as text; seven lines a triangle, in ``order``.
+def face_number() -> Column:
+    """The number of a triangle of ``label_triangles``: by place, axis and half (volumes of less than 2**19 voxels a side)."""
+    side = 1 << 19
+    place = ((F.col("z") + 1) * side + F.col("y") + 1) * side + F.col("x") + 1
+    return place * 8 + (F.ascii("axis") - F.lit(ord("x"))) * 2 + F.col("t")
 
-    Blocks are the triangles' places by hash, so no mesh is gathered; block -1 opens a solid and the last one closes it.
+
+def stl_lines(triangles: DataFrame, number_of: Column, by: str = "label", name: str = "label_") -> DataFrame:
+    """(by, block, line, value): ASCII STL of each mesh, to be sorted by all three and written as text; seven lines a triangle.
+
+    ``number_of`` is a number of each triangle, at least 0, so no mesh is gathered to number them; block -1 opens a solid and the last one closes it.
     """
     number = lambda c: F.format_string("%.6f", F.col(c))
     point = lambda p: F.concat(F.lit("      vertex "), F.concat_ws(" ", *(number(f"{p}{c}") for c in "xyz")))
     facet = F.array(F.concat(F.lit("  facet normal "), F.concat_ws(" ", *(number(f"n{c}") for c in "xyz"))), F.lit("    outer loop"), point("a"), point("b"), point("c"), F.lit("    endloop"), F.lit("  endfacet"))
-    # triangles are numbered by their place, which is one number
-    block = sum((F.col(c).cast("long") * (1 << 20) ** k for k, c in enumerate(reversed(order[:-1]))), F.lit(0).cast("long")) * 2 + F.col(order[-1])
-    body = triangles.select(by, block.alias("block"), F.posexplode(facet).alias("line", "value"))
+    body = triangles.select(by, number_of.cast("long").alias("block"), F.posexplode(facet).alias("line", "value"))
     solid = F.concat(F.lit(name), F.col(by).cast("string"))
     ends = triangles.select(by).distinct().select(by, F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("block"), F.concat(F.lit("solid "), solid).alias("value")), F.struct(F.lit((1 << 63) - 1).alias("block"), F.concat(F.lit("endsolid "), solid).alias("value")))).alias("e"))
     return body.unionByName(ends.select(by, "e.block", F.lit(0).alias("line"), "e.value"))
