@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import geometry
 from voxloom.operators import masks as M
 from voxloom.operators import objects as O
+from voxloom.operators import pipelines as P
 from voxloom.operators import regions as R
 from voxloom.plans.tables import VOX, grid, table, vox
 from voxloom.plans.volume_queries import _closure
@@ -196,3 +197,22 @@ def stack_errors(spark, d):
     k = F.col("c_custkey")
     s = table(spark, d, "customer").select((F.col("c_nationkey") * 40 + k % 40).alias("folder"), (F.floor(k % 11 / 10) + 256).alias("rows"), F.lit(16).alias("bits"), (k % 3 > 0).alias("ok"))
     return O.stack_errors(s, "folder", F.col("ok"), ("rows", "bits"))
+
+
+@query(
+    f"""WITH {VOX}, c(value, name, color) AS (VALUES {", ".join(f"({v}, '{n}', '{c}')" for v, _, n, c in P.ANATOMY_LABELS)}), n AS (SELECT label AS value, count(*) AS n FROM vox WHERE label <> 3 GROUP BY label)
+SELECT 'Full anatomy' AS name, CAST(min(value) AS BIGINT) AS active_value, string_agg(value || ' ' || name || ' ' || color || ' ' || coalesce(n, 0), ', ' ORDER BY value) AS segments, round(sum(coalesce(n, 0)) * 0.75::DOUBLE, 6) AS volume_mm3 FROM c LEFT JOIN n USING (value)"""
+)
+def segment_groups(spark, d):
+    got = P.segment_groups(vox(spark, d).where("label <> 3"), grid(spark, d, 0.5, 1.0, 1.5))
+    text = F.array_join(F.transform("segments", lambda s: F.concat_ws(" ", s["value"].cast("string"), s["name"], s["color"], s["voxels"].cast("string"))), ", ")
+    return got.select("name", "active_value", text.alias("segments"), F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["volume_mm3"]), 6).alias("volume_mm3"))
+
+
+@query(
+    f"""WITH RECURSIVE {VOX}, {_closure('v > 3000', 6)}, n AS (SELECT root, count(*) AS n FROM rooted GROUP BY root)
+SELECT count(*) FILTER (n >= 2) AS candidates, count(*) FILTER (n >= 4) AS kept FROM n"""
+)
+def candidate_counts(spark, d):
+    s = M.component_stats(M.component_roots(M.threshold(vox(spark, d), 3001, 1e9), grid(spark, d), 6))
+    return s.agg(F.count_if(F.col("voxels") >= 2).alias("candidates"), F.count_if(F.col("voxels") >= 4).alias("kept"))
