@@ -83,18 +83,23 @@ def product(a: Column, b: Column, n: int) -> Column:
 
 def axis_rotation(axis: Column, angle: Column) -> Column:
     """Row-major 3 x 3 rotation about an axis by an angle in radians."""
-    k = unit(axis)
-    c, s = F.cos(angle), F.sin(angle)
-    skew = [0, (-1, 2), (1, 1), (1, 2), 0, (-1, 0), (-1, 1), (1, 0), 0]
-    out = []
-    for r in range(3):
-        for q in range(3):
-            v = k[r] * k[q] * (1 - c) + (c if r == q else F.lit(0.0))
-            if r != q:
-                sign, at = skew[3 * r + q]
-                v = v + k[at] * s * sign
-            out.append(v)
-    return F.array(*out)
+
+    def entries(p: Column) -> Column:
+        (x, y, z), c, s = (p["axis"][k] for k in range(3)), p["cos"], p["sin"]
+        t = 1 - c
+        return F.array(
+            x * x * t + c, x * y * t - z * s, x * z * t + y * s,
+            y * x * t + z * s, y * y * t + c, y * z * t - x * s,
+            z * x * t - y * s, z * y * t + x * s, z * z * t + c,
+        )
+
+    # a lambda's argument is evaluated once, however often the entries use it
+    parts = F.array(F.struct(unit(axis).alias("axis"), F.cos(angle).alias("cos"), F.sin(angle).alias("sin")))
+    return F.transform(parts, entries)[0]
+
+
+#: Length of the cross product below which two directions count as parallel, and how near to the x axis one may be to be turned about it (fixed values).
+PARALLEL, ALONG = 1e-9, 0.9
 
 
 def rotation_onto(a: Column, b: Column) -> Column:
@@ -102,9 +107,9 @@ def rotation_onto(a: Column, b: Column) -> Column:
     u, v = unit(a), unit(b)
     n = cross(u, v)
     same = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
-    side = F.when(F.abs(u[0]) < 0.9, F.array(*map(F.lit, (1.0, 0.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, 0.0))))
+    side = F.when(F.abs(u[0]) < ALONG, F.array(*map(F.lit, (1.0, 0.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, 0.0))))
     parallel = F.when(dot(u, v) > 0, same).otherwise(axis_rotation(cross(u, side), F.pi()))
-    return F.when(norm(n) < 1e-9, parallel).otherwise(axis_rotation(n, F.atan2(norm(n), dot(u, v))))
+    return F.when(norm(n) < PARALLEL, parallel).otherwise(axis_rotation(n, F.atan2(norm(n), dot(u, v))))
 
 
 def quaternion_rotation(q: Column) -> Column:

@@ -27,9 +27,10 @@ def library_items(objects: DataFrame, *by: str, voxels: tuple[int, int] = LIBRAR
     fits = F.col("voxels").between(*voxels)
     for c, (lo, hi) in zip(("cz", "cy", "cx"), box, strict=True):
         fits = fits & F.col(c).between(lo, hi)
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = F.row_number().over(w.orderBy(F.desc("voxels"), "id"))
-    return objects.where(fits).withColumn("label", n.cast("long")).where(F.col("label") <= most)
+    order = (F.desc("voxels"), F.col("id"))
+    # without groups only the first ``most`` rows, which tasks choose each on their own, are numbered
+    rows, w = (objects.where(fits), Window.partitionBy(*by)) if by else (objects.where(fits).orderBy(*order).limit(most), Window.partitionBy(F.lit(0)))
+    return rows.withColumn("label", F.row_number().over(w.orderBy(*order)).cast("long")).where(F.col("label") <= most)
 
 
 def pruned_instances(instances: DataFrame, by: str, distance: float) -> DataFrame:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from voxloom.operators.masks import exposed_faces
 from voxloom.operators.voxels import Grid
 
-#: (name, stride of the mask, share of triangles dropped, smoothing rounds)
-QUALITY = {"draft": (2, 0.5, 0), "balanced": (1, 0.35, 6), "final": (1, 0.0, 12)}
-
 
 def face_triangles(mask: DataFrame, grid: Grid) -> DataFrame:
     """Two triangles for each exposed face: (volume_id, i, t, nx..nz, ax.., bx.., cx..) in millimetres."""

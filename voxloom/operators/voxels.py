@@ -147,12 +147,6 @@ def percentile_normalize(vox: DataFrame, lower: float = 0.5, upper: float = 99.5
     return vox.join(q, "volume_id").withColumn("norm", F.when(F.col("flat"), F.lit(out[0])).otherwise(out[0] + t * (out[1] - out[0]))).drop("flat")
 
 
-def _axis_samples(n_out: int, n_in: int, ratio: float):
-    """Column arrays for one axis: out index with its two source indices and weights, edges clamped."""
-    o = F.explode(F.sequence(F.lit(0), F.lit(n_out - 1)))
-    return o, lambda c: clamp((c + 0.5) * ratio - 0.5, 0.0, float(n_in - 1))
-
-
 def output_grid(spark, volumes: DataFrame, grid: Grid) -> DataFrame:
     """Every voxel of ``grid`` for each volume: made by rows of slices, never on the driver."""
     rows = volumes.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(grid.depth - 1))).alias("z"))
