@@ -58,7 +58,7 @@ def instance_labels(spark, d):
     return _claims(spark, d)[1].select("i", "label")
 
 
-_AUTO = R.AUTO | {"region": (1, 0.96, 0, 1.0), "thresholds": (500, 900, 1300, 1800, 2200), "voxels": (2, 400), "sides": (1, 24), "centroid": (0, 24, 0, 24), "window": 2, "edges": ((20, 5), (60, 7), (None, 9)), "depth": 8, "apart": 6.0, "most": 9}
+_AUTO = R.AUTO | {"region": (1, 0.96, 0, 1.0), "thresholds": (500, 900, 1300, 1800, 2200, 2500, 2800, 3100, 3400), "voxels": (2, 400), "sides": (1, 24), "centroid": (0, 24, 0, 24), "window": 2, "edges": ((20, 5), (60, 7), (None, 9)), "depth": 8, "apart": 6.0, "most": 9}
 _REGIONS = f"""{VOX}, n AS (SELECT max(z) + 1 AS d FROM vox),
 slab AS (SELECT x, y, z, v FROM vox, n WHERE z >= CAST(floor(d * 0.14) AS BIGINT) AND z < CAST(floor(d * 0.64) AS BIGINT)),
 mip AS (SELECT x, y, max(v) AS v FROM slab WHERE y > 1 AND y < 24 AND x > 0 AND x < 25 GROUP BY x, y),
