@@ -92,3 +92,13 @@ def test_whole_words_as_the_library():
     flat, n = coder.encode(pa.array(words), None)
     assert [len(x) - 1 for x in _ids(words, 0)] == n.tolist()
     assert np.concatenate([x[:-1] for x in _ids(words, 0)]).tolist() == flat.tolist()
+
+
+def test_counts_of_an_empty_table_and_one_long_text(spark):
+    import sentencepiece
+
+    assert token_counts.count_tokens(_docs(spark, ["x"]).limit(0)).collect() == []
+    text = "naïve words, " * 60_000
+    got = token_counts.count_tokens(_docs(spark, [text])).head()
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    assert got["n_tokens"] == len(sp.encode(text)) and got["n_bytes"] == len(text.encode()) and got["over_limit"]

@@ -1,3 +1,3 @@
 """Training-data operators: language ID, near-dedup, packing, extraction, token counts,
-quality, decontamination, binary output and sanitisation. Nothing else in the library imports
+quality, decontamination, binary output, sanitisation, best-fit packing, vector codes and source divergence. Nothing else in the library imports
 this subpackage."""

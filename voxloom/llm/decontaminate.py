@@ -234,8 +234,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Every row stays, with all its columns; one that is called ``found_col`` is replaced, so choose
     another name (``free_name``) where it matters. Null and empty texts, null item ids and items without words have no
-    match; repeated items and rows are each compared (rows of one item id give one match, the best); an empty table on
-    either side finds nothing. An item of one or two words is found only where all of its words stand together, and only
+    match; repeated items and rows are each compared (rows of one item id give one match, the best); items that match equally well all
+    stand in the array; an empty table on either side finds nothing. An item of one or two words is found only where all of its words stand together, and only
     if at most ``RARE_DOCS`` of the documents (or one) hold them; other words stand everywhere. An item of more than
     ``PASSAGE`` words counts as its passages. Texts of any length are read whole, twice (counts, then search), and never
     shuffled; only the counts of the items' own n-grams meet. Benchmark text goes to the executors in

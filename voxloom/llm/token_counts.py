@@ -218,7 +218,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have 0 bytes and 0 tokens; null ids, repeated rows and further columns are
-    allowed (a row in gives a row out). Texts are read whole. No shuffle: a scan and one Arrow map;
+    allowed (a row in gives a row out), an empty table gives no rows, and columns of any other names are not read. Texts of any length are read
+    whole, the longest one by one. No shuffle: a scan and one Arrow map;
     executors read the model file at ``model_path``, which must exist on each of them.
     """
     path = model_path or default_model()
