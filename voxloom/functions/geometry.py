@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once a row, however often ``f`` uses it: a lambda's argument is."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -18,8 +23,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Zero stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x / F.nullif(n, F.lit(0.0))))
+    each = lambda p: F.transform(p["a"], lambda x: F.when(p["n"] == 0, 0.0).otherwise(x / F.nullif(p["n"], F.lit(0.0))))
+    return once(a, lambda v: once(F.struct(v.alias("a"), norm(v).alias("n")), each))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -27,7 +32,12 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def cross(a: Column, b: Column) -> Column:
-    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+    def entries(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+    return once(F.struct(a.alias("a"), b.alias("b")), entries)
 
 
 def distance(a: Column, b: Column, spacing=(1.0, 1.0, 1.0)) -> Column:
@@ -93,9 +103,7 @@ def axis_rotation(axis: Column, angle: Column) -> Column:
             z * x * t - y * s, z * y * t + x * s, z * z * t + c,
         )
 
-    # a lambda's argument is evaluated once, however often the entries use it
-    parts = F.array(F.struct(unit(axis).alias("axis"), F.cos(angle).alias("cos"), F.sin(angle).alias("sin")))
-    return F.transform(parts, entries)[0]
+    return once(F.struct(unit(axis).alias("axis"), F.cos(angle).alias("cos"), F.sin(angle).alias("sin")), entries)
 
 
 #: Length of the cross product below which two directions count as parallel, and how near to the x axis one may be to be turned about it (fixed values).
@@ -104,12 +112,16 @@ PARALLEL, ALONG = 1e-9, 0.9
 
 def rotation_onto(a: Column, b: Column) -> Column:
     """The rotation that turns ``a`` to the direction of ``b``; about any axis across for opposite ones."""
-    u, v = unit(a), unit(b)
-    n = cross(u, v)
-    same = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
-    side = F.when(F.abs(u[0]) < ALONG, F.array(*map(F.lit, (1.0, 0.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, 0.0))))
-    parallel = F.when(dot(u, v) > 0, same).otherwise(axis_rotation(cross(u, side), F.pi()))
-    return F.when(norm(n) < PARALLEL, parallel).otherwise(axis_rotation(n, F.atan2(norm(n), dot(u, v))))
+
+    def turned(p: Column) -> Column:
+        u, v, n = p["u"], p["v"], p["n"]
+        same = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
+        side = F.when(F.abs(u[0]) < ALONG, F.array(*map(F.lit, (1.0, 0.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 1.0, 0.0))))
+        parallel = F.when(dot(u, v) > 0, same).otherwise(axis_rotation(cross(u, side), F.pi()))
+        return F.when(norm(n) < PARALLEL, parallel).otherwise(axis_rotation(n, F.atan2(norm(n), dot(u, v))))
+
+    units = F.struct(unit(a).alias("u"), unit(b).alias("v"))
+    return once(units, lambda p: once(F.struct(p["u"].alias("u"), p["v"].alias("v"), cross(p["u"], p["v"]).alias("n")), turned))
 
 
 def quaternion_rotation(q: Column) -> Column:

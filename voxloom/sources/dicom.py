@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.geometry import cross, minus, unit
+from voxloom.functions.geometry import cross, minus, once, unit
 from voxloom.functions.jsnum import clamp_int16, round_half_up
 
 #: Explicit value representations with a 4-byte length (fixed values).
@@ -193,10 +193,10 @@ def by_magic(entries: DataFrame) -> DataFrame:
 
 def patient_axes(iop: Column) -> dict[str, Column]:
     """Patient left, anterior and superior along a volume's columns, rows and slices; the usual axes without an orientation."""
-    row, col = unit(F.slice(iop, 1, 3)), unit(F.slice(iop, 4, 3))
-    third = unit(cross(row, col))
+    pair = F.struct(unit(F.slice(iop, 1, 3)).alias("row"), unit(F.slice(iop, 4, 3)).alias("col"))
+    axes = once(pair, lambda p: F.array(p["row"], p["col"], unit(cross(p["row"], p["col"]))))
     there = F.coalesce((F.size(iop) >= 6) & F.exists(iop, lambda v: v != 0), F.lit(False))
-    axis = lambda k, sign: F.array(*(v[k] * sign for v in (row, col, third)))
+    axis = lambda k, sign: F.transform(axes, lambda v: v[k] * sign)
     usual = {"left": (0, 1.0, (1.0, 0.0, 0.0)), "anterior": (1, -1.0, (0.0, -1.0, 0.0)), "superior": (2, 1.0, (0.0, 0.0, 1.0))}
     return {name: F.when(there, axis(k, sign)).otherwise(F.array(*map(F.lit, plain))) for name, (k, sign, plain) in usual.items()}
 
@@ -206,10 +206,14 @@ _ORDERS = list(permutations(range(3)))
 
 def axis_map(directions: list[Column]) -> Column:
     """For three source directions the volume axis of each (the best of six orders, the first on ties) and whether it runs along it."""
-    scored = F.array(*(F.struct(sum((F.abs(d[a]) for d, a in zip(directions[1:], order[1:], strict=True)), F.abs(directions[0][order[0]])).alias("score"), F.lit(-k).alias("first"), F.array(*map(F.lit, order)).alias("axes")) for k, order in enumerate(_ORDERS)))
-    axes = F.array_max(scored)["axes"]
-    signs = F.array(*(F.when(F.element_at(d, axes[k] + 1) < 0, -1).otherwise(1) for k, d in enumerate(directions)))
-    return F.struct(axes.alias("axes"), signs.alias("signs"))
+
+    def mapped(p: Column) -> Column:
+        d = [p[k] for k in range(3)]
+        scored = F.array(*(F.struct(sum((F.abs(v[a]) for v, a in zip(d[1:], order[1:], strict=True)), F.abs(d[0][order[0]])).alias("score"), F.lit(-k).alias("first"), F.array(*map(F.lit, order)).alias("axes")) for k, order in enumerate(_ORDERS)))
+        signs = lambda axes: F.array(*(F.when(F.element_at(v, axes[k] + 1) < 0, -1).otherwise(1) for k, v in enumerate(d)))
+        return once(F.array_max(scored)["axes"], lambda axes: F.struct(axes.alias("axes"), signs(axes).alias("signs")))
+
+    return once(F.array(*directions), mapped)
 
 
 def frame_candidates(headers: DataFrame) -> DataFrame:
