@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.sources import dicom
+from voxloom.sources import dicom, sinks
 
 
 def _uses(column, name: str) -> int:
@@ -19,3 +19,10 @@ def test_directions_are_evaluated_a_few_times(spark):
     assert _uses(frame["axes"], "a_") + _uses(frame["signs"], "a_") <= 2
     row = spark.sql("SELECT array(0.0D, 2.0D, 0.0D, 3.0D, 0.0D, 0.0D) AS iop_").select(axes["superior"].alias("s")).head()
     assert [v + 0.0 for v in row.s] == [0.0, 0.0, -1.0]
+
+
+def test_transform_texts_are_read_once(spark):
+    assert _uses(sinks.parse_transform(F.col("text_")), "text_") <= 1
+    assert _uses(sinks.transform_text(F.col("matrix_")), "matrix_") <= 1
+    bad = spark.createDataFrame([(None,), ("",), ("Parameters: 1 2",)], "text_ string").select(sinks.parse_transform(F.col("text_")).alias("m"))
+    assert [r.m for r in bad.collect()] == [None, None, None]

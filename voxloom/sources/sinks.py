@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions.geometry import once
 from voxloom.functions.text import csv_text, escape_html, volume_text
 
 _HEAD = "label,name,fdi,voxels,volume_mm3,status,score,reasons"
@@ -71,19 +72,27 @@ def transform_text(m: Column) -> Column:
     order = [0, 1, 2, 4, 5, 6, 8, 9, 10, 3, 7, 11]
     return F.concat(
         F.lit("#Insight Transform File V1.0\n#Transform 0\nTransform: AffineTransform_double_3_3\nParameters: "),
-        F.concat_ws(" ", *(m[k].cast("string") for k in order)),
+        once(m, lambda v: F.concat_ws(" ", *(v[k].cast("string") for k in order))),
         F.lit("\nFixedParameters: 0 0 0\n"),
     )
 
 
 def parse_transform(text: Column) -> Column:
     """Row-major 4 x 4 affine of such a text, its centre folded into the translation; null if it has none."""
-    nums = lambda name: F.transform(F.split(F.trim(F.regexp_extract(text, rf"(?m)^{name}:([^\n]*)", 1)), r"\s+"), lambda x: x.try_cast("double"))
-    p, c = nums("Parameters"), F.coalesce(F.when(F.size(nums("FixedParameters")) >= 3, nums("FixedParameters")), F.array(*(F.lit(0.0),) * 3))
     at = lambda a, k: F.try_element_at(a, F.lit(k + 1))
-    r = lambda i, j: at(p, 3 * i + j)
-    row = lambda i: [r(i, 0), r(i, 1), r(i, 2), at(p, 9 + i) + at(c, i) - (r(i, 0) * at(c, 0) + r(i, 1) * at(c, 1) + r(i, 2) * at(c, 2))]
-    return F.when(F.size(p) >= 12, F.array(*row(0), *row(1), *row(2), *(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0))))
+
+    def nums(t: Column, name: str) -> Column:
+        return F.transform(F.split(F.trim(F.regexp_extract(t, rf"(?m)^{name}:([^\n]*)", 1)), r"\s+"), lambda x: x.try_cast("double"))
+
+    def matrix(n: Column) -> Column:
+        p, c = n["p"], n["c"]
+        r = lambda i, j: at(p, 3 * i + j)
+        row = lambda i: [r(i, 0), r(i, 1), r(i, 2), at(p, 9 + i) + at(c, i) - (r(i, 0) * at(c, 0) + r(i, 1) * at(c, 1) + r(i, 2) * at(c, 2))]
+        return F.when(F.size(p) >= 12, F.array(*row(0), *row(1), *row(2), *(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0))))
+
+    origin = F.array(*(F.lit(0.0),) * 3)
+    center = lambda t: once(nums(t, "FixedParameters"), lambda c: F.coalesce(F.when(F.size(c) >= 3, c), origin))
+    return once(text, lambda t: once(F.struct(nums(t, "Parameters").alias("p"), center(t).alias("c")), matrix))
 
 
 _MARKUPS = "struct<markups:array<struct<type:string,coordinateSystem:string,controlPoints:array<struct<id:string,label:string,description:string,position:array<double>>>>>>"
