@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import regions
+from voxloom.plans import region_queries
 from voxloom.sources import dicom, sinks
 
 
@@ -26,3 +28,10 @@ def test_transform_texts_are_read_once(spark):
     assert _uses(sinks.transform_text(F.col("matrix_")), "matrix_") <= 1
     bad = spark.createDataFrame([(None,), ("",), ("Parameters: 1 2",)], "text_ string").select(sinks.parse_transform(F.col("text_")).alias("m"))
     assert [r.m for r in bad.collect()] == [None, None, None]
+
+
+def test_boxes_of_claims_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(regions, "assigned_instances", lambda claims, *_: seen.append(claims._jdf.queryExecution().sparkPlan().toString()) or (claims, claims))
+    region_queries._claims(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in seen[0]

@@ -42,9 +42,11 @@ def _claims(spark, d):
     g, k = grid(spark, d), F.col("s_suppkey")
     v = vox(spark, d).where("v > 0")
     s = table(spark, d, "supplier").select(k.cast("long").alias("ord"), (k % 25).alias("cx"), (k * 3 % 25).alias("cy"), (k * 7 % g.depth).alias("cz"), (k % 4 + 1).alias("r"))
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord")  # boxes are made by many tasks
     around = lambda c: F.explode(F.sequence(F.col(f"c{c}") - F.col("r"), F.col(f"c{c}") + F.col("r")))
     box = s.withColumn("x", around("x")).withColumn("y", around("y")).withColumn("z", around("z"))
-    claims = box.join(v, ["x", "y", "z"]).select("volume_id", "ord", "i")
+    # boxes are estimated at the size of their suppliers, but have hundreds of rows each: never broadcast
+    claims = box.hint("merge").join(v, ["x", "y", "z"]).select("volume_id", "ord", "i")
     return R.assigned_instances(claims, _LEAST, _MOST, _SHARE)
 
 
