@@ -323,7 +323,8 @@ def assigned_instances(candidates: DataFrame, least: int = 1, most: int | None =
 
     Candidates depend on the earlier ones that share a voxel with them. A round decides those that come first at each of
     their voxels, and drops those that have too few voxels left already; so rounds follow the longest chain of
-    overlaps, no pairs of candidates are made, and no volume is gathered in one task. Each round is written.
+    overlaps, no pairs of candidates are made, and no volume is gathered in one task. Each round is written, and
+    voxels are joined with voxels by shuffles, however small their files are.
     """
     rows = written(candidates.select("volume_id", "ord", "i").distinct(), "claims")
     size = rows.groupBy("volume_id", "ord").agg(F.count(F.lit(1)).alias("positive"))
@@ -339,12 +340,12 @@ def assigned_instances(candidates: DataFrame, least: int = 1, most: int | None =
         new = written(left.where(~F.col("taken")).join(done.where("accepted").select(*by), by, "left_semi").select(*at, "ord"), "claims-won")
         won = new if won is None else won.unionByName(new)
         rest = left.join(done.select(*by), by, "left_anti")
-        left = written(rest.join(new.select(*at, F.lit(True).alias("_new")), at, "left").select(*by, "i", (F.col("taken") | F.col("_new").isNotNull()).alias("taken")), "claims-left")
+        left = written(rest.join(new.select(*at, F.lit(True).alias("_new")).hint("merge"), at, "left").select(*by, "i", (F.col("taken") | F.col("_new").isNotNull()).alias("taken")), "claims-left")
     if won is None:
         won = rows.limit(0).select(*at, "ord")
     owner = won.withColumnRenamed("ord", "owner")
     free = F.sum((F.col("owner").isNull() | (F.col("owner") >= F.col("ord"))).cast("long"))
-    counts = rows.join(owner, at, "left").groupBy(*by).agg(F.count(F.lit(1)).alias("positive"), free.alias("assigned"), F.max(F.coalesce(F.col("owner") == F.col("ord"), F.lit(False))).alias("accepted"))
+    counts = rows.join(owner.hint("merge"), at, "left").groupBy(*by).agg(F.count(F.lit(1)).alias("positive"), free.alias("assigned"), F.max(F.coalesce(F.col("owner") == F.col("ord"), F.lit(False))).alias("accepted"))
     nth = F.row_number().over(Window.partitionBy("volume_id", "accepted").orderBy("ord"))
     instances = counts.select(*by, "positive", "assigned", (F.col("assigned") / F.col("positive")).alias("ratio"), "accepted", F.when(F.col("accepted"), nth).otherwise(0).cast("long").alias("label"))
     instances = written(instances, "instances")
