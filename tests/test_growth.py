@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import regions
+from voxloom.operators import inference, masks, regions, voxels
+from voxloom.operators.voxels import Grid
 from voxloom.plans import region_queries
 from voxloom.sources import dicom, sinks
 
@@ -35,3 +38,35 @@ def test_boxes_of_claims_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(regions, "assigned_instances", lambda claims, *_: seen.append(claims._jdf.queryExecution().sparkPlan().toString()) or (claims, claims))
     region_queries._claims(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in seen[0]
+
+
+@pytest.mark.parametrize("out", [(9, 7, 150), (2, 70, 3)])
+def test_linear_resampling_by_bricks(spark, out):
+    """Against the eight corners of each voxel, with missing voxels, a null, a volume that lies in one brick, and text ids."""
+    g, o = Grid(5, 6, 75), Grid(*out)
+    rng = np.random.default_rng(5)
+    a = np.round(rng.normal(0, 100, (75, 6, 5)), 3)
+    gone = rng.random(a.shape) < 0.2
+    rows = [("one", int(x), int(y), int(z), None if (x, y, z) == (1, 1, 1) else float(a[z, y, x])) for z, y, x in np.argwhere(~gone)]
+    got = voxels.resample_linear(spark.createDataFrame([*rows, ("two", 0, 0, 0, 1.0), ("two", 9, 0, 0, 5.0)], "volume_id string, x long, y long, z long, v double"), g, o)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan  # no row for each corner
+    a[gone] = 0
+    a[1, 1, 1] = 0
+    two = np.zeros(a.shape)
+    two[0, 0, 0] = 1
+
+    def expected(v):
+        for axis, (n, m) in enumerate(zip((75, 6, 5), out[::-1], strict=True)):
+            s = np.clip((np.arange(m) + 0.5) * (n / m) - 0.5, 0, n - 1)
+            lo = np.floor(s).astype(int)
+            w = (s - lo).reshape([-1 if k == axis else 1 for k in range(3)])
+            v = v.take(lo, axis) * (1 - w) + v.take(np.minimum(lo + 1, n - 1), axis) * w
+        return v
+
+    found = {"one": np.full(out[::-1], np.nan), "two": np.full(out[::-1], np.nan)}
+    for r in got.collect():
+        assert np.isnan(found[r.volume_id][r.z, r.y, r.x])
+        found[r.volume_id][r.z, r.y, r.x] = r.v
+    np.testing.assert_allclose(found["one"], expected(a), atol=1e-9)
+    np.testing.assert_allclose(found["two"], expected(two), atol=1e-9)

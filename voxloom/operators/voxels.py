@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.jsnum import clamp, gray, one_if_zero, round_half_up
 
 BINS = 4096
+OUT = 64  # side of the bricks of output voxels that a resampling makes together
 
 
 @dataclass(frozen=True)
@@ -148,8 +152,9 @@ def percentile_normalize(vox: DataFrame, lower: float = 0.5, upper: float = 99.5
 
 
 def output_grid(spark, volumes: DataFrame, grid: Grid) -> DataFrame:
-    """Every voxel of ``grid`` for each volume: made by rows of slices, never on the driver."""
+    """Every voxel of ``grid`` for each volume: made by rows of slices, by many tasks, never on the driver."""
     rows = volumes.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(grid.depth - 1))).alias("z"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "volume_id", "z")
     rows = rows.select("volume_id", "z", F.explode(F.sequence(F.lit(0), F.lit(grid.height - 1))).alias("y"))
     return rows.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x"), "y", "z")
 
@@ -163,21 +168,58 @@ def resample_nearest(vox: DataFrame, grid: Grid, out: Grid, value: str = "v") ->
     return o.join(src, ["volume_id", "ix", "iy", "iz"], "left").select("volume_id", "x", "y", "z", F.coalesce(F.col(value), F.lit(0)).alias(value))
 
 
+def _corners(o: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of places on an axis of ``b`` voxels, the two places on one of ``a`` between which they lie, and their weights."""
+    s = np.clip((o + 0.5) * (a / b) - 0.5, 0.0, float(a - 1))
+    lo = np.floor(s)
+    return [(lo.astype(np.int64), 1 - (s - lo)), (np.minimum(lo + 1, a - 1).astype(np.int64), s - lo)]
+
+
 def resample_linear(vox: DataFrame, grid: Grid, out: Grid) -> DataFrame:
-    """Trilinear at voxel centres, edges clamped: eight weighted corners joined once and summed by voxel."""
-    o = output_grid(vox.sparkSession, vox.select("volume_id").distinct(), out)
-    at = {}
-    for c, a, b in (("x", grid.width, out.width), ("y", grid.height, out.height), ("z", grid.depth, out.depth)):
-        s = clamp((F.col(c) + 0.5) * (a / b) - 0.5, 0.0, float(a - 1))
-        lo = F.floor(s)
-        hi = F.least(lo + 1, F.lit(a - 1))
-        at[c] = F.array(F.struct(lo.cast("long").alias("k"), (1 - (s - lo)).alias("w")), F.struct(hi.cast("long").alias("k"), (s - lo).alias("w")))
-    o = o.withColumns({f"_{c}": at[c] for c in "xyz"})
-    for c in "xyz":
-        o = o.withColumn(f"_{c}", F.explode(f"_{c}")).where(F.col(f"_{c}.w") > 0)
-    corner = o.select("volume_id", "x", "y", "z", F.col("_x.k").alias("ix"), F.col("_y.k").alias("iy"), F.col("_z.k").alias("iz"), (F.col("_x.w") * F.col("_y.w") * F.col("_z.w")).alias("w"))
-    src = vox.select("volume_id", F.col("x").cast("long").alias("ix"), F.col("y").cast("long").alias("iy"), F.col("z").cast("long").alias("iz"), "v")
-    return corner.join(src, ["volume_id", "ix", "iy", "iz"], "left").groupBy("volume_id", "x", "y", "z").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0))).alias("v"))
+    """Trilinear at voxel centres, edges clamped: (volume_id, x, y, z, v) of every voxel of ``out``.
+
+    Each brick of ``OUT`` output voxels a side gathers the source voxels that are corners of its own, and sums the eight of
+    each. A source voxel without a row counts as 0; bricks without any have a row of their own, so they are made as well.
+    """
+    axes = {"x": (grid.width, out.width), "y": (grid.height, out.height), "z": (grid.depth, out.depth)}
+    src = vox.where(grid.inside(*(F.col(c) for c in "xyz"))).select("volume_id", *(F.col(c).cast("long").alias(c) for c in "xyz"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    seeds = vox.select("volume_id").distinct()
+    for c, (a, b) in axes.items():
+        # output places whose corner a source voxel may be: less than one source step away, or beyond the edge
+        first = F.when(F.col(c) == 0, 0).otherwise(F.ceil((F.col(c) - 0.5) * (b / a) - 0.5 - 1e-6))
+        last = F.when(F.col(c) == a - 1, b - 1).otherwise(F.floor((F.col(c) + 1.5) * (b / a) - 0.5 + 1e-6))
+        src = src.withColumns({"_f": F.greatest(F.lit(0), first).cast("long"), "_l": F.least(F.lit(b - 1), last).cast("long")}).where("_f <= _l")
+        src = src.withColumn(f"b{c}", F.explode(F.sequence(F.floor(F.col("_f") / OUT), F.floor(F.col("_l") / OUT)))).drop("_f", "_l")
+        seeds = seeds.withColumn(f"b{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((b - 1) // OUT).cast("long"))))
+    seeds = seeds.select("volume_id", *(F.lit(None).cast("long").alias(c) for c in "xyz"), F.lit(None).cast("double").alias("v"), *(f"b{c}" for c in "xyz"))
+
+    def run(group: pa.Table) -> pa.Table:
+        volume, kept = group.column("volume_id"), group.filter(group.column("x").is_valid())
+        base = {c: group.column(f"b{c}")[0].as_py() * OUT for c in "xyz"}
+        o = {c: np.arange(base[c], min(base[c] + OUT, axes[c][1])) for c in "xyz"}
+        ends = {c: _corners(o[c], *axes[c]) for c in "xyz"}
+        need = {c: np.unique(np.concatenate([k for k, _ in ends[c]])) for c in "xyz"}
+        at, known = [], np.ones(len(kept), dtype=bool)
+        for c in "zyx":
+            place = kept.column(c).to_numpy()
+            at.append(np.minimum(np.searchsorted(need[c], place), len(need[c]) - 1))
+            known &= need[c][at[-1]] == place
+        shape = [len(need[c]) for c in "zyx"]
+        flat = np.ravel_multi_index([p[known] for p in at], shape)
+        dense = np.bincount(flat, weights=kept.column("v").to_numpy()[known], minlength=int(np.prod(shape))).reshape(shape)
+        v = np.zeros([len(o[c]) for c in "zyx"])
+        for kx, wx in ends["x"]:
+            for ky, wy in ends["y"]:
+                for kz, wz in ends["z"]:
+                    w = wx * wy[:, None] * wz[:, None, None]
+                    corner = dense[np.ix_(*(np.searchsorted(need[c], k) for c, k in zip("zyx", (kz, ky, kx), strict=True)))]
+                    v += np.where(w > 0, w * corner, 0.0)
+        z, y, x = (m.ravel().astype(np.int32) for m in np.meshgrid(*(o[c] for c in "zyx"), indexing="ij"))
+        same = volume.combine_chunks().take(pa.array(np.zeros(v.size, dtype=np.int64)))
+        return pa.table({"volume_id": same, "x": x, "y": y, "z": z, "v": v.ravel()})
+
+    made = T.StructType([T.StructField("volume_id", vox.schema["volume_id"].dataType), *(T.StructField(c, T.IntegerType()) for c in "xyz"), T.StructField("v", T.DoubleType())])
+    return src.select(*seeds.columns).unionByName(seeds).groupBy("volume_id", "bx", "by", "bz").applyInArrow(run, made)
 
 
 def class_stats(labelmap: DataFrame, classes: DataFrame, grid: Grid) -> DataFrame:
