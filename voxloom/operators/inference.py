@@ -36,6 +36,44 @@ def _mirror(i: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * (n - 1) - m)
 
 
+@dataclass(frozen=True)
+class _Axis:
+    """An axis of ``size`` voxels and its windows, without a list of them."""
+
+    size: int
+    window: int
+    overlap: float
+
+    @property
+    def step(self) -> int:
+        return max(1, int(self.window * (1 - self.overlap)))
+
+    @property
+    def last(self) -> int:
+        return max(0, -(-(self.size - self.window) // self.step))
+
+    @property
+    def count(self) -> int:
+        return self.last + 1
+
+    def start(self, k: int) -> int:
+        return max(0, min(k * self.step, self.size - self.window))
+
+    def dealt(self, rows: DataFrame, c: str) -> DataFrame:
+        """``rows`` once for each window that holds their place along ``c``: its number ``_k`` and the place in it, ``_o``."""
+        if self.size < self.window:  # one window, with mirror images: a literal map of at most its size
+            src = _mirror(np.arange(self.window) - (self.window - self.size) // 2, self.size)
+            lookup = rows.sparkSession.createDataFrame([(int(i), 0, o) for o, i in enumerate(src)], f"{c} long, _k{c} int, _o{c} int")
+            return rows.join(F.broadcast(lookup), c)
+        # the windows that hold a place stand in a row; the last one ends with the axis
+        at, end = F.col(c).cast("long"), self.size - self.window
+        first = F.least(F.lit(self.last), F.greatest(F.lit(0), F.floor((at - self.window) / self.step) + 1))
+        final = F.when(at >= end, self.last).otherwise(F.least(F.lit(self.last - 1), F.floor(at / self.step)))
+        held = rows.where(at.between(0, self.size - 1) & (first <= final))
+        held = held.withColumn(f"_k{c}", F.explode(F.sequence(first.cast("long"), final.cast("long"))))
+        return held.withColumn(f"_o{c}", at - F.least(F.col(f"_k{c}") * self.step, F.lit(end)))
+
+
 def patches(vox: DataFrame, grid: Grid, window: tuple[int, int, int], overlap: float, value: str = "v") -> DataFrame:
     """(volume_id, w, z0, y0, x0, data, held): float32 patches in z, y, x order, mirrored beyond the volume.
 
@@ -44,20 +82,13 @@ def patches(vox: DataFrame, grid: Grid, window: tuple[int, int, int], overlap: f
     bits of ``held`` tell the others.
     """
     dims, names = (grid.depth, grid.height, grid.width), ("z", "y", "x")
-    size = [max(n, w) for n, w in zip(dims, window, strict=True)]
-    pad = [(s - n) // 2 for s, n in zip(size, dims, strict=True)]
-    places = [starts(s, w, overlap) for s, w in zip(size, window, strict=True)]
+    axes = [_Axis(n, w, overlap) for n, w in zip(dims, window, strict=True)]
     rows = vox.select("volume_id", *names, F.col(value).cast("double").alias("v"))
-    for c, n, s, p, w, st in zip(names, dims, size, pad, window, places, strict=True):
-        # padded positions of each source index, by window start: small literal maps of one axis
-        src = _mirror(np.arange(s) - p, n)
-        table = [[[k, int(x) - a] for k, a in enumerate(st) for x in np.flatnonzero(src == i) if a <= x < a + w] for i in range(n)]
-        lookup = vox.sparkSession.createDataFrame([(i, k, o) for i, t in enumerate(table) for k, o in t], f"{c} long, _k{c} int, _o{c} int")
-        rows = rows.join(F.broadcast(lookup), c)
+    for c, axis in zip(names, axes, strict=True):
+        rows = axis.dealt(rows, c)
     index = (F.col("_oz") * window[1] + F.col("_oy")) * window[2] + F.col("_ox")
-    number = (F.col("_kz") * len(places[1]) + F.col("_ky")) * len(places[2]) + F.col("_kx")
+    number = (F.col("_kz").cast("long") * axes[1].count + F.col("_ky")) * axes[2].count + F.col("_kx")
     cells = int(np.prod(window))
-    z_of, y_of, x_of = places
 
     def build(group: pa.Table) -> pa.Table:
         data = np.zeros(cells, dtype=np.float32)
@@ -65,10 +96,11 @@ def patches(vox: DataFrame, grid: Grid, window: tuple[int, int, int], overlap: f
         data[at] = group.column("v").to_numpy()
         held = np.zeros(cells, dtype=bool)
         held[at] = True
-        k = [group.column(c)[0].as_py() for c in ("_kz", "_ky", "_kx")]
-        return pa.table({"volume_id": [group.column("volume_id")[0].as_py()], "w": [group.column("w")[0].as_py()], "z0": [z_of[k[0]]], "y0": [y_of[k[1]]], "x0": [x_of[k[2]]], "data": pa.array([data.tobytes()], pa.binary()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+        w = group.column("w")[0].as_py()
+        k = [w // (axes[1].count * axes[2].count), w // axes[2].count % axes[1].count, w % axes[2].count]
+        return pa.table({"volume_id": [group.column("volume_id")[0].as_py()], "w": [w], **{f"{c}0": [a.start(n)] for c, a, n in zip(names, axes, k, strict=True)}, "data": pa.array([data.tobytes()], pa.binary()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
-    rows = rows.select("volume_id", number.cast("long").alias("w"), "_kz", "_ky", "_kx", index.cast("long").alias("at"), "v")
+    rows = rows.select("volume_id", number.cast("long").alias("w"), index.cast("long").alias("at"), "v")
     return rows.groupBy("volume_id", "w").applyInArrow(build, "volume_id long, w long, z0 long, y0 long, x0 long, data binary, held binary")
 
 
