@@ -70,3 +70,40 @@ def test_linear_resampling_by_bricks(spark, out):
         found[r.volume_id][r.z, r.y, r.x] = r.v
     np.testing.assert_allclose(found["one"], expected(a), atol=1e-9)
     np.testing.assert_allclose(found["two"], expected(two), atol=1e-9)
+
+
+@pytest.mark.parametrize("size,window,overlap", [(16, 16, 0.5), (17, 16, 0.5), (25, 16, 0.25), (7, 16, 0.5), (50, 8, 0.0), (33, 5, 0.9), (1, 4, 0.5)])
+def test_windows_that_hold_a_place(spark, size, window, overlap):
+    axis, padded = inference._Axis(size, window, overlap), max(size, window)
+    at = inference.starts(padded, window, overlap)
+    assert [axis.start(k) for k in range(axis.count)] == at
+    src = inference._mirror(np.arange(padded) - (padded - size) // 2, size)
+    want = sorted((int(src[a + o]), k, o) for k, a in enumerate(at) for o in range(window))
+    got = axis.dealt(spark.range(-1, size + 1).select(F.col("id").alias("x")), "x").select("x", "_kx", "_ox").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_windows_of_long_volumes_need_no_list_of_places(spark, monkeypatch):
+    mirror = inference._mirror
+
+    def short(i, n):
+        assert len(i) <= 4
+        return mirror(i, n)
+
+    monkeypatch.setattr(inference, "_mirror", short)
+    vox = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 3, 3, 99_999, 2.0)], "volume_id long, x long, y long, z long, v double")
+    got = inference.patches(vox, Grid(4, 4, 100_000), (4, 4, 4), 0.5).select("w", "z0").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (49_998, 99_996)]
+
+
+def test_long_lines_are_gathered_a_few_at_a_time(spark, monkeypatch):
+    for n in (1, 25, 1_000, 14_400, 86_400, 5_000_000):
+        side = masks.lines_together(n)
+        assert side == 1 or side * side * n <= masks.CELLS
+    rng = np.random.default_rng(3)
+    here = np.argwhere(rng.random((40, 6, 6)) < 0.9)
+    vox = spark.createDataFrame([(0, int(x), int(y), int(z), int(rng.random() < 0.9)) for z, y, x in here], "volume_id long, x long, y long, z long, m long")
+    distances = lambda: sorted(map(tuple, masks.squared_distance(vox, vox.where("m = 1"), Grid(6, 6, 40)).collect()))
+    whole = distances()
+    monkeypatch.setattr(masks, "CELLS", 160)
+    assert distances() == whole

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import product
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from voxloom.operators.voxels import Grid
 
 BRICK = 64
 SLAB = 32  # lines of a distance pass that are gathered together, in either direction
+CELLS = 1 << 20  # most cells of lines that are gathered together, if there are several
 _SHIFT = 1 << 40  # volumes' voxels as one number: volume_id * 2**40 + i
 
 #: Named ranges in Hounsfield units (fixed values).
@@ -280,10 +282,15 @@ def local_maxima(rows: DataFrame, value: str, reach: int) -> DataFrame:
     return dealt.groupBy("volume_id", "_bx", "_by", "_bz").applyInArrow(run, rows.schema)
 
 
+def lines_together(n: int) -> int:
+    """How many lines of ``n`` voxels a distance pass gathers in either direction."""
+    return max(1, min(SLAB, isqrt(CELLS // max(1, n))))
+
+
 def squared_distance(vox: DataFrame, mask: DataFrame, grid: Grid, in_mm: bool = False) -> DataFrame:
     """Squared distance in voxels, or in millimetres, of every set voxel to the nearest unset one, by three passes over lines.
 
-    A pass gathers ``SLAB`` x ``SLAB`` lines of one axis at a time, and looks along them as far as distances reach. Without any unset
+    A pass gathers at most ``SLAB`` x ``SLAB`` lines of one axis at a time, fewer where they are long (``CELLS``), and looks along them as far as distances reach. Without any unset
     voxel in the volume the distance stays at 1e20.
     """
     far = 1e20
@@ -308,7 +315,8 @@ def squared_distance(vox: DataFrame, mask: DataFrame, grid: Grid, in_mm: bool =
                 np.minimum(d[:, :-k], f[:, k:] + away, out=d[:, :-k])
             return group.set_column(group.schema.get_field_index("d"), "d", pa.array(np.minimum(d[line, at], far)))
 
-        return run, [F.floor(F.col(c) / SLAB).alias(f"_s{c}") for c in others]
+        side = lines_together(n)
+        return run, [F.floor(F.col(c) / side).alias(f"_s{c}") for c in others]
 
     for axis, n, step in (("x", grid.width, grid.sx), ("y", grid.height, grid.sy), ("z", grid.depth, grid.sz)):
         run, slab = along(axis, n, step if in_mm else 1)
