@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import inference, masks, regions, voxels
 from voxloom.operators.voxels import Grid
 from voxloom.plans import region_queries
-from voxloom.sources import dicom, sinks
+from voxloom.sources import dicom, sinks, tree
 
 
 def _uses(column, name: str) -> int:
@@ -107,3 +110,11 @@ def test_long_lines_are_gathered_a_few_at_a_time(spark, monkeypatch):
     whole = distances()
     monkeypatch.setattr(masks, "CELLS", 160)
     assert distances() == whole
+
+
+def test_children_of_manifests_are_handed_on_together():
+    files = [{"url": f"f/{k}.txt"} for k in range(10_000)]
+    node = {"path": "m.json", "content": json.dumps({"files": files}).encode(), "label": None, "lineage": [], "kind": "manifest"}
+    got = list(tree._opened([pa.RecordBatch.from_pylist([node])]))
+    assert len(got) <= 3
+    assert [p for b in got for p in b.column("path").to_pylist()] == [f["url"] for f in files]

@@ -14,6 +14,7 @@ from voxloom.functions.text import extension, normal_path
 from voxloom.operators.staging import written
 
 _NODE = "path string, content binary, children array<string>, label string, lineage array<string>, error string"
+ROWS, BYTES = 4_000, 16_000_000  # of children that a task hands on together
 _NAMES = [c.split()[0] for c in _NODE.split(", ")]
 
 
@@ -24,21 +25,33 @@ def _opened(batches):
         return {"path": path, "content": content, "children": None, "label": label, "lineage": lineage, "error": error}
 
     shape = pa.schema([("path", pa.string()), ("content", pa.binary()), ("children", pa.list_(pa.string())), ("label", pa.string()), ("lineage", pa.list_(pa.string())), ("error", pa.string())])
+
+    def children(r):
+        below = [*r["lineage"], r["path"]]
+        if r["kind"] == "manifest":
+            got = json.loads(r["content"])
+            for e in got.get("files") or got.get("resources") or []:
+                yield row(e["url"], None, e.get("name") or got.get("name") or r["label"], below)
+            return
+        try:
+            with zipfile.ZipFile(pa.BufferReader(r["content"])) as z:
+                for i in z.infolist():
+                    if not i.is_dir():
+                        yield row(f"{r['path'].removesuffix('.zip')}/{i.filename}", z.read(i), r["label"], below)
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+            yield row(r["path"], None, r["label"], r["lineage"], "E_ARCHIVE")
+
+    held, size = [], 0
     for b in batches:
         for r in b.to_pylist():
-            below = [*r["lineage"], r["path"]]
-            if r["kind"] == "manifest":
-                got = json.loads(r["content"])
-                for e in got.get("files") or got.get("resources") or []:
-                    yield pa.RecordBatch.from_pylist([row(e["url"], None, e.get("name") or got.get("name") or r["label"], below)], schema=shape)
-                continue
-            try:
-                with zipfile.ZipFile(pa.BufferReader(r["content"])) as z:
-                    for i in z.infolist():
-                        if not i.is_dir():
-                            yield pa.RecordBatch.from_pylist([row(f"{r['path'].removesuffix('.zip')}/{i.filename}", z.read(i), r["label"], below)], schema=shape)
-            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
-                yield pa.RecordBatch.from_pylist([row(r["path"], None, r["label"], r["lineage"], "E_ARCHIVE")], schema=shape)
+            for child in children(r):
+                held.append(child)
+                size += len(child["content"] or b"")
+                if len(held) >= ROWS or size >= BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=shape)
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=shape)
 
 
 def _kind(nodes: DataFrame) -> DataFrame:
