@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import inference, masks, regions, voxels
+from voxloom.operators import inference, masks, regions, voxels, watershed
 from voxloom.operators.voxels import Grid
 from voxloom.plans import region_queries
 from voxloom.sources import dicom, sinks, tree
@@ -118,3 +118,44 @@ def test_children_of_manifests_are_handed_on_together():
     got = list(tree._opened([pa.RecordBatch.from_pylist([node])]))
     assert len(got) <= 3
     assert [p for b in got for p in b.column("path").to_pylist()] == [f["url"] for f in files]
+
+
+def test_means_of_neighbours_by_bricks(spark, monkeypatch):
+    """No row for each neighbour; nulls, other columns, text ids and voxels at the rims of bricks and of the grid."""
+    monkeypatch.setattr(masks.with_rims, "__defaults__", (4,))
+    g = Grid(9, 5, 11)
+    rng = np.random.default_rng(8)
+    a = rng.integers(-50, 50, (11, 5, 9)).astype(float)
+    here = rng.random(a.shape) < 0.7
+    here[0, 0, 0] = True
+    rows = [("one", int((z * 5 + y) * 9 + x), int(x), int(y), int(z), None if (x, y, z) == (0, 0, 0) else float(a[z, y, x]), "t") for z, y, x in np.argwhere(here)]
+    got = masks.smooth(spark.createDataFrame([*rows, ("two", 0, 0, 0, 0, 8.0, "t")], "volume_id string, i long, x long, y long, z long, v double, other string"), g)
+    assert "Join" not in got._jdf.queryExecution().analyzed().toString() and got.columns == ["volume_id", "i", "x", "y", "z", "v", "other", "smooth"]
+    found = {(r.volume_id, r.z, r.y, r.x): r.smooth for r in got.collect()}
+    a[~here] = 0
+    a[0, 0, 0] = 0
+    for z, y, x in np.argwhere(here):
+        near = [a[z + dz, y + dy, x + dx] for dx, dy, dz in [(0, 0, 0), *masks.offsets(6)] if 0 <= z + dz < 11 and 0 <= y + dy < 5 and 0 <= x + dx < 9]
+        assert found.pop(("one", z, y, x)) == (None if not (x or y or z) else pytest.approx(sum(near) / len(near)))
+    assert found == {("two", 0, 0, 0): 2.0}
+
+
+def test_voxels_go_to_the_bricks_that_they_touch(spark, monkeypatch):
+    """Only bricks of the grid, each once, and no list of all neighbours for every voxel."""
+    g, brick = Grid(7, 3, 10), 3
+    places = [(x, y, z) for x in range(7) for y in range(3) for z in range(10)]
+    rows = spark.createDataFrame([(0, (z * 3 + y) * 7 + x, x, y, z, 1.0, 0) for x, y, z in places], "volume_id long, i long, x long, y long, z long, dist double, marker long")
+    got = sorted(tuple(r) for r in masks.with_rims(rows, g, brick).select("x", "y", "z", "_bx", "_by", "_bz", "_own").collect())
+    want = set()
+    for p in places:
+        for d in [(0, 0, 0), *masks.offsets(26)]:
+            q = [a + b for a, b in zip(p, d, strict=True)]
+            if all(0 <= a < n for a, n in zip(q, (7, 3, 10), strict=True)):
+                b = tuple(a // brick for a in q)
+                want.add((*p, *b, b == tuple(a // brick for a in p)))
+    assert got == sorted(want)
+    plans = {}
+    written = watershed.written
+    monkeypatch.setattr(watershed, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().analyzed().toString()) and written(df, name))
+    watershed.grown(rows, g, brick)
+    assert plans["ws-bricks"].lower().count("floor(") <= 12

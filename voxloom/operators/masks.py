@@ -7,6 +7,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,28 @@ def neighbours(mask: DataFrame, grid: Grid, dirs) -> DataFrame:
     return s.withColumns({"nx": nx, "ny": ny, "nz": nz}).where(grid.inside(F.col("nx"), F.col("ny"), F.col("nz"))).withColumn("ni", grid.index(F.col("nx"), F.col("ny"), F.col("nz"))).drop("_d")
 
 
+def with_rims(rows: DataFrame, grid: Grid, brick: int = BRICK) -> DataFrame:
+    """``rows`` with _bx, _by, _bz and _own: each voxel in its own brick, and once more in every brick of the grid that it touches."""
+    cols, own = rows.columns, F.lit(True)
+    for c, n in (("x", grid.width), ("y", grid.height), ("z", grid.depth)):
+        at = F.floor(F.col(c) / brick)
+        if n > brick:
+            lo = F.least(at, F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - 1) / brick)))
+            hi = F.greatest(at, F.least(F.lit((n - 1) // brick).cast("long"), F.floor((F.col(c) + 1) / brick)))
+            rows, own = rows.withColumn(f"_b{c}", F.explode(F.sequence(lo, hi))), own & (F.col(f"_b{c}") == at)
+        else:
+            rows = rows.withColumn(f"_b{c}", at)
+    return rows.select(*cols, "_bx", "_by", "_bz", own.alias("_own"))
+
+
+def box(*places: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Of places (z, y, x) their numbers in the least box that leaves one free step around them, and the steps of its axes."""
+    low = [a.min() - 1 for a in places]
+    height, width = (int(a.max() - n) + 2 for a, n in zip(places[1:], low[1:], strict=True))
+    z, y, x = (a - n for a, n in zip(places, low, strict=True))
+    return (z * height + y) * width + x, (height * width, width, 1)
+
+
 def _local_roots(i: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, kind: np.ndarray, grid: Grid, half) -> np.ndarray:
     """Least index of each voxel's component among the given voxels (one brick), by pointer jumping."""
     order = np.argsort(i)
@@ -235,12 +258,20 @@ def surface_estimates(mask: DataFrame, grid: Grid) -> DataFrame:
 
 
 def smooth(mask_values: DataFrame, grid: Grid, value: str = "v") -> DataFrame:
-    """Mean of each set voxel and its six neighbours inside the grid, unset ones counting 0."""
-    near = neighbours(mask_values.select("volume_id", "i", "x", "y", "z", value), grid, offsets(6)).groupBy("volume_id", F.col("ni").alias("i")).agg(F.sum(value).alias("_s"))
+    """Mean of each set voxel and its six neighbours inside the grid, unset ones counting 0. Each brick gets the voxels around it."""
+    cols = mask_values.columns
+
+    def run(group: pa.Table) -> pa.Table:
+        at, steps = box(*(group.column(c).to_numpy().astype(np.int64) for c in "zyx"))
+        dense = np.bincount(at, pc.fill_null(group.column(value).cast(pa.float64()), 0.0).to_numpy(), int(at.max()) + steps[0] + 1)
+        around = sum(dense[at + d] + dense[at - d] for d in steps)
+        return group.append_column("_s", pa.array(around)).filter(group.column("_own")).select([*cols, "_s"])
+
+    around = with_rims(mask_values, grid).groupBy("volume_id", "_bx", "_by", "_bz").applyInArrow(run, T.StructType([*mask_values.schema, T.StructField("_s", T.DoubleType())]))
     count = F.lit(7)
     for c, n in (("x", grid.width), ("y", grid.height), ("z", grid.depth)):
         count = count - F.when(F.col(c) == 0, 1).otherwise(0) - F.when(F.col(c) == n - 1, 1).otherwise(0)
-    return mask_values.join(near, ["volume_id", "i"], "left").withColumn("smooth", (F.col(value) + F.coalesce("_s", F.lit(0))) / count).drop("_s")
+    return around.withColumn("smooth", (F.col(value) + F.col("_s")) / count).drop("_s")
 
 
 def downsample_any(mask: DataFrame, stride: int) -> DataFrame:

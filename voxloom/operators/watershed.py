@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.masks import _SHIFT, component_roots, offsets, smooth, squared_distance
+from voxloom.operators.masks import _SHIFT, box, component_roots, offsets, smooth, squared_distance, with_rims
 from voxloom.operators.staging import linked_sets, written
 from voxloom.operators.voxels import Grid
 
@@ -36,20 +36,23 @@ def _contracted(i, x, y, z, dist, marker, own, grid: Grid, connectivity: int):
     Every voxel without a marker points to its best neighbour; those inside the brick are followed to their end, which
     is a marked voxel, the better end of a mutual pair, or a voxel that points out of the brick.
     """
-    order = np.argsort(i)
-    s = i[order]
+    place, steps = box(z, y, x)
+    there = np.full(int(place.max()) + sum(steps) + 1, -1)
+    there[place] = np.arange(len(i))
     ps, qs = [], []
     for dx, dy, dz in (d for d in offsets(connectivity) if d > (0, 0, 0)):
-        inside = (x + dx >= 0) & (x + dx < grid.width) & (y + dy >= 0) & (y + dy < grid.height) & (z + dz >= 0) & (z + dz < grid.depth)
-        target = i + (dz * grid.height + dy) * grid.width + dx
-        at = np.minimum(np.searchsorted(s, target), len(s) - 1)
-        hit = np.flatnonzero(inside & (s[at] == target) & (own | own[order[at]]))
+        at = there[place + dz * steps[0] + dy * steps[1] + dx]
+        hit = np.flatnonzero((at >= 0) & (own | own[at]))
         ps.append(hit)
-        qs.append(order[at[hit]])
+        qs.append(at[hit])
     p, q = np.concatenate(ps), np.concatenate(qs)
     lo, hi = np.minimum(dist[p], dist[q]), np.maximum(dist[p], dist[q])
     a, b = np.minimum(i[p], i[q]), np.maximum(i[p], i[q])
-    rank = _order(lo, hi, a, b)
+    _, height = np.unique(dist, return_inverse=True)
+    _, nth = np.unique(i, return_inverse=True)
+    n = len(i)
+    rank = np.empty(len(p), dtype=np.int64)
+    rank[np.lexsort((-(np.minimum(nth[p], nth[q]) * n + np.maximum(nth[p], nth[q])), np.minimum(height[p], height[q]) * n + np.maximum(height[p], height[q])))] = np.arange(len(p))
     best = np.full(len(i), -1)
     np.maximum.at(best, p, rank)
     np.maximum.at(best, q, rank)
@@ -154,11 +157,7 @@ def grown(rows: DataFrame, grid: Grid, brick: int = BRICK, small: int = SMALL, c
     """``rows`` (volume_id, i, x, y, z, dist, marker: 0 for none) with ``basin``, the marker that each voxel joins; 0 where none is connected."""
     cols = ["volume_id", "i", "x", "y", "z"]
     rows = rows.select(*(F.col(c).cast("long").alias(c) for c in cols), F.col("dist").cast("double").alias("dist"), F.col("marker").cast("long").alias("marker"))
-    own = [F.floor(F.col(c) / brick) for c in "xyz"]
-    # a voxel goes to its own brick, and to those that it touches
-    reach = F.array_distinct(F.array(*(F.struct(*(F.floor((F.col(c) + d) / brick).alias(f"b{c}") for c, d in zip("xyz", ds, strict=True))) for ds in [(0, 0, 0), *offsets(26)])))
-    dealt = rows.select(*cols, "dist", "marker", F.struct(*(b.alias(f"b{c}") for c, b in zip("xyz", own, strict=True))).alias("_own"), F.explode(reach).alias("_b"))
-    dealt = dealt.select(*cols, "dist", "marker", (F.col("_own") == F.col("_b")).alias("own"), "_b.*")
+    dealt = with_rims(rows.select(*cols, "dist", "marker"), grid, brick).withColumnsRenamed({"_own": "own", "_bx": "bx", "_by": "by", "_bz": "bz"})
 
     def contract(group: pa.Table) -> pa.Table:
         c = {n: group.column(n).to_numpy(zero_copy_only=False) for n in ("i", "x", "y", "z", "dist", "marker", "own")}
