@@ -78,3 +78,26 @@ def test_lists_steps_and_sections_are_no_threads():
 def test_many_siblings_take_linear_time():
     page = "<article><p>" + "word " * 100 + "</p>" + "<div><p>a</p><p>b c</p></div>" * 20_000 + "</article>"
     assert html_text.extract(page, None).count("\n") == 40_000
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_all_shapes_of_a_host_are_learnt(spark, monkeypatch, sent):
+    """A host with many layouts: the rare ones have slots and template of their own, and those of the frequent ones stay."""
+    if not sent:
+        for name in ("SENT", "SENT_BYTES", "SENT_HOSTS"):
+            monkeypatch.setattr(html_text, name, 0)
+    r = random.Random(9)
+    rows, want = [], {}
+
+    def add(paras, body):
+        rows.append((len(rows), f"https://h.org/{len(rows)}", _page(r, 0, f"<main>{body}</main>")))
+        want[rows[-1][0]] = paras
+
+    for layout in "abcdefghijklmnopqrst":
+        for _ in range(9 if layout < "m" else 4):  # 12 frequent shapes and 8 others
+            paras = [_sentence(r, 25) for _ in range(3)]
+            text = "".join(f"<p>{p}</p>" for p in paras)
+            add(paras, f'<article class="kind-{layout}">{text}<table class="{layout}-tail"><tr><td>Write to the desk of {layout} at any time</td></tr></table></article>')
+    got = {x["page_id"]: x["text"] for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k, paras in want.items():
+        assert got[k] == "\n".join(paras)

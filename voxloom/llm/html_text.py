@@ -5,6 +5,7 @@ skeleton. Every page of the host is then aligned with it, and the texts at each
 all pages: texts that stand on most pages are template, nodes whose text varies are slots, and the slots with
 the running text are the host's content slots. Every page is aligned once more and gives the text of those
 slots, without template and without the parts that markup names as menus, adverts, forms, comments and the like.
+A host's other shapes are dealt into groups, each with a skeleton, template and slots of its own beside the host's.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import types as T
 
 from voxloom.llm.common import free_name, give_back, stage, table
 
-SHAPES = 12  # most frequent shapes of a host's pages, of which one page each makes the skeleton
+SHAPES = 12  # most frequent shapes of a host's pages, of which one page each makes the skeleton; its other shapes are in groups of about so many
 SENT_BYTES = 16_000_000  # skeletons or wrappers together, up to which they are broadcast; beyond, a shuffled join
 SENT = 1_000_000  # most rows of keys that are broadcast
+SENT_HOSTS = 50_000  # most hosts with further shapes that are broadcast
 MIN_PAGES, MOST = 3, 0.7  # different pages, and part of the pages with the node, on which a text is template
 DEEPEST = 150  # levels; deeper elements count as their ancestor at this level
 CELLS = 100_000  # pairs of children aligned at once; longer stretches that differ are cut in proportion
@@ -49,7 +51,7 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead banner footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations comment comments disqus discussion pagination pager search complementary contentinfo skip".split()
 )
 BESIDE = frozenset(
-    "site page slot bar box list top bottom left right wrapper wrap container block area inner outer item items post posts article articles link links form unit text row col column section panel main global primary secondary header head foot icon button btn count fixed sticky mobile desktop small large mini full is has more latest popular content body author thread reply replies group view region module zone first last odd even depth level by on in and the".split()
+    "site page slot bar box list top bottom left right wrapper wrap container block area inner outer item items post posts article articles link links form unit text row col column section panel main global primary secondary header head foot icon button btn count fixed sticky mobile desktop small large mini full is has more latest popular content body author thread reply replies reader readers user users visitor visitors group view region module zone first last odd even depth level by on in and the".split()
 )
 JUNK = "~"  # stands among the words of an element that such a name marks
 COMMENT = "~~"  # and of one that is an item of an unnamed thread of comments
@@ -569,13 +571,16 @@ def _hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def observed(skel: Skeleton, page: str) -> dict[tuple[int, int | None], int]:
-    """Of one page: (pool, text hash) -> code points, and (pool, None) -> 0 for each pool that it has."""
+def observed(skel: Skeleton, page: str, wrapper: str | None = None) -> dict[tuple[int, int | None], int]:
+    """Of one page: (pool, text hash) -> code points, and (pool, None) -> 0 for each pool that it has; without what ``wrapper`` knows as template."""
     out: dict[tuple[int, int | None], int] = {}
-    for pool, g in skel.aligned(grouped(parse(page)))[1]:
+    tree = grouped(parse(page))
+    fixed = _wrapper(wrapper).content(tree)[1] if wrapper else ()
+    for pool, g in skel.aligned(tree)[1]:
         out[pool, None] = 0
-        for _, t in _own_texts(g):
-            out[pool, _hashed(t)] = len(t)
+        for m, t in _own_texts(g):
+            if id(m) not in fixed:
+                out[pool, _hashed(t)] = len(t)
     return out
 
 
@@ -630,10 +635,17 @@ def _wrapper(text: str) -> Wrapper:
     return Wrapper(text)
 
 
-def extract(page: str, wrapper: str | None) -> str:
-    """Main text of a page: its content slots by the wrapper, or by the same choice on the page alone, without what the wrapper knows as template."""
+def extract(page: str, wrapper: str | None, other: str | None = None) -> str:
+    """Main text of a page: its content slots by the wrapper, or by the same choice on the page alone, without what the wrapper knows as template.
+
+    ``other`` is the wrapper of the page's group of further shapes; the slots and the template of both count.
+    """
     tree = grouped(parse(page))
-    nodes, fixed = _wrapper(wrapper).content(tree) if wrapper else ([], set())
+    nodes, fixed = [], set()
+    for w in (wrapper, other):
+        if w:
+            slots, known = _wrapper(w).content(tree)
+            nodes, fixed = nodes + slots, fixed | known
     if not nodes:
         groups = [g for _, g, _ in _walk(tree)]
         slots = _content_slots(tree, {i: sum(len(t) for m, t in _own_texts(g) if id(m) not in fixed) for i, g in enumerate(groups)})
@@ -673,33 +685,66 @@ def _with_texts(rows: DataFrame, small: DataFrame, on: list[str], size: int, how
 
 
 def _bytes(made: DataFrame) -> int:
-    return made.agg(F.sum(F.length(made.columns[1]) + F.length("host"))).head()[0] or 0
+    return made.agg(F.sum(F.length(made.columns[-1]) + F.length("host"))).head()[0] or 0
+
+
+def _sent(hosts: DataFrame) -> DataFrame:
+    return F.broadcast(hosts) if hosts.count() <= SENT_HOSTS else hosts
+
+
+def _group(shape: F.Column, tops: str, groups: str) -> F.Column:
+    """The group of a shape of a host: 0 for the most frequent ones, and for all where a host has no others."""
+    return F.when(F.col(groups).isNull(), 0).otherwise(F.transform(F.array(shape), lambda s: F.when(F.array_contains(F.col(tops), s), 0).otherwise(1 + F.pmod(F.xxhash64(s), F.col(groups))))[0]).cast("long")
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", shapes: int = SHAPES) -> DataFrame:
-    """(host, wrapper) of every host.
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", shapes: int = SHAPES) -> tuple[DataFrame, DataFrame | None]:
+    """(host, part, wrapper) of every host and group of its shapes, and (host, tops, groups) of hosts with more than ``shapes`` shapes, if there are any.
 
-    The skeleton merges one page of each of a host's ``shapes`` most frequent shapes. The texts at its nodes are
+    The skeleton of part 0 merges one page of each of a host's ``shapes`` most frequent shapes. The texts at its nodes are
     counted over all of the host's pages, equal pages as one; tasks sum their counts before they are dealt out by host, node
-    and text, so a host with a third of all pages is no hot key.
+    and text, so a host with a third of all pages is no hot key. All other shapes of a host are dealt by hash into groups of about
+    ``shapes``. Part k merges one page of each shape of group k and counts over that group's pages what part 0 does not know as template.
     """
     rows = pages.where(F.col(html_col).isNotNull()).select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
     h = F.xxhash64("html").alias("h")
     keys = stage(rows.select("host", h, _shape("html").alias("shape")).groupBy("host", "h").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n")), "page-keys")
     by_shape = keys.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.min("h").alias("h"))
     nth = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "h"))  # only the first rows of a host are dealt out
-    chosen = stage(by_shape.withColumn("nth", nth).where(F.col("nth") <= shapes).select("host", "h"), "page-shapes")
+    chosen = stage(by_shape.withColumn("nth", nth).where(F.col("nth") <= shapes).select("host", F.lit(0).cast("long").alias("part"), "shape", "h"), "page-shapes")
+    more = by_shape.groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > shapes)
+    more = more.join(chosen.groupBy("host").agg(F.collect_list("shape").alias("tops")), "host").select("host", "tops", F.ceil((F.col("all") - shapes) / shapes).alias("groups"))
+    more = stage(more, "page-groups")
+    if more.take(1):
+        rest = by_shape.join(_sent(more), "host").withColumn("part", _group(F.col("shape"), "tops", "groups")).where("part > 0")
+        chosen = stage(chosen.unionByName(rest.select("host", "part", "shape", "h")), "page-shapes")
+    else:
+        more = None
     few = chosen.count() <= SENT
-    taken = rows.select("host", h, "html").join(F.broadcast(chosen) if few else chosen, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
+    chosen = chosen.select("host", "h", "part")
+    taken = rows.select("host", h, "html").join(F.broadcast(chosen) if few else chosen, ["host", "h"]).dropDuplicates(["host", "h"])
 
     def merge(group: pa.Table) -> pa.Table:
-        return pa.table({"host": [group.column("host")[0].as_py()], "skeleton": pa.array([skeleton(group.column("html").to_pylist())], pa.string())})
+        return pa.table({"host": [group.column("host")[0].as_py()], "part": [group.column("part")[0].as_py()], "skeleton": pa.array([skeleton(group.column("html").to_pylist())], pa.string())})
 
-    made = stage(taken.groupBy("host").applyInArrow(merge, "host string, skeleton string"), "skeletons")
+    made = stage(taken.groupBy("host", "part").applyInArrow(merge, "host string, part long, skeleton string"), "skeletons")
     copies = stage(keys.where("n > 1").select("host", "h", "n"), "page-copies")
     few = copies.count() <= SENT
     each = rows.select("host", h, "html").join(F.broadcast(copies) if few else copies, ["host", "h"], "left").select("host", "html", (1.0 / F.coalesce("n", F.lit(1))).alias("w"))
-    each = _with_texts(each, made, ["host"], _bytes(made), "inner").select("host", "html", "w", "skeleton")
+    first = made.where("part = 0")
+    found = _finished(_with_texts(each, first, ["host"], _bytes(first), "inner").withColumn("wrapper", F.lit(None).cast("string")), first)
+    if more is None:
+        return found, None
+    found = stage(found, "wrappers")
+    others = made.where("part > 0")
+    each = each.join(_sent(more), "host").withColumn("part", _group(_shape("html"), "tops", "groups")).where("part > 0").select("host", "part", "html", "w")
+    each = _with_texts(each, others, ["host", "part"], _bytes(others), "inner")
+    known = found.where("wrapper is not null").select("host", "wrapper")
+    each = _with_texts(each, known, ["host"], _bytes(known), "left")
+    return found.unionByName(_finished(each, others)), more
+
+
+def _finished(each: DataFrame, made: DataFrame) -> DataFrame:
+    """(host, part, wrapper) of the skeletons ``made`` (host, part, skeleton), by pages (host, part, html, w, skeleton, wrapper that knows template already)."""
 
     def count(batches):
         held: dict[tuple, list] = {}
@@ -707,12 +752,12 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sha
         def sent():
             cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["host", "pool", "text", "chars", "w"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["host", "part", "pool", "text", "chars", "w"])
 
         for b in batches:
-            for host, page, w, skel in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for (pool, t), n in observed(_skeleton(skel), page).items():
-                    x = held.setdefault((host, pool, t), [n, 0.0])
+            for host, part, page, w, skel, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for (pool, t), n in observed(_skeleton(skel), page, known).items():
+                    x = held.setdefault((host, part, pool, t), [n, 0.0])
                     x[1] += w
                 if len(held) > HELD:
                     yield sent()
@@ -720,20 +765,20 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sha
             yield sent()
         give_back()
 
-    counted = each.mapInArrow(count, "host string, pool long, text long, chars long, w double")
-    counted = stage(counted.groupBy("host", "pool", "text").agg(F.max("chars").alias("chars"), F.sum("w").alias("w")), "page-texts")
-    held = counted.where("text is null").select("host", "pool", F.col("w").alias("all"))
+    counted = each.select("host", "part", "html", "w", "skeleton", "wrapper").mapInArrow(count, "host string, part long, pool long, text long, chars long, w double")
+    counted = stage(counted.groupBy("host", "part", "pool", "text").agg(F.max("chars").alias("chars"), F.sum("w").alias("w")), "page-texts")
+    held = counted.where("text is null").select("host", "part", "pool", F.col("w").alias("all"))
     same = (F.col("w") >= MIN_PAGES - 1e-6) & (F.col("w") >= MOST * F.col("all") - 1e-6)
-    stats = counted.where("text is not null").join(held, ["host", "pool"])
-    stats = stats.groupBy("host", "pool").agg(F.sum(F.when(same, 0).otherwise(F.col("chars") * F.col("w"))).cast("long").alias("chars"), F.collect_list(F.when(same, F.col("text"))).alias("fixed"))
-    stats = stats.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pool", "chars", "fixed"))).alias("stats"))  # a row a node
+    stats = counted.where("text is not null").join(held, ["host", "part", "pool"])
+    stats = stats.groupBy("host", "part", "pool").agg(F.sum(F.when(same, 0).otherwise(F.col("chars") * F.col("w"))).cast("long").alias("chars"), F.collect_list(F.when(same, F.col("text"))).alias("fixed"))
+    stats = stats.groupBy("host", "part").agg(F.array_sort(F.collect_list(F.struct("pool", "chars", "fixed"))).alias("stats"))  # a row a node
 
     def finish(batches):
         for b in batches:
-            got = [finished(t, [(x["pool"], x["chars"], x["fixed"]) for x in s]) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["host", "wrapper"])
+            got = [finished(t, [(x["pool"], x["chars"], x["fixed"]) for x in s]) for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string())], names=["host", "part", "wrapper"])
 
-    return made.join(stats, "host").select("host", "skeleton", "stats").mapInArrow(finish, "host string, wrapper string")
+    return made.join(stats, ["host", "part"]).select("host", "part", "skeleton", "stats").mapInArrow(finish, "host string, part long, wrapper string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -745,14 +790,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     read whole: time grows with a page's length, and elements more than ``DEEPEST`` levels deep count as part of the one at that level.
     Pages are not shuffled while the wrappers are small enough to broadcast.
     """
-    made = stage(wrappers(pages, url_col, html_col).where("wrapper is not null"), "wrappers")
+    made, more = wrappers(pages, url_col, html_col)
+    made = stage(made.where("wrapper is not null"), "wrappers")
     host = free_name("host", pages)
+    part, one, two, tops, groups = (f"{host}_{c}" for c in ("part", "wrapper", "other", "tops", "groups"))
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), _host(url_col).alias(host))
-    rows = _with_texts(rows, made.select(F.col("host").alias(host), F.col("wrapper").alias(f"{host}_wrapper")), [host], _bytes(made), "left").select(id_col, url_col, html_col, f"{host}_wrapper")
+    first, others = made.where("part = 0"), made.where("part > 0")
+    rows = _with_texts(rows, first.select(F.col("host").alias(host), F.col("wrapper").alias(one)), [host], _bytes(first), "left")
+    if more is None:
+        rows = rows.withColumn(two, F.lit(None).cast("string"))
+    else:
+        rows = rows.join(_sent(more).toDF(host, tops, groups), host, "left").withColumn(part, _group(_shape(html_col), tops, groups))
+        rows = _with_texts(rows, others.select(F.col("host").alias(host), F.col("part").alias(part), F.col("wrapper").alias(two)), [host, part], _bytes(others), "left")
+    rows = rows.select(id_col, url_col, html_col, one, two)
 
     def run(batches):
         for b in batches:
-            got = [extract(p, w) if p else "" for p, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            got = [extract(p, w, v) if p else "" for p, w, v in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
         give_back()
 
