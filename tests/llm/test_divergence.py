@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,18 @@ def test_blocks_buckets_and_automata_change_nothing(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert D.divergence(_frame(spark, [])).collect() == []
+
+
+def test_a_task_sums_counts_as_numbers_before_they_leave(monkeypatch):
+    """Equal keys are held once, however often they come; all leave in bounded batches, none twice."""
+    monkeypatch.setattr(D, "HELD", 100)
+    monkeypatch.setattr(D, "SENT_ROWS", 7)
+    c = D._Counts()
+    for _ in range(1000):
+        c.add(np.arange(20, dtype=np.int64) << 40 | 3, np.full(20, 2))
+        assert not c.full() and c.size <= 120
+    got = [tuple(col.to_pylist() for col in b) for b in c.sent()]
+    assert [len(a) for a, _, _ in got] == [7, 7, 6] and list(c.sent()) == []
+    assert [x for a, b, n in got for x in zip(a, b, n, strict=True)] == [(k, 3, 2000) for k in range(20)]
+    c.add(np.arange(101, dtype=np.int64), np.ones(101, dtype=np.int64))
+    assert c.full() and sum(len(a) for a, _, _ in c.sent()) == 101

@@ -7,7 +7,6 @@ source. These sparse postings give the distance of every two sources of a langua
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 from operator import itemgetter
 
@@ -27,7 +26,8 @@ TOP = 50
 SCALE, PRIOR = 1_000_000_000, 5
 AUTOMATON = 2_000_000  # characters of terms in one automaton (about 60 bytes each); more terms are counted by further ones
 SLICE = 4_000_000  # bytes of text worked on at once
-HELD = 400_000  # counts that a task holds before it passes them on
+HELD = 2_000_000  # counts that a task holds before it passes them on
+SENT_ROWS = 100_000  # counts that leave a task in one batch
 BLOCK = 256  # sources of a language compared in one task; more go in pairs of blocks
 CELL = 16_000  # postings of a block that meet in one task
 SENT = 1_000_000  # most groups or languages that are broadcast
@@ -56,28 +56,59 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counts:
-    """Counts by key that leave a task in batches of bounded size."""
-
-    def __init__(self, names: list[str], name: str):
-        self.names, self.held = [*names, name], {}
-
-    def add(self, keys, counts: list[int]) -> None:
-        held, known = self.held, self.held.get
-        for k, n in zip(keys, counts, strict=True):
-            held[k] = known(k, 0) + n
-
-    def batches(self, most: int = 0):
-        if len(self.held) > most:
-            keys, n = list(zip(*self.held, strict=True)), list(self.held.values())
-            self.held = {}
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(n, pa.int64())], names=self.names)
+    """Counts by whole-number keys (``a << 40 | b``) that leave a task in batches of bounded size."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+
+    def full(self) -> bool:
+        """Whether many different keys are held; sums equal ones first."""
+        if self.size > HELD:
+            self._sum()
+            return self.size > HELD // 2
+        return False
+
+    def _sum(self) -> None:
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.keys, self.counts, self.size = [keys[at]], [np.add.reduceat(counts[order], at)], len(at)
+
+    def sent(self):
+        """(a, b, count) arrays of all that is held, which is dropped."""
+        if self.size:
+            self._sum()
+            (keys,), (counts,) = self.keys, self.counts
+            self.keys, self.counts, self.size = [], [], 0
+            for k in range(0, len(keys), SENT_ROWS):
+                some = keys[k : k + SENT_ROWS]
+                yield pa.array(some >> 40), pa.array(some & ((1 << 40) - 1)), pa.array(counts[k : k + SENT_ROWS])
+
+
+def _numbers(known: dict, values) -> np.ndarray:
+    """Numbers of values; new ones get the next number."""
+    return np.fromiter((known.setdefault(v, len(known)) for v in values), np.int64)
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
     """(lang, term, docs): documents that hold a term, in parts to be summed."""
 
     def run(batches):
-        counts = _Counts(["lang", "term"], "docs")
+        counts, names, words = _Counts(), {}, {}
+
+        def sent():
+            lang, term = pa.array(list(names), pa.string()), pa.array(list(words), pa.large_binary()).cast(pa.large_string())
+            for a, b, n in counts.sent():
+                yield pa.RecordBatch.from_arrays([lang.take(a), term.take(b).cast(pa.string()), n], names=["lang", "term", "docs"])
+            names.clear()
+            words.clear()
+
         for b in batches:
             for s, k in slices_by_bytes(b.column(1), SLICE):
                 piece = b.slice(s, k)
@@ -93,10 +124,10 @@ def _document_counts(docs: DataFrame) -> DataFrame:
                 doc, code = np.divmod(once, width)
                 both, n = _runs(lang[doc] * width + code)
                 of, which = np.divmod(both, width)
-                names, words = [langs[x] for x in of.tolist()], list(map(bytes.decode, terms))
-                counts.add(zip(names, map(words.__getitem__, which.tolist()), strict=True), n.tolist())
-                yield from counts.batches(HELD)
-        yield from counts.batches()
+                counts.add(_numbers(names, langs)[of] << 40 | _numbers(words, terms)[which], n)
+                if counts.full():
+                    yield from sent()
+        yield from sent()
         give_back()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, term string, docs long")
@@ -104,30 +135,40 @@ def _document_counts(docs: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _automaton(path: str, shard: int):
-    """(automaton of the padded terms of a shard, the terms, the languages that keep each)."""
+    """(automaton of the padded terms of a shard, the terms, the numbers of those that each language keeps, ascending)."""
     import ahocorasick
 
     fs, top = pafs.FileSystem.from_uri(path)
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{top}/shard={shard}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    kept: dict[str, set[str]] = {}
+    terms: dict[str, int] = {}
+    kept: dict[str, list[np.ndarray]] = {}
     for f in files:
         t = pq.ParquetFile(fs.open_input_file(f)).read(columns=["lang", "term"])
-        for lang, term in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
-            kept.setdefault(term, set()).add(lang)
+        number = _numbers(terms, t.column(1).to_pylist())
+        lang, langs = _coded(t.column(0).combine_chunks())
+        for k, name in enumerate(langs):
+            kept.setdefault(name, []).append(number[lang == k])
     made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, term in enumerate(kept):
+    for term, i in terms.items():
         made.add_word(f" {term} ", i)
     made.make_automaton()
-    return made, list(kept), list(kept.values())
+    return made, pa.array(list(terms), pa.large_string()), {name: np.sort(np.concatenate(parts)) for name, parts in kept.items()}
 
 
 def _occurrences(docs: DataFrame, path: str, shard: int) -> DataFrame:
     """(lang, source, term, count): occurrences of the terms of a shard, in parts to be summed."""
 
     def run(batches):
-        made, terms, langs_of = _automaton(path, shard)
-        counts, known = _Counts(["lang", "source", "term"], "count"), set().union(*langs_of)
-        for b in batches if known else ():
+        made, terms, kept = _automaton(path, shard)
+        counts, groups = _Counts(), {}
+
+        def sent():
+            lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+            for a, b, n in counts.sent():
+                yield pa.RecordBatch.from_arrays([lang.take(a), source.take(a), terms.take(b).cast(pa.string()), n], names=["lang", "source", "term", "count"])
+            groups.clear()
+
+        for b in batches if kept else ():
             for s, k in slices_by_bytes(b.column(2), SLICE):
                 piece = b.slice(s, k)
                 (lang, langs), (source, sources) = _coded(piece.column(0)), _coded(piece.column(1))
@@ -137,13 +178,15 @@ def _occurrences(docs: DataFrame, path: str, shard: int) -> DataFrame:
                 order = np.argsort(group, kind="stable")
                 for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
                     name, origin = langs[lang[own[0]]], sources[source[own[0]]]
-                    if name not in known:
+                    if name not in kept:
                         continue
                     joined = b" ".join([b"", *(raw[ends[i] : ends[i + 1]] for i in own.tolist()), b""]).decode()
-                    found = {i: n for i, n in Counter(map(itemgetter(1), made.iter(joined))).items() if name in langs_of[i]}
-                    counts.add(((name, origin, terms[i]) for i in found), list(found.values()))
-                yield from counts.batches(HELD)
-        yield from counts.batches()
+                    found, n = _runs(np.fromiter(map(itemgetter(1), made.iter(joined)), np.int64))
+                    here = np.isin(found, kept[name], assume_unique=True)
+                    counts.add(_numbers(groups, [(name, origin)]) << 40 | found[here], n[here])
+                if counts.full():
+                    yield from sent()
+        yield from sent()
         give_back()
 
     return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, count long")
